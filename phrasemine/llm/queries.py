@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, secrets, simhash
+from . import chat, decontaminate, exact_dedup, html_extract, mixing, secrets, simhash, spans, toxicity, warc
 from .common import table
 
 DEDUP_SQL = """
@@ -16,10 +16,18 @@ WINDOW g AS (PARTITION BY norm)
 """
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -32,16 +40,40 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.as_messages(rows.unionByName(chat.probe(spark))))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op4_exact_dedup, op5_mixing, op6_secrets, op8_chat)
+    f.__name__: f
+    for f in (
+        op1_html_extract, op2_simhash, op3_decontaminate, op4_exact_dedup, op5_mixing,
+        op6_secrets, op7_warc, op8_chat, op9_toxicity, op10_substring_dedup,
+    )
 }
+WARC_SQL = """
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest,
+    CASE WHEN octet_length(b) >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY b) THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN octet_length(b) >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY b) THEN max(page_id) OVER (PARTITION BY b) END AS refers_to
+FROM (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages)
+"""
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": DEDUP_SQL,
     "op5_mixing": mixing.MIX_SQL.format(docs="documents"),
+    "op7_warc": WARC_SQL,
     "op8_chat": chat.CHAT_SQL,
 }
