@@ -33,23 +33,25 @@ def _first_names(docs: DataFrame) -> DataFrame:
     blocks = (
         docs.select("doc_id", norm.alias("norm"))
         .select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").cast("binary").alias("b"))
-        .withColumn("key", row_key(F.col("doc_id"), F.col("text_sha256")))
         .select(
-            "key", "doc_id", "text_sha256",
+            "doc_id", "text_sha256",
             F.posexplode(F.expr(
                 f"transform(sequence(0, greatest(cast((octet_length(b) - 1) div {BLOCK} as int), 0)), i -> substring(b, i * {BLOCK} + 1, {BLOCK}))"
             )).alias("idx", "block"),
         )
-        .withColumn("salt", F.pmod(F.xxhash64("key", "idx"), F.lit(SALTS)))
+        .select("block", F.struct("doc_id", "text_sha256", "idx").alias("at"), F.pmod(F.xxhash64("text_sha256", "doc_id", "idx"), F.lit(SALTS)).alias("salt"))
     )
-    # The only shuffle of all text.  `local` names a block within its salt; (key, idx) tells occurrences apart.
-    here = Window.partitionBy("block", "salt")
-    local = blocks.withColumn("local", F.min(F.struct("key", "idx")).over(here))
-    heads = local.where("local.key = key and local.idx = idx").select("block", "local")
+    # The only shuffle of all text; both branches below need the same columns of it, so they share it.
+    # `local`, the least place of a block within its salt, names it there.
+    local = blocks.withColumn("local", F.min("at").over(Window.partitionBy("block", "salt")))
+    heads = local.where(F.col("local").eqNullSafe(F.col("at"))).select("block", "local")
     # The second one: one row for each distinct block and salt, range-partitioned by block, so the group needs no more.
-    named = _sorted_groups(heads, parts)
-    mapping = named.select(F.explode("locals").alias("local"), "name")
-    return local.drop("block", "salt").join(mapping, "local").drop("local")
+    mapping = _sorted_groups(heads, parts).select(F.explode("locals").alias("local"), "name")
+    l, m = local.select("at", "local").alias("l"), mapping.alias("m")
+    same = F.col("l.local").eqNullSafe(F.col("m.local"))
+    return l.join(m, same).select(
+        row_key(F.col("at.doc_id"), F.col("at.text_sha256")).alias("key"), "at.doc_id", "at.text_sha256", "at.idx", "name"
+    )
 
 
 def _sorted_groups(heads: DataFrame, parts: int) -> DataFrame:
