@@ -1 +1,174 @@
-"""Registered queries."""
+"""Registered queries: vectors, graphs and clusterings (V)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scratch import stash
+from ..operators import cluster, graph, scoring, vectors
+from .registry import Tables, register
+
+#: The given vectors have no pair above 0.6, so graphs here start at 0.2.
+LEAST, K = 0.2, 10
+UNIT = "un AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS e FROM embeddings)"
+NEAR = f"{UNIT}, nn AS (SELECT a.id AS src, b.id AS dst, sqrt(greatest(0, 2 - 2 * list_inner_product(a.e, b.e))) AS distance FROM un a JOIN un b ON a.id <> b.id), kn AS (SELECT src, dst, distance, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM nn QUALIFY rank <= {K})"
+EDGES = f"{NEAR}, ed AS (SELECT src, dst, 1 - distance * distance / 2 AS weight FROM kn WHERE src < dst AND 1 - distance * distance / 2 >= {LEAST})"
+
+
+def _near(t: Tables, k: int = K) -> DataFrame:
+    return vectors.knn(t.vectors, k)
+
+
+def _edges(t: Tables) -> DataFrame:
+    return stash(graph.knn_edges(_near(t), LEAST), "edges")
+
+
+def _nodes(t: Tables) -> DataFrame:
+    return t.vectors.select(F.col("phrase_id").alias("node"))
+
+
+@register("v1_normalise", f", {UNIT} SELECT id AS phrase_id, round(e[1], 4) AS first, round(e[64], 4) AS last FROM un")
+def v1(t: Tables) -> DataFrame:
+    n = vectors.normalised(t.vectors)
+    return n.select("phrase_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"), F.round(F.col("embedding")[63].cast("double"), 4).alias("last"))
+
+
+def _cache(t: Tables) -> DataFrame:
+    p = t.kw.where("phrase_id % 3 <> 0").select(F.md5("phrase").alias("text_md5")).distinct()
+    return p.select("text_md5", F.lit("m").alias("model"), F.lit("1").alias("version"), F.lit(2).alias("dim"), F.array(F.lit(1.0).cast("float"), F.length("text_md5").cast("float")).alias("embedding"))
+
+
+@register("v2_missing_texts", "SELECT DISTINCT md5(phrase) AS text_md5, phrase FROM kw WHERE phrase NOT IN (SELECT phrase FROM kw WHERE phrase_id % 3 <> 0)", "kw")
+def v2(t: Tables) -> DataFrame:
+    return vectors.missing_texts(t.kw, _cache(t), "m", "1", 2)
+
+
+@register("v3_aligned", "SELECT phrase_id FROM kw WHERE phrase IN (SELECT phrase FROM kw WHERE phrase_id % 3 <> 0)", "kw")
+def v3(t: Tables) -> DataFrame:
+    return vectors.aligned(t.kw, _cache(t)).select("phrase_id")
+
+
+@register("v4_knn_graph", f", {EDGES} SELECT src, dst, round(weight, 5) AS weight FROM ed")
+def v4(t: Tables) -> DataFrame:
+    return graph.knn_edges(_near(t), LEAST).select("src", "dst", F.round("weight", 5).alias("weight"))
+
+
+@register("v5_graph_statistics")
+def v5(t: Tables) -> DataFrame:
+    return graph.statistics(_nodes(t), _edges(t), K)
+
+
+@register("v6_communities")
+def v6(t: Tables) -> DataFrame:
+    return graph.communities(_nodes(t), _edges(t))
+
+
+@register("v7_modularity", f", {EDGES}, x AS (SELECT ed.*, a.label AS ca, b.label AS cb FROM ed JOIN un a ON a.id = src JOIN un b ON b.id = dst), m AS (SELECT sum(weight) AS m FROM ed), d AS (SELECT c, sum(weight) AS deg FROM (SELECT ca AS c, weight FROM x UNION ALL SELECT cb, weight FROM x) GROUP BY 1), i AS (SELECT ca AS c, sum(weight) FILTER (ca = cb) AS w FROM x GROUP BY 1) SELECT round(sum(coalesce(w, 0) / m - pow(deg / (2 * m), 2)), 5) AS modularity FROM d LEFT JOIN i USING (c) CROSS JOIN m")
+def v7(t: Tables) -> DataFrame:
+    labels = t.vectors.select(F.col("phrase_id").alias("node"), F.col("cluster_id").alias("community"))
+    return graph.modularity(_edges(t), labels).select(F.round("modularity", 5).alias("modularity"))
+
+
+@register("v8_prune", "SELECT phrase_id AS node, CAST(CASE WHEN n < 1500 THEN -1 ELSE dense_rank() OVER (PARTITION BY n < 1500 ORDER BY cluster_id_B) - 1 END AS INT) AS community FROM (SELECT phrase_id, cluster_id_B, CASE WHEN cluster_id_B = -1 THEN 0 ELSE count(*) OVER (PARTITION BY cluster_id_B) END AS n FROM doc)", "doc")
+def v8(t: Tables) -> DataFrame:
+    return graph.prune(t.doc.select(F.col("phrase_id").alias("node"), F.col("cluster_id_B").alias("community")), 1500)
+
+
+@register("v9_density_clusters")
+def v9(t: Tables) -> DataFrame:
+    return cluster.density_clusters(t.vectors, 5, 3, 1.15)
+
+
+@register("v10_sub_clusters")
+def v10(t: Tables) -> DataFrame:
+    return cluster.sub_clusters(t.vectors.withColumnRenamed("cluster_id", "parent"))
+
+
+@register("v11_resplit")
+def v11(t: Tables) -> DataFrame:
+    return cluster.resplit(t.vectors, t.vectors.select("phrase_id", "cluster_id"), 3, min_size=3, min_samples=1, epsilon=1.2)
+
+
+@register("v12_kmeans")
+def v12(t: Tables) -> DataFrame:
+    return cluster.kmeans(t.vectors, 10).select("phrase_id", "cluster_id")
+
+
+@register("v13_search_k")
+def v13(t: Tables) -> DataFrame:
+    return cluster.search_k(t.vectors, [5, 10])
+
+
+@register("v14_bisecting")
+def v14(t: Tables) -> DataFrame:
+    return cluster.bisecting(t.vectors, 10).select("phrase_id", "cluster_id")
+
+
+@register("v15_split_inconsistent")
+def v15(t: Tables) -> DataFrame:
+    labels = t.vectors.select("phrase_id", "cluster_id")
+    verdicts = labels.select("cluster_id").distinct().select("cluster_id", (F.col("cluster_id") % 3 != 0).alias("consistent"), F.lit(0.9).alias("score"), F.lit(None).cast("int").alias("n_parts"))
+    return cluster.split_inconsistent(t.vectors.drop("cluster_id"), labels, verdicts)
+
+
+@register("v16_validity")
+def v16(t: Tables) -> DataFrame:
+    return cluster.validity(t.vectors)
+
+
+@register("v17_mixtures")
+def v17(t: Tables) -> DataFrame:
+    return cluster.mixtures(t.vectors.withColumn("embedding", F.slice("embedding", 1, 8)), [2, 4])
+
+
+@register("v18_density_sweep")
+def v18(t: Tables) -> DataFrame:
+    return cluster.density_sweep(t.vectors, [(5, 2), (10, 3)], 1.15)
+
+
+@register("v19_dimension_profile", "SELECT CAST(i AS INT) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (SELECT generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")
+def v19(t: Tables) -> DataFrame:
+    return vectors.dimension_profile(t.vectors)
+
+
+@register("v20_distance_profile")
+def v20(t: Tables) -> DataFrame:
+    return vectors.distance_profile(t.vectors).withColumn("percentiles", F.to_json("percentiles"))
+
+
+@register("v21_neighbour_profile", f", {NEAR} SELECT src, round(avg(distance) FILTER (rank <= 5), 6) AS mean_5, round(max(distance) FILTER (rank <= 5), 6) AS max_5, round(avg(distance), 6) AS mean_10, round(max(distance), 6) AS max_10 FROM kn GROUP BY 1")
+def v21(t: Tables) -> DataFrame:
+    return vectors.neighbour_profile(_near(t), (5, 10))
+
+
+@register("v22_local_density", f", {NEAR} SELECT src, round(1 / (avg(distance) + 1e-10), 4) AS density FROM kn GROUP BY 1")
+def v22(t: Tables) -> DataFrame:
+    return vectors.local_density(_near(t), K).select("src", F.round("density", 4).alias("density"))
+
+
+@register("v22_density_bands")
+def v22_bands(t: Tables) -> DataFrame:
+    return vectors.density_bands(vectors.local_density(_near(t), K))
+
+
+@register("v23_explained_variance")
+def v23(t: Tables) -> DataFrame:
+    return vectors.explained_variance(t.vectors, 20)
+
+
+@register("v24_cosine_pairs", f", {NEAR} SELECT src, dst, round(1 - distance * distance / 2, 5) AS cosine FROM kn")
+def v24(t: Tables) -> DataFrame:
+    return vectors.cosine_pairs(_near(t)).select("src", "dst", F.round("cosine", 5).alias("cosine"))
+
+
+@register("v25_assign")
+def v25(t: Tables) -> DataFrame:
+    return vectors.assign(t.vectors.where("phrase_id % 5 = 0"), t.vectors.where("phrase_id % 5 <> 0"), 5, 0.8)
+
+
+@register("v27_greedy_groups")
+def v27(t: Tables) -> DataFrame:
+    p = t.kw.select("phrase_id", "phrase")
+    distinct = p.groupBy("phrase").agg(F.min("phrase_id").alias("phrase_id"))
+    return cluster.greedy_groups(distinct, scoring.similar_pairs(distinct, 0.85))
