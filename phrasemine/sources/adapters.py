@@ -125,7 +125,7 @@ def demand_product(lineitem: DataFrame) -> DataFrame:
 
 
 def demand_events(events: DataFrame) -> DataFrame:
-    return events.selectExpr("event_id as provenance_id", "user_id as demand_id", "ts as created_at", "event_type", "value as new_score")
+    return events.selectExpr("event_id as provenance_id", "user_id as demand_id", "cast(ts as timestamp) as created_at", "event_type", "value as new_score")
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
