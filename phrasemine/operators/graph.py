@@ -19,8 +19,13 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that can be reached.  Large-star and small-star rounds until nothing changes."""
+def roots(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of undirected edges (src, dst) reaches, itself included.
+
+    Alternates large-star and small-star steps.  Minima are partial aggregates and the joins that carry them back can be
+    split by AQE, so a node with very many neighbours is no bottleneck; the number of rounds grows with the logarithm of a
+    component's diameter.  Each round is a table in the shared folder.
+    """
 
     def star(sym: DataFrame) -> DataFrame:
         low = sym.groupBy("src").agg(F.min("dst").alias("m"))
@@ -42,8 +47,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    root = e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("root"))
-    return nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    both = e.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(e.select(F.col("dst").alias("node"), F.col("dst").alias("root")))
+    return both.groupBy("node").agg(F.min("root").alias("root"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that can be reached."""
+    return nodes.select("node").join(roots(edges), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def statistics(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:

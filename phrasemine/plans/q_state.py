@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import state
 from .registry import Tables, register
 
-NOW = F.lit("2024-01-01 00:00:00").cast("timestamp")
+def _now() -> Column:
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
 
 
 def _words(t: Tables, cond: str) -> DataFrame:
@@ -80,7 +81,7 @@ def _new_demands(t: Tables) -> DataFrame:
 
 @register("e10_create_demands", "SELECT title, confidence, count(*) AS n, count(DISTINCT demand_id) AS n_ids FROM (SELECT product_name AS title, 0.5::DOUBLE AS confidence, product_id AS demand_id FROM products WHERE product_id % 10 = 0) GROUP BY ALL", "products")
 def e10(t: Tables) -> DataFrame:
-    d, _ = state.create_demands(t.demands.select("demand_id"), _new_demands(t), NOW)
+    d, _ = state.create_demands(t.demands.select("demand_id"), _new_demands(t), _now())
     return d.groupBy("title", F.col("confidence_score").alias("confidence")).agg(F.count("*").alias("n"), F.count_distinct("demand_id").alias("n_ids"))
 
 
@@ -107,14 +108,14 @@ def _scores(t: Tables) -> DataFrame:
 @register("e12_change_confidence", """, c AS (SELECT demand_id, arg_max(round(abs(sin(new_score)), 4), provenance_id) AS s, count(*) AS n FROM events_ WHERE new_score IS NOT NULL GROUP BY 1)
  SELECT d.demand_id, coalesce(c.s, d.confidence_score) AS confidence_score, 1 + coalesce(n, 0) AS n_history FROM demands d LEFT JOIN c USING (demand_id)""", "demands", "events_")
 def e12(t: Tables) -> DataFrame:
-    d = t.demands.withColumn("confidence_history", F.array(F.struct(F.col("confidence_score").alias("score"), NOW.alias("timestamp"), F.lit("created").alias("reason"))))
-    return state.change_confidence(d, _scores(t), NOW)[0].select("demand_id", "confidence_score", F.size("confidence_history").cast("long").alias("n_history"))
+    d = t.demands.withColumn("confidence_history", F.array(F.struct(F.col("confidence_score").alias("score"), _now().alias("timestamp"), F.lit("created").alias("reason"))))
+    return state.change_confidence(d, _scores(t), _now())[0].select("demand_id", "confidence_score", F.size("confidence_history").cast("long").alias("n_history"))
 
 
 @register("e12_confidence_events", "SELECT e.demand_id, provenance_id AS change_id, 'confidence_changed' AS event_type FROM events_ e JOIN demands d USING (demand_id)", "demands", "events_")
 def e12_events(t: Tables) -> DataFrame:
-    d = t.demands.withColumn("confidence_history", F.array(F.struct(F.col("confidence_score").alias("score"), NOW.alias("timestamp"), F.lit("created").alias("reason"))))
-    return state.change_confidence(d, _scores(t), NOW)[1].select("demand_id", "change_id", "event_type")
+    d = t.demands.withColumn("confidence_history", F.array(F.struct(F.col("confidence_score").alias("score"), _now().alias("timestamp"), F.lit("created").alias("reason"))))
+    return state.change_confidence(d, _scores(t), _now())[1].select("demand_id", "change_id", "event_type")
 
 
 @register("e13_validate", """, c AS (SELECT demand_id, count(*) AS n FROM events_ WHERE provenance_id % 3 = 0 GROUP BY 1)
