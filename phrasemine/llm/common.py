@@ -1,13 +1,15 @@
-"""Helpers shared by the corpus operators: table access, shared scratch tables, connected components."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import forget, shared_dir, stash
+from ..operators.graph import roots
+
+__all__ = ["NOT_SPACE", "ascii_lower", "forget", "fresh", "roots", "row_key", "shared_dir", "stash", "table", "word_count"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -17,34 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="phrasemine-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stash(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/phrasemine-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stash_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a stash that no later plan reads."""
-    path = getattr(df, "stash_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII text, the common case, takes the fast built-in."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
@@ -60,41 +34,9 @@ def row_key(*cols: Column) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges (src, dst): rows (node, root), root the smallest node reachable.
-
-    Alternates large-star and small-star steps.  Minima are partial aggregates and the joins that carry them back
-    can be split by AQE, so a node with very many neighbours is no bottleneck; the number of rounds grows with the
-    logarithm of a component's diameter.  Each round is a table in the shared folder.
-    """
-
-    def star(sym: DataFrame) -> DataFrame:
-        low = sym.groupBy("src").agg(F.min("dst").alias("m"))
-        return sym.join(low.withColumn("m", F.least("m", "src")), "src")
-
-    def size(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
-
-    e = stash(
-        edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(),
-        "edges",
-    )
-    before = size(e)
-    while before[0]:
-        both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = star(both).where("dst > src and dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        near = star(large)
-        small = (
-            near.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-            .union(near.select("src", F.col("m").alias("dst"))).distinct()
-        )
-        after_e = stash(small, "edges")
-        after = size(after_e)
-        forget(e)
-        e = after_e
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(
-        e.select(F.col("dst").alias("node"), F.col("dst").alias("root"))
-    ).groupBy("node").agg(F.min("root").alias("root"))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name

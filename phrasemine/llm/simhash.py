@@ -16,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, row_key, stash
+from .common import fresh, roots, row_key, stash
 
 SHINGLE, BITS, SEED = 4, 4, 42
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
@@ -65,21 +65,22 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     variants = fps.select("fp", F.posexplode(masks).alias("bit", "m")).select(
         "bit", "fp", (F.col("fp").bitwiseAND(F.col("m"))).bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit)"))).alias("v")
     )
-    counts = stash(variants.groupBy("bit", "v").agg(F.count("*").alias("n")).where("n > 1"), "variants")
-    few = variants.join(counts.where(F.col("n") <= pairwise).select("bit", "v"), ["bit", "v"], "left_semi")
+    # One shuffle serves all that follows: both sides of the join and the crowd need the same partitioning and columns.
+    met = variants.withColumn("n", F.count("*").over(Window.partitionBy("bit", "v"))).where("n > 1")
+    few = met.where(F.col("n") <= pairwise).select("bit", "v", "fp")
     a, b = few.alias("a"), few.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= BITS
-    pairs = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp")) & near).select(
+    pairs = a.join(b.hint("merge"), (F.col("a.bit") == F.col("b.bit")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp")) & near).select(
         F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")
     )
-    crowd = variants.join(counts.where(F.col("n") > pairwise).select("bit", "v"), ["bit", "v"], "left_semi").select("fp").distinct()
+    crowd = met.where(F.col("n") > pairwise).select("fp").distinct()
     flips = F.expr(
         "concat(array(0L), transform(sequence(0, 63), i -> shiftleft(1L, i)),"
         " flatten(transform(sequence(1, 63), i -> transform(sequence(0, i - 1), j -> shiftleft(1L, i) | shiftleft(1L, j)))))"
     )
     points = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("p"))
     low = points.groupBy("p").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").select("p", "low")
-    stars = points.join(low, "p").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst"))
+    stars = points.join(low.hint("merge"), "p").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst"))
     return pairs.union(stars)
 
 
@@ -93,7 +94,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     fp = stash(fingerprints(docs), "fp")
     classes = stash(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    comp = components(links(classes.select("fp")))
+    comp = roots(links(classes.select("fp")))
     rooted = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = stash(rooted.join(ids, "root").select("fp", "component_id"), "components")
@@ -106,5 +107,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay only in components without any doc_id, all of them.  Rows that repeat a doc_id stay
     together: which text such an id stands for is not decided here.
     """
-    keep = near_duplicates(docs).where("doc_id <=> component_id").select(row_key(F.col("doc_id")).alias("_key")).distinct()
-    return docs.withColumn("_key", row_key(F.col("doc_id"))).join(keep, "_key", "left_semi").drop("_key")
+    key = fresh(docs, "_key")
+    keep = near_duplicates(docs).where("doc_id <=> component_id").select(row_key(F.col("doc_id")).alias(key)).distinct()
+    return docs.withColumn(key, row_key(F.col("doc_id"))).join(keep, key, "left_semi").drop(key)
