@@ -1,0 +1,447 @@
+"""Each operator against brute force, and on null, empty, long, tied, repeated and oddly named input."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from phrasemine.llm import chat, decontaminate, exact_dedup, html_blocks, html_extract, mixing, secrets, simhash, spans, toxicity, warc
+from phrasemine.llm.queries import ORACLE
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(r, n):
+    return " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(3)
+    long = words(r, 4000)
+    base = [words(r, r.randint(1, 60)) for _ in range(40)]
+    texts = [None, "", " \n ", "A", "a", long, long.upper(), long + "x", *base, *[b.capitalize() for b in base[:15]], *[b + " end" for b in base[:10]], "Ünï Ünï", "ünï Ünï"]
+    out = [(i, t, "en", [None, "b", "a", "Z"][i % 4], len(t or "")) for i, t in enumerate(texts)]
+    return [*out, out[9], out[9], (None, base[3], "en", "a", 1), (None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """With columns whose names operators might use themselves."""
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as _key", "2 as key", "3 as _th", "4 as size", "5 as fp", "6 as n_units", "7 as _nth", "8 as `start`").withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+# exact dedup
+
+
+def test_exact_groups(spark, docs, rows):
+    got = [tuple(r) for r in exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
+    groups = {}
+    for d, t, *_ in rows:
+        groups.setdefault(low(t), []).append(d)
+    assert len(got) == len(rows)
+    want = []
+    for t, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        seen = set()
+        for i in ids:
+            kept = i == keep and i not in seen
+            seen.add(i)
+            want.append((i, keep, len(ids), kept, hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_drop_exact_copies(docs, rows):
+    left = exact_dedup.drop_exact_copies(docs)
+    assert left.columns == docs.columns
+    texts = [low(r.text) for r in left.collect()]
+    assert sorted(texts) == sorted({low(t) for _, t, *_ in rows})
+
+
+def test_exact_groups_of_many_blocks(spark):
+    """Names must tell apart texts that share all blocks but in another order or number."""
+    b = exact_dedup.BLOCK
+    parts = ["x" * b, "y" * b, "z" * b]
+    texts = ["".join(parts[k] for k in o) for o in ((0, 1, 2), (0, 2, 1), (0, 1), (0, 1, 2, 0), (0, 0, 0), (0, 1, 2))] + ["".join(parts) + "q"]
+    got = exact_dedup.exact_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.keep_id for r in got} == {0: 5, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+# simhash
+
+
+def test_fingerprint_by_hand():
+    import xxhash
+
+    def slow(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sh = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+
+    r = random.Random(1)
+    for t in [None, "", "a b", "É é É A\x0bb", words(r, 4), words(r, 300), words(r, 70_000)]:
+        assert simhash.fingerprint(t) == slow(t)
+
+
+@pytest.mark.parametrize("pairwise", [64, 2])
+def test_links_find_all_pairs(spark, pairwise):
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(30)]
+    fps = {0, (1 << 64) - 1, *base}
+    for b in base:
+        for k in range(7):
+            x = b
+            for bit in r.sample(range(64), k):
+                x ^= 1 << bit
+            fps.add(x)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = simhash.roots(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), pairwise)).collect()
+    root = {s: s for s in signed} | {g.node: g.root for g in got}
+    arr = np.array(sorted(fps), dtype=np.uint64)
+    parent = {int(x): int(x) for x in arr}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in arr:
+        for y in arr[np.bitwise_count(arr ^ x) <= simhash.BITS]:
+            parent[find(int(x))] = find(int(y))
+    by = {}
+    for f in fps:
+        by.setdefault(find(f), set()).add(root[f - (1 << 64) if f >> 63 else f])
+    assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+
+
+def test_near_duplicates(docs, rows, empty):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {r.fingerprint for r in got if r.doc_id in (0, 1, 2)} == {"0" * 16}
+    comp = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert comp[0] == comp[1] == comp[2] == 0 and comp[3] == comp[4] and comp[5] == comp[6]
+    assert all(c <= d for d, c in comp.items())
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(comp.values())
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+# decontamination
+
+
+def test_tiles_reordered():
+    item, doc = decontaminate.word_ids("a b c d e f g h i j k"), decontaminate.word_ids("x g h i j k y a b c d e f z a b c")
+    t = decontaminate.tiles(item, doc)
+    assert sorted((i, k) for i, _, k in t) == [(0, 6), (6, 5)]
+    assert decontaminate.tiles(item, doc[:2]) == []
+    same = decontaminate.word_ids("a a a a a a a")
+    assert sum(k for *_, k in decontaminate.tiles(same, same)) == 7
+
+
+def test_tiles_against_brute_force():
+    """No two equal free runs of LEAST words may be left over, and tiles are equal and apart."""
+    r = random.Random(9)
+    for _ in range(60):
+        a, b = (decontaminate.word_ids(" ".join(r.choices("abcd", k=r.randint(0, 25)))) for _ in range(2))
+        t = decontaminate.tiles(a, b)
+        ma, mb = [0] * len(a), [0] * len(b)
+        for i, j, k in t:
+            assert (a[i : i + k] == b[j : j + k]).all() and not any(ma[i : i + k]) and not any(mb[j : j + k])
+            ma[i : i + k], mb[j : j + k] = [1] * k, [1] * k
+        n = decontaminate.LEAST
+        assert not any((a[i : i + n] == b[j : j + n]).all() and not any(ma[i : i + n]) and not any(mb[j : j + n]) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1))
+
+
+def test_matches(spark, docs, empty, monkeypatch):
+    r = random.Random(4)
+    item, clean = words(r, 40), words(r, 200)
+    w = item.split()
+    moved = " ".join(w[20:] + ["between"] + w[:20])
+    d = spark.createDataFrame([(1, clean, 0), (2, f"{clean} {item.upper()}!", 0), (3, f"{moved} {clean}", 0), (4, " ".join(w[:25]), 0), (5, None, 0), (5, None, 0), (6, item, 0), (6, item, 1), (None, item, 0)], "doc_id long, text string, th int")
+    bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (None, item)], "item_id long, text string")
+    for most in (decontaminate.MOST_SENT, 0):
+        monkeypatch.setattr(decontaminate, "MOST_SENT", most)
+        got = {(x.doc_id, x.item_id): (round(x.coverage, 3), x.reordered) for x in decontaminate.matches(d, bench).collect()}
+        assert got == {(2, 7): (1.0, False), (3, 7): (1.0, True), (6, 7): (1.0, False), (None, 7): (1.0, False)}
+    left = decontaminate.drop_contaminated(d, bench)
+    assert left.columns == d.columns and sorted(x.doc_id for x in left.collect()) == [1, 4, 5, 5]
+    assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
+
+
+# mixing
+
+
+def test_mix(docs, rows, empty):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while True:  # share, stop at three times, share the excess again
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            free.remove(s)
+            left -= target[s]
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source]) and 0 <= r.copies <= 3 and r.taken == r.copies * r.size
+    for s in order:
+        n, want = sum(r.copies for r in got if r.source == s), target[s] / sizes[s] * sum(r.source == s for r in got)
+        assert abs(n - want) <= 1
+    assert mixing.mix(empty).count() == 0
+
+
+# secrets
+
+
+def spans_by_hand(t):
+    found = []
+    for i, (kind, p, least) in enumerate((("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24))):
+        for m in re.finditer(p, t or ""):
+            if len(m[2] if kind == "assign" else m[0]) >= least:
+                found.append((m.start(), i, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_secrets(spark, empty):
+    hex_ = "0123456789abcdef" * 2
+    texts = [
+        None, "", "nothing", f"é𝄞 password = hunter22 {hex_}", "secret=token:abcdefgh", "PASSWORD: 'abc' api_key=abcdef, apikey=\"x.y/z==9\"", "AKIA" + "A" * 16 + "AKIA" + "9" * 20, hex_ * 40 + "g" + hex_,
+        "token = a token = abcdefg", f"user: bob\npwd: abcd\nhttps://db.example/x\n\npwd: lonely", "pwd: lonely", "user=bob", "client_id=abc123 " + "0123456789abcdef01", ("token: abcdef " * 3000),
+    ]
+    d = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[3])], "doc_id long, text string")
+    got = secrets.scan(d).collect()
+    assert len(got) == len(texts) + 2
+    by = {r.doc_id: r for r in got}
+    for i, t in enumerate(texts):
+        base = spans_by_hand(t)
+        assert by[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest(), t
+        assert (by[i].n_assign, by[i].n_access, by[i].n_hex) == tuple(sum(s.startswith(k) for s in base.split(",")) for k in ("assign", "access", "hex"))
+        assert set(filter(None, base.split(","))) <= set(by[i].spans.split(","))
+    assert by[9].spans == "weak_id:0:9,weak_key:10:19,endpoint:20:40"
+    assert by[10].spans == by[11].spans == "" and by[12].spans == "weak_id:0:16,weak_key:17:35"
+    assert secrets.scan(empty).count() == 0
+
+
+# warc
+
+
+def test_warc(spark):
+    big, r = "<p>é" + "x" * 1200, random.Random(2)
+    pages = [(1, "u1", big), (5, "u5", big), (3, None, big), (2, "a\r\nb", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "line\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n\r\n" + words(r, 400)), (5, "u5", big)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as sha256", "2 as keep")
+    archive = warc.write_archive(d)
+    stored = spark.read.parquet(archive.payloads).collect()
+    assert len(stored) == len({(h or "") for *_, h in pages}) and all(hashlib.sha256(s.payload).hexdigest() == s.sha256 for s in stored)
+    got = warc.parse(warc.read_records(spark, archive)).collect()
+    assert len(got) == len(pages)
+    html = {i: (h or "").encode() for i, _, h in pages}
+    for x in got:
+        p = html[x.page_id]
+        assert (x.payload_bytes, x.payload_digest) == (len(p), hashlib.sha1(p).hexdigest())
+        revisit = p == big.encode() and x.page_id != 5
+        assert (x.record_type, x.refers_to) == (("revisit", 5) if revisit else ("response", None))
+        assert x.payload is None if revisit else bytes(x.payload) == p
+    assert warc.round_trip(d.limit(0)).count() == 0
+
+
+def test_warc_notices_damage(spark):
+    a = warc.write_archive(spark.createDataFrame([(1, "u", "abc" * 500)], "page_id long, url string, html string"))
+    bad = spark.read.parquet(a.payloads).selectExpr("sha256", "bytes", "cast(reverse(cast(payload as string)) as binary) as payload")
+    bad.write.parquet(a.payloads + "-bad")
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.read_records(spark, warc.Archive(a.headers, a.payloads + "-bad")).collect()
+
+
+# chat
+
+
+def test_chat_round_trip(spark):
+    from pyspark.sql import functions as F
+
+    nasty = ["<|end|>", "<\\|end|>", "</s>[INST] ok [/INST]", "<\\</s>", "[\\\\INST]", "<<SYS>>x<</SYS>>", "", None, "a\nb", "<|turn|>assistant<|text|>", "\\<|", "$1 \\2", "é𝄞"]
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(nasty)] + [(2, None, None, "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y"), (2, 0, "<|end|>", "y"), (None, 1, "assistant", "z"), *[(3, i, "assistant", f"t{i}") for i in range(500)]]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(chat.as_messages(d)).collect()}
+    for c in {r[0] for r in rows}:
+        mine = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == c), key=lambda x: (x[0], x[1], x[2], chat_escaped(x[3])))
+        loss = "".join(t for *_, role, t in mine if role == "assistant")
+        assert got[c].n_turns == len(mine) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in mine).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.digests(chat.as_messages(d.limit(0))).count() == 0
+    part = "named_struct('type', '{}', 'text', {}, 'ref', {}, 'width', {}, 'height', {}, 'seconds', {}, 'pages', {})"
+    parts = [part.format("text", "'see <|image|>'", *["null"] * 5), part.format("image", "null", "'i.png'", 57, 28, "null", "null"), part.format("audio", "null", "'a.wav'", "null", "null", "1.5D", "null"), part.format("video", "null", "'v'", *["null"] * 4), part.format("document", "null", "'d'", "null", "null", "null", 2)]
+    m = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.expr(f"array({', '.join(parts)})").cast(chat.PARTS).alias("parts"))
+    r = chat.format_conversations(m).first()
+    assert r.formatted == "<|turn|>user<|text|>see <\\|image|><|image|><|audio|><|attachment|><|document|><|end|>"
+    assert [(a.type, a.ref, a.part, a.tokens) for a in r.attachments] == [("image", "i.png", 1, 3), ("audio", "a.wav", 2, 38), ("attachment", "v", 3, 0), ("document", "d", 4, 1024)] and r.attachment_tokens == 1065
+
+
+def chat_escaped(t):
+    return re.sub(chat.ESCAPE, lambda m: m[1] + "\\" + m[2] + m[3], t)
+
+
+# toxicity
+
+
+def test_automaton_against_levenshtein():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    terms = {w: i for i, w in enumerate(["idiot", "moron", "pathetic", "disgusting", "scum", "idiots"])}
+    a, r = toxicity._Automaton(terms, {}), random.Random(8)
+    for _ in range(3000):
+        w = list(r.choice(list(terms)))
+        for _ in range(r.randint(0, 3)):
+            k = r.randint(0, len(w))
+            w[k : k + r.randint(0, 1)] = r.choice(["", "x", "i", "o"])
+        w = "".join(w)
+        fits = [(distance(w, t), i) for t, i in terms.items() if distance(w, t) <= a.allowed(t)]
+        got = a.match(w)
+        assert (got is None) == (not fits) and (not fits or (got[1], got[0]) == min(fits)), (w, got, fits)
+
+
+def test_toxicity_learns(spark, empty):
+    from pyspark.sql import functions as F
+
+    r, bad = random.Random(6), ["zorkish", "grumblet", "snarfed"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        w = words(r, 30).split()
+        if toxic:
+            for t in r.sample(bad, 2):
+                w.insert(r.randint(0, len(w)), t)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    d, lab = spark.createDataFrame([*rows, (None, None), (601, "")], "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, toxic int")
+    model = toxicity.fit(d, lab)
+    assert model == toxicity.fit(d.repartition(5), lab)
+    got = {x.doc_id: x for x in toxicity.score(d.withColumn("score", F.lit(1)), model).collect()}
+    held = [i for i in range(600) if got[i].held_out]
+    import zlib
+
+    assert held == [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) > 0.97
+    f = toxicity.score_column(model)
+    s = [x[0] for x in spark.createDataFrame([(rows[1][1] + " zorkiish gruumblet",), (rows[1][1],), ("",), (None,)], "t string").select(f("t")).collect()]
+    assert s[0] > 0.5 > s[1] and s[2] < 0.5 and s[2] == s[3]
+    quoted, plain = "you zorkish grumblet " + words(r, 20), 'he said "zorkish grumblet" ' + words(r, 20)
+    m = toxicity._Matcher(model)
+    assert toxicity.features(quoted, m)[0] > 0 and toxicity.features(plain, m)[0] == 0 and toxicity.features(plain, m)[3] > 0
+    assert toxicity.score(empty, model).count() == 0
+    none = toxicity.fit(d, lab.limit(0))
+    assert {x.predicted for x in toxicity.score(d, none).collect()} == {0}
+    left = toxicity.drop_toxic(d, model)
+    assert left.columns == d.columns and left.count() < d.count()
+
+
+# substring dedup
+
+
+def test_repeats(spark, empty):
+    r = random.Random(7)
+    sentence = lambda n: words(r, n).capitalize() + ". "
+    passage = "".join(sentence(r.randint(4, 30)) for _ in range(5))
+    a, b, c, e = ("".join(sentence(8) for _ in range(4)) for _ in range(4))
+    one = words(r, 60)
+    d = spark.createDataFrame([(3, a + passage, 0), (1, passage.upper() + b, 0), (2, c + passage + passage, 0), (4, e, 0), (5, None, 0), (6, "", 0), (7, a + one + ". " + b[:9], 0), (8, "Start. " + one + ". tail", 0), (4, e, 1), (9, e[:60], 0)], "doc_id long, text string, n_removed int")
+    got = {(x.doc_id): x for x in spans.remove_repeats(d).collect()}
+    assert spans.remove_repeats(d).count() == 10 and got[1].n_removed == 0 and got[1].text == passage.upper() + b
+    assert got[2].text == c and got[2].first_doc_ids == [1] and got[3].text == a
+    assert got[4].text == e and got[5].text is None and got[6].text == "" and got[9].n_removed == 0
+    assert got[7].n_removed > 0 and got[7].first_doc_ids == [3] and got[8].n_removed >= 3 and one.split()[5] not in got[8].text.split()
+    changed = spans.remove_repeats(d, True)
+    assert sorted(x.doc_id for x in changed.collect()) == [2, 3, 7, 8] and changed.columns == ["doc_id", "text", "n_units", "n_removed", "first_doc_ids"]
+    assert spans.remove_repeats(empty).count() == 0
+
+
+def test_units_tile_texts(spark):
+    r = random.Random(3)
+    texts = ["", "a", " . ", "x" * 5000, words(r, 500), "A b.\n\nC d!! e f? ", "1.5 and\r\n2", "".join(r.choices("ab .!?\n\t", k=3000))]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, u in d.select("t", spans._cut(d["t"])).collect():
+        assert "".join(u) == t and all(len(x.split()) <= spans.LONG or re.search(r"[.!?\n]", x) or len(x.split()) <= spans.LONG for x in u)
+
+
+# html
+
+
+def test_blocks():
+    page = "<html><head><title>t</title></head><body><p>a&amp;b &lt;c&gt;<br>d\n  e<p>f <b>g</b><div>h<script>x<p></script>i</div><table><tr><td>j<td>k</table><!-- <p>no</p> --><ul><li>l<li>m</ul><p hidden>n</p>5 < 6"
+    assert [b.text for b in html_blocks.blocks(page)] == ["a&b <c> d e", "f g", "hi", "j", "k", "l", "m", "5 < 6"]
+    assert html_blocks.blocks(None) == [] == html_blocks.blocks("") and [b.text for b in html_blocks.blocks("x &nbsp; y")] == ["x y"]
+
+
+def test_viterbi_against_all_paths():
+    from itertools import product
+
+    r = random.Random(1)
+    for _ in range(50):
+        w = {f: [r.gauss(0, 1), r.gauss(0, 1)] for f in "abcde"}
+        trans = [[r.gauss(0, 1), r.gauss(0, 1)] for _ in range(2)]
+        b = [html_blocks.Block("", r.sample("abcde", 2)) for _ in range(r.randint(1, 6))]
+        score = lambda y: sum(w[f][k] for x, k in zip(b, y) for f in x.features) + sum(trans[i][j] for i, j in zip(y, y[1:]))
+        assert score(html_extract.decode(b, w, trans)) == pytest.approx(max(map(score, product((0, 1), repeat=len(b)))))
+
+
+def test_extraction_of_unseen_pages(spark):
+    import json
+
+    m = json.loads(html_extract.fit())
+    right = total = 0
+    for x, y in html_extract.training_set(150, seed=99):
+        got = html_extract.decode([html_blocks.Block("", f) for f in x], m["weights"], m["trans"])
+        right, total = right + sum(a == b for a, b in zip(got, y)), total + len(y)
+    assert right / total > 0.98
+    page = "<body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies.</div><article><h1>Title here</h1><p>First para, with words in it.</p><p>Second &eacute; para goes here.</p></article><section id='comments'><p>Bob says: nice one, really</p></section><footer>© 2024</footer></body>"
+    d = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (1, "u", page)], "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
+    got = [tuple(r) for r in html_extract.extract(d).orderBy("page_id").collect()]
+    want = "Title here\nFirst para, with words in it.\nSecond é para goes here."
+    assert got == [(1, "u", want, len(want))] * 2 + [(2, None, "", 0), (3, "v", "", 0)]
+
+
+# SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql_agrees(spark, name):
+    import duckdb
+
+    from phrasemine.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations", "labels", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = QUERIES[name](spark, sf)
+    cols = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLE[name]})").fetchall()
+    show = lambda rows: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+    assert show(map(tuple, got.select(*cols).collect())) == show(want)
