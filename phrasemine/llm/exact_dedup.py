@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, stash
+from .common import ascii_lower, fresh, row_key, stash
 
 #: Bytes in a block, and groups that the occurrences of one block are dealt over.
 BLOCK, SALTS = 4096, 64
@@ -55,9 +55,14 @@ def _first_names(docs: DataFrame) -> DataFrame:
 
 
 def _sorted_groups(heads: DataFrame, parts: int) -> DataFrame:
-    ordered = heads.repartitionByRange(parts, "block").sortWithinPartitions("block")
-    grouped = ordered.groupBy("block").agg(F.collect_set("local").alias("locals"))  # at most SALTS each
-    return grouped.sortWithinPartitions("block").select(F.monotonically_increasing_id().alias("name"), "locals")
+    """(name, locals) of the distinct blocks, sorted by (h, block).
+
+    The hash h only comes first in the order, so that the range bounds are numbers and not sampled text on the driver, and
+    blocks with a common beginning spread over partitions; blocks are told apart by their bytes.
+    """
+    ordered = heads.withColumn("h", F.xxhash64("block")).repartitionByRange(parts, "h")
+    grouped = ordered.groupBy("h", "block").agg(F.collect_set("local").alias("locals"))  # at most SALTS each
+    return grouped.sortWithinPartitions("h", "block").select(F.monotonically_increasing_id().alias("name"), "locals")
 
 
 def block_names(docs: DataFrame) -> DataFrame:
@@ -123,10 +128,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    key, nth = fresh(docs, "_key"), fresh(docs, "_nth")
+    kept = exact_groups(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(key))
     sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), sha)).join(kept, "_key", "left_semi")
-    # rows that repeat doc_id and text: one stays, whatever their further columns hold
-    rest = [F.col(f"`{c}`") for c in docs.columns]
-    first = Window.partitionBy("_key").orderBy(F.xxhash64(*rest))
-    return keyed.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_key", "_nth")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), sha)).join(kept, key, "left_semi")
+    # of rows that repeat doc_id and text one stays, whatever their further columns hold
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    first = Window.partitionBy(key).orderBy(F.xxhash64(F.to_json(F.struct(*rest))))
+    return keyed.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(key, nth)
