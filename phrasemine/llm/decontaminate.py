@@ -10,7 +10,8 @@ cover COVER of the item's words, in whatever order they stand.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import fresh, stash
 
 SEED, LEAST, COVER = 5, 3, 0.8
-#: Seeds of the whole benchmark up to which their hashes go to all tasks (16 MB) and thin the documents' seeds before the join; beyond it the join takes all.
+#: Seeds of the whole benchmark up to which they and their words go to all tasks (16 MB of hashes, at most as many words) and thin the
+#: documents' seeds before the join; beyond it the join takes all.
 MOST_SENT = 2_000_000
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -137,6 +139,32 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     return benchmark.where("item_id is not null").select("item_id", "text").mapInPandas(seeds, "h long, item_id long").distinct()
 
 
+def _distinct_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        if words := sorted({w for t in p["text"] for w in _WORD.findall((t or "").lower())}):
+            yield pd.DataFrame({"word": words})
+
+
+def window_finder(vocabulary: list[str], known: np.ndarray) -> Callable[[str], np.ndarray]:
+    """text -> hashes of its windows that are known.  Words outside the vocabulary are in no known window, so they need no hash."""
+    number = {w: k for k, w in enumerate(vocabulary, 1)}
+    ids = np.concatenate((np.zeros(1, np.uint64), word_ids(" ".join(vocabulary))))
+    door = np.zeros(1 << 22, dtype=bool)
+    door[known >> np.uint64(42)] = True
+
+    def find(text: str) -> np.ndarray:
+        words = _WORD.findall(text.lower())
+        k = np.fromiter(map(number.get, words, repeat(0)), dtype=np.int32, count=len(words))
+        inside = np.concatenate(([0], np.cumsum(k > 0)))
+        if len(words) < SEED or inside[-1] < SEED:
+            return known[:0]
+        h = window_hashes(ids[k], SEED)[inside[SEED:] - inside[:-SEED] == SEED]
+        h = h[door[h >> np.uint64(42)]]
+        return h[np.isin(h, known)] if len(h) else h
+
+    return find
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, th, item_id, coverage, n_tiles, longest, reordered: pairs whose tiles cover enough of the item.
 
@@ -147,22 +175,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> Data
     seeds = stash(item_seeds(benchmark), "seeds")
     sent = None
     if seeds.count() <= MOST_SENT:
+        words = benchmark.select("text").mapInPandas(_distinct_words, "word string").distinct()
+        vocabulary = sorted(r.word for r in words.toLocalIterator())
         hashes = np.unique(np.array([r.h for r in seeds.select("h").distinct().toLocalIterator()], dtype=np.int64).view(np.uint64))
-        sent = spark.sparkContext.broadcast(hashes)
+        sent = spark.sparkContext.broadcast((vocabulary, hashes))
 
     def hits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value if sent is not None else None
-        if known is not None:
-            door = np.zeros(1 << 22, dtype=bool)
-            door[known >> np.uint64(42)] = True
+        find = window_finder(*sent.value) if sent is not None else lambda t: window_hashes(word_ids(t), SEED)
         for p in parts:
-            rows = []
-            for t in p["text"]:
-                h = window_hashes(word_ids(t), SEED)
-                if known is not None:
-                    h = h[door[h >> np.uint64(42)]]
-                    h = h[np.isin(h, known)] if len(h) else h
-                rows.append(np.unique(h).view(np.int64))
+            rows = [np.unique(find(t)).view(np.int64) for t in p["text"]]
             keep = np.array([len(x) > 0 for x in rows], dtype=bool)
             if keep.any():
                 yield p[keep].assign(hits=[x for x in rows if len(x)])
@@ -191,5 +212,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> Data
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
     bad = stash(matches(docs, benchmark, cover).select(F.col("doc_id").alias("_id"), "th").distinct(), "contaminated")
-    d = docs.withColumn("_th", F.xxhash64("text"))
-    return d.join(bad, (d["_th"] == bad["th"]) & d["doc_id"].eqNullSafe(bad["_id"]), "left_anti").drop("_th")
+    th = fresh(docs, "_th")
+    d = docs.withColumn(th, F.xxhash64("text"))
+    return d.join(bad, (d[th] == bad["th"]) & d["doc_id"].eqNullSafe(bad["_id"]), "left_anti").drop(th)
