@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .common import stash
+
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows that fit() learns from at most, chosen by hash; entries of the lexicon at most.
 TRAIN_ROWS, LEXICON = 8000, 400
@@ -158,22 +160,30 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT
 
 
-def _lexicon(texts: list[str], y: np.ndarray, most: int) -> list[tuple[str, bool, float]]:
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    counts: dict[bool, tuple[Counter, Counter]] = {False: (Counter(), Counter()), True: (Counter(), Counter())}
-    for t, label in zip(texts, y):
-        words = {w for w in _TOKEN.findall((t or "").lower()) if len(w) >= 4}
-        counts[False][int(label)].update(words)
-        counts[True][int(label)].update({w[:k] for w in words for k in PREFIXES if len(w) > k})
-    found = []
-    for is_prefix, (clean, toxic) in counts.items():
-        for w, t in toxic.items():
-            c = clean[w]
-            lift = np.log((t + 0.5) / n1) - np.log((c + 0.5) / n0)
-            if t >= 5 and lift > 2.0:
-                found.append((float(lift * np.sqrt(t)), w, is_prefix, float(lift)))
-    found.sort(key=lambda x: (-x[0], x[1], x[2]))
-    return [(w, p, lift) for _, w, p, lift in found[:most]]
+def _half(doc_id: int) -> int:
+    return (doc_id * 2654435761 >> 8) & 1
+
+
+def _term_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents that hold each word or beginning, by label and half of the sample; counted within a batch first."""
+    for p in parts:
+        counts: dict[tuple[str, bool], list[int]] = {}
+        for doc_id, text, toxic in zip(p["doc_id"], p["text"], p["toxic"]):
+            at = 2 * int(toxic > 0) + _half(int(doc_id))
+            words = {w for w in _TOKEN.findall((text or "").lower()) if len(w) >= 4}
+            for key in [(w, False) for w in words] + [(w, True) for w in {w[:k] for w in words for k in PREFIXES if len(w) > k}]:
+                counts.setdefault(key, [0] * 4)[at] += 1
+        if counts:
+            yield pd.DataFrame([(*k, *v) for k, v in counts.items()], columns=["term", "is_prefix", "c0", "c1", "t0", "t1"])
+
+
+def _lexicon(terms: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...], most: int) -> list[tuple[str, bool, float]]:
+    """The terms that toxic texts of some halves hold far more often than others."""
+    t, c = (sum((F.col(f"{k}{h}") for h in halves), F.lit(0)) for k in "tc")
+    n1, n0 = (max(1, sum(sizes.get((label, h), 0) for h in halves)) for label in (1, 0))
+    lift = F.log((t + 0.5) / n1) - F.log((c + 0.5) / n0)
+    x = terms.select("term", "is_prefix", t.alias("t"), lift.alias("lift")).where("t >= 5 and lift > 2")
+    return [(r.term, r.is_prefix, r.lift) for r in x.orderBy((-F.col("lift") * F.sqrt("t")), "term", "is_prefix").limit(most).collect()]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -193,6 +203,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexicon: int = LEXICON) -> dict:
     """Learn from labelled documents outside the held-out fold: at most train_rows of them, chosen by a hash of doc_id.
 
+    Texts stay on the executors: the driver gets the labels of the sample, the lexicon and nine numbers a row.
+
     Rows without a label or doc_id are skipped; a doc_id labelled twice is toxic if either says so.  Without any row of
     one class all scores are the share of toxic rows, 0 for none.
     """
@@ -200,24 +212,27 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexico
         labels.where("toxic is not null and doc_id is not null").where(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     )
-    rows = sorted(docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect(), key=lambda r: (r.doc_id, r.text or ""))
-    y = np.array([int(r.toxic > 0) for r in rows], dtype=float)
-    if not len(rows) or y.min() == y.max():
-        return {"lexicon": [], "weights": [0.0] * N_FEATURES + [float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(rows) else -30.0]}
-    texts = [r.text for r in rows]
+    sample = stash(docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
+    sizes: dict[tuple[int, int], int] = {}
+    for r in sample.select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).toLocalIterator():
+        sizes[r.y, _half(r.doc_id)] = sizes.get((r.y, _half(r.doc_id)), 0) + 1
+    n = {y: sizes.get((y, 0), 0) + sizes.get((y, 1), 0) for y in (0, 1)}
+    if not n[0] or not n[1]:
+        return {"lexicon": [], "weights": [0.0] * N_FEATURES + [float(np.log((n[1] + 0.5) / (n[0] + 0.5))) if n[0] + n[1] else -30.0]}
+    schema = "term string, is_prefix boolean, c0 long, c1 long, t0 long, t1 long"
+    terms = stash(sample.mapInPandas(_term_counts, schema).groupBy("term", "is_prefix").agg(*[F.sum(k).alias(k) for k in ("c0", "c1", "t0", "t1")]).where("t0 + t1 >= 5"), "terms")
     # terms learned on one half are weighed on the other, and the other way round, so that weights see honest hits
-    half = np.array([hash_half(r.doc_id) for r in rows])
-    x = np.zeros((len(rows), N_FEATURES))
-    for side in (0, 1):
-        learn, use = np.nonzero(half != side)[0], np.nonzero(half == side)[0]
-        matcher = _Matcher({"lexicon": _lexicon([texts[i] for i in learn], y[learn], lexicon)})
-        for i in use:
-            x[i] = features(texts[i], matcher)
-    return {"lexicon": _lexicon(texts, y, lexicon), "weights": _logistic(x, y).tolist()}
+    other = [_lexicon(terms, sizes, (1 - h,), lexicon) for h in (0, 1)]
 
+    def measured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matchers = [_Matcher({"lexicon": x}) for x in other]
+        for p in parts:
+            x = [features(t, matchers[_half(int(d))]) for d, t in zip(p["doc_id"], p["text"])]
+            yield pd.DataFrame({"y": (p["toxic"] > 0).astype(float), "x": x})
 
-def hash_half(doc_id: int) -> int:
-    return (doc_id * 2654435761 >> 8) & 1
+    rows = sorted((r.y, *r.x) for r in sample.mapInPandas(measured, "y double, x array<double>").collect())
+    xy = np.array(rows)
+    return {"lexicon": _lexicon(terms, sizes, (0, 1), lexicon), "weights": _logistic(xy[:, 1:], xy[:, 0]).tolist()}
 
 
 @lru_cache(maxsize=2)
