@@ -118,7 +118,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     An empty table gives no rows; further columns of docs are ignored.
     """
     names = stash(block_names(docs), "identities")
-    groups = names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # a table of its own, so that both sides of the join are plain shuffles and AQE can split a large group
+    groups = stash(names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     return (
         names.join(groups, ["level", "name"])
         .select("doc_id", "keep_id", "group_size", "text_sha256", F.posexplode(F.expr("array_repeat(0, cast(copies as int))")).alias("nth", "_"))
