@@ -3,20 +3,17 @@
 A text is cut into units that tile it: a sentence with its terminator (., !, ? or a line break) and the white space after it,
 or the next LONG words of a sentence that is longer.  Each run of RUN consecutive units is hashed (128 bits, case and
 outer white space aside) and the hashes meet in one global aggregation.  The first place of a run, by (doc_id, unit), is the original;
-units covered by a run that has an earlier place are removed, if the stretch of such runs that it belongs to has one of
-STRETCH code points: notices of a line or two are left alone.
+units covered by a run that has an earlier place are removed, however short they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, stash
 
 RUN, LONG = 3, 10
-#: Code points of a run that is looked at, and of the longest run of a stretch that is removed.
-LEAST_CHARS, STRETCH = 30, 100
 _SPACE = r"\x20\x09\x0B-\x0D"
 UNIT = rf"(?:[^.!?\n{_SPACE}]++[{_SPACE}]++){{{LONG}}}|[^.!?\n]*+[.!?\n]++[\x20\x09-\x0D]*+|[^.!?\n]++"
 _TRIM = "\x20\t\n\x0b\x0c\r"
@@ -39,22 +36,15 @@ def repeated_units(docs: DataFrame) -> DataFrame:
         .where(f"size(u) >= {RUN}")
         .select("doc_id", "th", F.posexplode(F.expr(
             f"transform(sequence(0, size(u) - {RUN}), i -> struct("
-            "xxhash64(u[i], u[i + 1], u[i + 2]) AS a, xxhash64(7L, u[i], u[i + 1], u[i + 2]) AS b, length(u[i]) + length(u[i + 1]) + length(u[i + 2]) AS n))"
+            "xxhash64(u[i], u[i + 1], u[i + 2]) AS a, xxhash64(7L, u[i], u[i + 1], u[i + 2]) AS b))"
         )).alias("i", "r"))
-        .where(f"r.n >= {LEAST_CHARS}")
-        .select("doc_id", "th", "i", "r.n", "r.a", "r.b")
+        .select("doc_id", "th", "i", "r.a", "r.b")
     )
     place = F.struct("doc_id", "th", "i")
     firsts = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
     again = runs.join(firsts, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
-    # stretches of overlapping or adjoining repeated runs, whole or not at all
-    order = Window.partitionBy("doc_id", "th").orderBy("i")
-    apart = F.coalesce((F.col("i") - F.lag("i").over(order) > RUN).cast("int"), F.lit(0))
-    stretch = F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    longest = F.max("n").over(Window.partitionBy("doc_id", "th", "stretch"))
-    long = again.withColumn("apart", apart).withColumn("stretch", stretch).withColumn("longest", longest).where(F.col("longest") >= STRETCH)
     return (
-        long.groupBy("doc_id", "th").agg(F.collect_set("i").alias("at"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
+        again.groupBy("doc_id", "th").agg(F.collect_set("i").alias("at"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
         .select("doc_id", "th", F.expr(f"array_sort(array_distinct(flatten(transform(at, i -> sequence(i, i + {RUN - 1})))))").alias("drop"), "first_doc_ids")
     )
 

@@ -382,6 +382,15 @@ def test_repeats(spark, empty):
     assert spans.remove_repeats(empty).count() == 0
 
 
+def test_short_repeats(spark):
+    lines = [f"{a} {b}.\n" for a in ("tea", "rice", "oil") for b in ("one", "two", "six", "ten")]
+    talk = "Yes. No. Why? "
+    d = spark.createDataFrame([(1, "".join(lines)), (2, "Other words here.\n" + "".join(lines) + "End."), (3, talk + "Then one left."), (4, "They spoke again. " + talk), (5, "Yes. No. But here it differs.")], "doc_id long, text string")
+    got = {x.doc_id: (x.text, x.n_removed, x.first_doc_ids) for x in spans.remove_repeats(d).collect()}
+    assert got[2] == ("Other words here.\nEnd.", 12, [1]) and got[4] == ("They spoke again. ", 3, [3])
+    assert all(got[i][1] == 0 for i in (1, 3, 5))
+
+
 def test_units_tile_texts(spark):
     r = random.Random(3)
     texts = ["", "a", " . ", "x" * 5000, words(r, 500), "A b.\n\nC d!! e f? ", "1.5 and\r\n2", "".join(r.choices("ab .!?\n\t", k=3000))]
