@@ -1,7 +1,9 @@
 """Substring de-duplication over sliding runs of sentences (DataFrame functions only).
 
-A text is cut into units that tile it: a sentence with its terminator (., !, ? or a line break) and the white space after it,
-or the next LONG words of a sentence that is longer.  Each run of RUN consecutive units is hashed (128 bits, case and
+A text is cut into units that tile it: a sentence with its terminator (., !, ?, those of other scripts or a line break) and the
+white space after it, or a piece of LEAST to LONG words of a sentence that is longer than LONG.  Such a sentence is cut before a word whose
+first letter is of a fixed class, so the cuts depend on the words at hand and come back into step inside a shared passage,
+whatever stands before it.  In scripts without spaces a word is a run of up to WIDE letters that starts like that, too.  Each run of RUN consecutive units is hashed (128 bits, case and
 outer white space aside) and the hashes meet in one global aggregation.  The first place of a run, by (doc_id, unit), is the original;
 units covered by a run that has an earlier place are removed, however short they are.
 """
@@ -13,9 +15,36 @@ from pyspark.sql import functions as F
 
 from .common import fresh, stash
 
-RUN, LONG = 3, 10
+RUN, LEAST, LONG, WIDE = 3, 3, 10, 6
 _SPACE = r"\x20\x09\x0B-\x0D"
-UNIT = rf"(?:[^.!?\n{_SPACE}]++[{_SPACE}]++){{{LONG}}}|[^.!?\n]*+[.!?\n]++[\x20\x09-\x0D]*+|[^.!?\n]++"
+_STOP = r".!?\n\u0085\u0589\u061F\u06D4\u0964\u0965\u1362\u2026\u2028\u2029\u203C\u2047-\u2049\u3002\uFF01\uFF0E\uFF1F\uFF61"
+#: Letters of scripts without spaces: Thai and Lao, Myanmar, Khmer, Han and kana.
+_DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3003-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+#: First letters, by eighths of the alphabet, before which a long sentence is cut; of dense scripts those that start a word, and fewer before which it is cut.
+EIGHTHS, DENSE_EIGHTHS = (0, 3, 5, 7), (0, 5)
+
+
+def _first(dense: tuple[int, ...]) -> str:
+    """A letter of these eighths, mostly the same for both cases.  Beyond ASCII: every 8th 4 code points, or 128 where alphabets are large."""
+    plain = "".join(c for c in map(chr, range(128)) if c.isalnum() and ord(c.lower()) % 8 in EIGHTHS)
+    blocks = ((0x80, 0xE00, 4, EIGHTHS), (0xE00, 0x1800, 4, dense), (0x1800, 0x3000, 128, dense), (0x3000, 0x3100, 4, dense), (0x3100, 0xD800, 128, dense))
+    wide = [(x, x + step - 1) for lo, hi, step, eighths in blocks for x in range(lo, hi, step) if x // step % 8 in eighths]
+    return rf"(?:[{plain}]|(?=[^\x00-\x7F])[{''.join(rf'\u{x:04X}-\u{y:04X}' for x, y in wide)}])"
+
+
+def _ascii(but: str) -> str:
+    """ASCII but these, as single characters, which Java looks up in a table."""
+    return "[" + "".join(rf"\x{c:02X}" for c in range(128) if chr(c) not in but) + "]"
+
+
+_FAR = r"(?=[^\x00-\x7F])"
+_A, _T = _ascii(".!?\n \t\x0b\x0c\r"), _ascii(".!?\n")
+_IN_SENTENCE = rf"{_T}*+(?:{_FAR}[^\x00-\x7F{_STOP}]++{_T}*+)*+"
+_DENSE_WORD = rf"[{_DENSE}](?:(?!{_first(EIGHTHS)})[{_DENSE}]){{0,{WIDE - 1}}}+(?![{_STOP}])[{_SPACE}]*+"
+# a plain word first, then any
+_WORD = rf"(?>{_A}++[{_SPACE}]++|(?={_A}*+[^\x00-\x7F])(?:(?:{_A}++|{_FAR}[^\x00-\x7F{_STOP}{_DENSE}]++)++(?:[{_SPACE}]++|(?=[{_DENSE}]))|{_DENSE_WORD}))"
+_PIECE = rf"{_WORD}{{{LEAST},{LONG}}}?(?={_first(DENSE_EIGHTHS)})|{_WORD}{{{LONG}}}"
+UNIT = rf"(?={_WORD}{{{LONG}}})(?:{_PIECE})|{_IN_SENTENCE}(?:[{_STOP}]++[\x20\x09-\x0D]*+|(?<=[^{_STOP}])\z)"
 _TRIM = "\x20\t\n\x0b\x0c\r"
 
 

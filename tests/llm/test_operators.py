@@ -391,6 +391,30 @@ def test_short_repeats(spark):
     assert all(got[i][1] == 0 for i in (1, 3, 5))
 
 
+def test_repeats_come_into_step(spark):
+    r = random.Random(9)
+    latin = lambda n: " ".join("".join(r.choices("abcdefghijklmnoprstuvwy", k=r.randint(2, 8))) for _ in range(n))
+    cyrillic = lambda n: " ".join("".join(r.choices("абвгдежзиклмнопрстуфхцчшя", k=r.randint(2, 8))) for _ in range(n))
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    rows = []
+    for k, (make, gap, size) in enumerate([(latin, " ", 60)] * 9 + [(cyrillic, " ", 60)] * 9 + [(han, "", 120)] * 9):
+        shared, before = make(size), make(k % 9 + 1)
+        rows += [(2 * k, shared + gap + make(7), 0), (2 * k + 1, before + gap + shared + gap + make(5), size)]
+    stops = "。".join(han(8) for _ in range(5)) + "。"
+    rows += [(100, stops, 0), (101, han(9) + "。" + stops, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, size int")
+    got = {x.doc_id: x for x in spans.remove_repeats(d).collect()}
+    for doc_id, text, size in rows[:-2]:
+        out = got[doc_id]
+        if size:
+            assert out.first_doc_ids == [doc_id - 1], text
+            cut = len(text.split()) - len(out.text.split()) if " " in text else len(text) - len(out.text)
+            assert cut >= size / 3, text
+        else:
+            assert out.n_removed == 0
+    assert got[101].n_removed == 5 and got[101].text == rows[-1][1][:10]
+
+
 def test_units_tile_texts(spark):
     r = random.Random(3)
     texts = ["", "a", " . ", "x" * 5000, words(r, 500), "A b.\n\nC d!! e f? ", "1.5 and\r\n2", "".join(r.choices("ab .!?\n\t", k=3000))]
