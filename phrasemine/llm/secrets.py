@@ -67,12 +67,13 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     kinds = list(enumerate([*BASE, *WEAK, BREAK]))
     base, keys, rest = kinds[:3], kinds[3:5], [kinds[5], kinds[6]]
     none = F.array().cast(_PART)
-    # look for endpoints and breaks only where an identifier or weak secret makes them matter
+    # look for endpoints and breaks only where a weak part or an access key beside another base span makes them matter
+    base_link = F.exists("b", lambda x: (x["kind"] == 1) & x["ok"]) & F.exists("b", lambda x: (x["kind"] != 1) & x["ok"])
     parts = (
         _key(docs)
         .withColumn("b", _found(text, base))
         .withColumn("w", _found(text, keys))
-        .withColumn("r", F.when(F.size("w") > 0, _found(text, rest)).otherwise(none))
+        .withColumn("r", F.when((F.size("w") > 0) | base_link, _found(text, rest)).otherwise(none))
         .select("key", F.concat("b", "w", "r").alias("parts"))
         .where("size(parts) > 0")
         .dropDuplicates(["key"])

@@ -244,6 +244,16 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_access_key_links(spark):
+    key, hex_ = "AKIA" + "A1" * 8, "0123456789abcdef" * 2
+    near = f"{key} secret=abcdefgh https://db.example/x"
+    texts = [near, f"{key}\n{hex_}\nhost: db.example", f"{key}\n\nsecret=abcdefgh https://db.example/x", f"{key} https://db.example/x", near + "\n\npwd: lonely"]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got[0] == got[4] == "access:0:20,assign:21:36,endpoint:37:57"
+    assert got[1] == "access:0:20,hex:21:53,endpoint:54:70"
+    assert "endpoint" not in got[2] and "endpoint" not in got[3]
+
+
 # warc
 
 
