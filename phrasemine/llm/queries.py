@@ -55,7 +55,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
+    return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

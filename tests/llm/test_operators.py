@@ -425,6 +425,16 @@ def test_repeats_come_into_step(spark):
     assert got[101].n_removed == 5 and got[101].text == rows[-1][1][:10]
 
 
+def test_query_keeps_all_documents(spark):
+    from phrasemine.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["op10_substring_dedup"](spark, sf).collect()
+    want = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(want) and any(r.n_removed for r in got) and not all(r.n_removed for r in got)
+    assert all(r.text == want[r.doc_id] for r in got if not r.n_removed)
+
+
 def test_units_tile_texts(spark):
     r = random.Random(3)
     texts = ["", "a", " . ", "x" * 5000, words(r, 500), "A b.\n\nC d!! e f? ", "1.5 and\r\n2", "".join(r.choices("ab .!?\n\t", k=3000))]
