@@ -62,9 +62,8 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """(doc_id, th, drop, first_doc_ids): documents with units to remove; drop: their places, ascending."""
     runs = (
         docs.select("doc_id", _hash(F.col("text")).alias("th"), F.transform(_cut(F.col("text")), lambda u: F.lower(F.btrim(u, F.lit(_TRIM)))).alias("u"))
-        .where(f"size(u) >= {RUN}")
         .select("doc_id", "th", F.posexplode(F.expr(
-            f"transform(sequence(0, size(u) - {RUN}), i -> struct("
+            f"transform(if(size(u) < {RUN}, array(), sequence(0, size(u) - {RUN})), i -> struct("
             "xxhash64(u[i], u[i + 1], u[i + 2]) AS a, xxhash64(7L, u[i], u[i + 1], u[i + 2]) AS b))"
         )).alias("i", "r"))
         .select("doc_id", "th", "i", "r.a", "r.b")
