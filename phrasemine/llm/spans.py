@@ -1,56 +1,141 @@
-"""Substring de-duplication over sliding runs of sentences (DataFrame functions only).
-
-A text is cut into units that tile it: a sentence with its terminator (., !, ?, those of other scripts or a line break) and the
-white space after it, or a piece of LEAST to LONG words of a sentence that is longer than LONG.  Such a sentence is cut before a word whose
-first letter is of a fixed class, so the cuts depend on the words at hand and come back into step inside a shared passage,
-whatever stands before it.  In scripts without spaces a word is a run of up to WIDE letters that starts like that, too.  Each run of RUN consecutive units is hashed (128 bits, case and
-outer white space aside) and the hashes meet in one global aggregation.  The first place of a run, by (doc_id, unit), is the original;
-units covered by a run that has an earlier place are removed, however short they are.
+"""Substring de-duplication over sliding runs of sentences.
+
+A text is cut into units that tile it: sentences, each with its terminator (., !, ?, those of other scripts, a line break) and the
+white space after it.  A sentence of more than LONG words is cut further, before words whose hash is even, into pieces of LEAST to LONG
+words: the cuts depend on the words at hand and come back into step inside a shared passage, whatever stands before it.  In scripts
+without spaces each letter counts as a word.  Every run of RUN consecutive units is hashed to 128 bits (case and white space aside), and
+the hashes of all documents meet in one global aggregation.  The first place of a run, by (doc_id, unit), is the original; units covered
+by a run that has an earlier place are removed.
+
+RUN and LONG are chosen by measurement (README): with whole sentences alone a passage of 50 words often has too few of them to be seen,
+and with shorter runs chance repeats of one-word sentences go too.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import fresh, stash
-
-RUN, LEAST, LONG, WIDE = 3, 3, 10, 6
-_SPACE = r"\x20\x09\x0B-\x0D"
-_STOP = r".!?\n\u0085\u0589\u061F\u06D4\u0964\u0965\u1362\u2026\u2028\u2029\u203C\u2047-\u2049\u3002\uFF01\uFF0E\uFF1F\uFF61"
-#: Letters of scripts without spaces: Thai and Lao, Myanmar, Khmer, Han and kana.
-_DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3003-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
-#: First letters, by eighths of the alphabet, before which a long sentence is cut; of dense scripts those that start a word, and fewer before which it is cut.
-EIGHTHS, DENSE_EIGHTHS = (0, 3, 5, 7), (0, 5)
-
-
-def _first(dense: tuple[int, ...]) -> str:
-    """A letter of these eighths, mostly the same for both cases.  Beyond ASCII: every 8th 4 code points, or 128 where alphabets are large."""
-    plain = "".join(c for c in map(chr, range(128)) if c.isalnum() and ord(c.lower()) % 8 in EIGHTHS)
-    blocks = ((0x80, 0xE00, 4, EIGHTHS), (0xE00, 0x1800, 4, dense), (0x1800, 0x3000, 128, dense), (0x3000, 0x3100, 4, dense), (0x3100, 0xD800, 128, dense))
-    wide = [(x, x + step - 1) for lo, hi, step, eighths in blocks for x in range(lo, hi, step) if x // step % 8 in eighths]
-    return rf"(?:[{plain}]|(?=[^\x00-\x7F])[{''.join(rf'\u{x:04X}-\u{y:04X}' for x, y in wide)}])"
-
-
-def _ascii(but: str) -> str:
-    """ASCII but these, as single characters, which Java looks up in a table."""
-    return "[" + "".join(rf"\x{c:02X}" for c in range(128) if chr(c) not in but) + "]"
-
-
-_FAR = r"(?=[^\x00-\x7F])"
-_A, _T = _ascii(".!?\n \t\x0b\x0c\r"), _ascii(".!?\n")
-_IN_SENTENCE = rf"{_T}*+(?:{_FAR}[^\x00-\x7F{_STOP}]++{_T}*+)*+"
-_DENSE_WORD = rf"[{_DENSE}](?:(?!{_first(EIGHTHS)})[{_DENSE}]){{0,{WIDE - 1}}}+(?![{_STOP}])[{_SPACE}]*+"
-# a plain word first, then any
-_WORD = rf"(?>{_A}++[{_SPACE}]++|(?={_A}*+[^\x00-\x7F])(?:(?:{_A}++|{_FAR}[^\x00-\x7F{_STOP}{_DENSE}]++)++(?:[{_SPACE}]++|(?=[{_DENSE}]))|{_DENSE_WORD}))"
-_PIECE = rf"{_WORD}{{{LEAST},{LONG}}}?(?={_first(DENSE_EIGHTHS)})|{_WORD}{{{LONG}}}"
-UNIT = rf"(?={_WORD}{{{LONG}}})(?:{_PIECE})|{_IN_SENTENCE}(?:[{_STOP}]++[\x20\x09-\x0D]*+|(?<=[^{_STOP}])\z)"
-_TRIM = "\x20\t\n\x0b\x0c\r"
-
-
-def _cut(text: Column) -> Column:
-    """The raw units of a text, together the text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
+from pyspark.sql.types import StringType
+
+from .common import forget, fresh, stash
+
+RUN, LEAST, LONG = 5, 3, 12
+#: Letters of scripts without spaces (Thai and Lao, Myanmar, Khmer, Han and kana), and their and other scripts' terminators.
+_DENSE = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3003-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF"
+_STOPS = r"\n\u0085\u0589\u061F\u06D4\u0964\u0965\u1362\u2026\u2028\u2029\u203C\u2047-\u2049\u3002\uFF01\uFF0E\uFF1F\uFF61"
+_END = re.compile(rf"[.!?]+[\"'”’»)\]]*(?=\s|\Z)\s*|[{_STOPS}]+\s*")
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+_WORD = re.compile(rf"[{_DENSE}]|[^\s{_DENSE}]+")
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class _Even(dict):
+    """Word -> whether a long sentence may be cut before it; remembered for the words of late."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = even = zlib.crc32(word.encode("utf-8", "surrogatepass")) % 2 == 0
+        return even
+
+
+_even = _Even()
+
+
+def _pieces(words: list[str]) -> list[int]:
+    """Where the pieces of a sentence start, as places in its lower-case words."""
+    if len(words) <= LONG:
+        return [0]
+    starts = [0]
+    for k, even in enumerate(map(_even.__getitem__, words)):
+        if (size := k - starts[-1]) >= LEAST and even or size >= LONG:
+            starts.append(k)
+    return starts
+
+
+def _sentences(text: str) -> Iterator[tuple[int, str]]:
+    """(start, sentence with what follows it); they tile the text."""
+    at = 0
+    for m in _END.finditer(text):
+        yield at, text[at : m.end()]
+        at = m.end()
+    if at < len(text):
+        yield at, text[at:]
+
+
+def units(text: str | None) -> list[str]:
+    """The units of a text in order, in lower case, words joined by one space; stretches without words are none."""
+    out = []
+    for _, s in _sentences(text or ""):
+        low = s.lower()
+        words = low.split() if low.isascii() or not _HAS_DENSE.search(low) else _WORD.findall(low)
+        if len(words) <= LONG:
+            if words:
+                out.append(" ".join(words))
+        else:
+            starts = _pieces(words)
+            out += [" ".join(words[a:b]) for a, b in zip(starts, [*starts[1:], len(words)])]
+    return out
+
+
+def bounds(text: str) -> list[int]:
+    """Where each unit of units(text) begins, and the end: text[b[k]:b[k + 1]] is unit k with the white space about it."""
+    out = []
+    for at, s in _sentences(text):
+        low = s.lower()
+        if len(low) == len(s):
+            places = [m.start() for m in _WORD.finditer(low)]
+            words = [m[0] for m in _WORD.finditer(low)]
+        else:  # some letters grow when lowered
+            words = [m[0].lower() for m in _WORD.finditer(s)]
+            places = [m.start() for m in _WORD.finditer(s)]
+        if words:
+            out += [at + places[k] for k in _pieces(words)]
+    return [0, *out[1:], len(text)] if out else [0]
+
+
+def run_hashes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run of RUN units."""
+    if len(found) < RUN:
+        none = np.empty(0, dtype=np.int64)
+        return none, none
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), dtype=np.uint64).reshape(-1, 2)
+    n = len(found) - RUN + 1
+    a, b = h[:n, 0].copy(), h[:n, 1].copy()
+    for k in range(1, RUN):
+        a, b = a * _P + h[k : n + k, 0], b * _Q + h[k : n + k, 1]
+    return a.view(np.int64), b.view(np.int64)
+
+
+_RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("i", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols = [[], []]
+        sizes = np.zeros(batch.num_rows, dtype=np.int64)
+        for k, text in enumerate(batch.column("text")):
+            a, b = run_hashes(units(text.as_py()))
+            sizes[k] = len(a)
+            cols[0].append(a)
+            cols[1].append(b)
+        rows = np.repeat(np.arange(batch.num_rows), sizes)
+        if not len(rows):
+            continue
+        places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        take = pa.array(rows)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(places, pa.int32()), pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1]))],
+            schema=_RUNS,
+        )
 
 
 def _hash(text: Column) -> Column:
@@ -59,39 +144,53 @@ def _hash(text: Column) -> Column:
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, drop, first_doc_ids): documents with units to remove; drop: their places, ascending."""
-    runs = (
-        docs.select("doc_id", _hash(F.col("text")).alias("th"), F.transform(_cut(F.col("text")), lambda u: F.lower(F.btrim(u, F.lit(_TRIM)))).alias("u"))
-        .select("doc_id", "th", F.posexplode(F.expr(
-            f"transform(if(size(u) < {RUN}, array(), sequence(0, size(u) - {RUN})), i -> struct("
-            "xxhash64(u[i], u[i + 1], u[i + 2]) AS a, xxhash64(7L, u[i], u[i + 1], u[i + 2]) AS b))"
-        )).alias("i", "r"))
-        .select("doc_id", "th", "i", "r.a", "r.b")
-    )
+    """(doc_id, th, drop, first_doc_ids): documents with units to remove; drop: their places, ascending.
+
+    The runs are written once, without text.  Both sides of their join with the first places are tables, so that AQE can
+    split a run that very many documents hold; its first place is taken by partial minima.
+    """
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), _hash(F.col("text")).alias("th"), "text")
+    runs = stash(texts.mapInArrow(_runs, "doc_id long, th long, i int, a long, b long"), "runs")
     place = F.struct("doc_id", "th", "i")
-    firsts = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    firsts = stash(runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first"), "firsts")
     again = runs.join(firsts, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
-    return (
+    out = stash(
         again.groupBy("doc_id", "th").agg(F.collect_set("i").alias("at"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
-        .select("doc_id", "th", F.expr(f"array_sort(array_distinct(flatten(transform(at, i -> sequence(i, i + {RUN - 1})))))").alias("drop"), "first_doc_ids")
+        .select("doc_id", "th", F.expr(f"array_sort(array_distinct(flatten(transform(at, i -> sequence(i, i + {RUN - 1})))))").alias("drop"), "first_doc_ids"),
+        "repeats",
     )
+    forget(runs)
+    forget(firsts)
+    return out
+
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, drops: pd.Series) -> pd.Series:
+    out = []
+    for text, drop in zip(texts, drops):
+        if text is None or drop is None:
+            out.append(text)
+            continue
+        b, gone = bounds(text), set(map(int, drop))
+        out.append("".join(text[b[k] : b[k + 1]] for k in range(len(b) - 1) if k not in gone))
+    return pd.Series(out, dtype=object)
 
 
 def remove_repeats(docs: DataFrame, changed_only: bool = False) -> DataFrame:
-    """docs with text cleaned of repeated units; adds n_units, n_removed and first_doc_ids.
+    """docs with text cleaned of repeated units; adds n_removed (units) and first_doc_ids.
 
-    first_doc_ids: documents that hold the first places of what was removed.  A null text stays null; texts of fewer
-    than RUN units are left as they are.  Rows that repeat doc_id and text
-    count as one document and get the same text.  A null doc_id comes first.  changed_only: documents that lose something.
+    first_doc_ids: documents that hold the first places of what was removed.  A null text stays null, an empty one empty; texts of
+    fewer than RUN units are left as they are.  Rows that repeat doc_id and text count as one document and get the same text.  A null
+    doc_id comes first.  Columns of docs named like the added ones are replaced, all others kept, whatever their names.  An empty
+    table gives no rows.  changed_only: documents that lose something.
     """
-    flagged = stash(repeated_units(docs), "repeats").withColumnRenamed("doc_id", "_id")
-    # joined before the text is cut, so that only the text itself is shuffled
-    th, units = fresh(docs, "_th"), fresh(docs, "_units")
+    flagged = repeated_units(docs).withColumnRenamed("doc_id", "_id")
+    th = fresh(docs, "_th")
     d = docs.withColumn(th, _hash(F.col("text")))
-    out = d.join(flagged, (d[th] == flagged["th"]) & d["doc_id"].eqNullSafe(flagged["_id"]), "inner" if changed_only else "left").withColumn(units, _cut(d["text"]))
-    kept = F.filter(units, lambda u, i: ~F.coalesce(F.array_contains(flagged["drop"], i), F.lit(False)))
-    own = ("n_units", "n_removed", "first_doc_ids")
+    out = d.join(flagged, (d[th] == flagged["th"]) & d["doc_id"].eqNullSafe(flagged["_id"]), "inner" if changed_only else "left")
+    drop = flagged["drop"]
+    cleaned = F.when(drop.isNotNull(), _without(F.when(drop.isNotNull(), d["text"]), drop)).otherwise(d["text"])
     return out.select(
-        *[F.when(flagged["drop"].isNotNull(), F.array_join(kept, "")).otherwise(d["text"]).alias("text") if c == "text" else d[c] for c in docs.columns if c not in own],
-        F.size(units).cast("long").alias("n_units"), F.coalesce(F.size(flagged["drop"]), F.lit(0)).cast("long").alias("n_removed"), flagged["first_doc_ids"],
+        *[cleaned.alias("text") if c == "text" else d[f"`{c}`"] for c in docs.columns if c.lower() not in ("n_removed", "first_doc_ids")],
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_removed"), flagged["first_doc_ids"],
     )
