@@ -91,14 +91,11 @@ def bounds(text: str) -> list[int]:
     out = []
     for at, s in _sentences(text):
         low = s.lower()
-        if len(low) == len(s):
-            places = [m.start() for m in _WORD.finditer(low)]
-            words = [m[0] for m in _WORD.finditer(low)]
-        else:  # some letters grow when lowered
-            words = [m[0].lower() for m in _WORD.finditer(s)]
-            places = [m.start() for m in _WORD.finditer(s)]
-        if words:
-            out += [at + places[k] for k in _pieces(words)]
+        found = list(_WORD.finditer(low if len(low) == len(s) else s))  # some letters grow when lowered
+        if len(found) > LONG:
+            out += [at + found[k].start() for k in _pieces([m[0].lower() for m in found])]
+        elif found:
+            out.append(at + found[0].start())
     return [0, *out[1:], len(text)] if out else [0]
 
 
