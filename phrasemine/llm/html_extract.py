@@ -20,7 +20,7 @@ from .html_blocks import Block, blocks
 from .html_pages import labelled_pages
 
 #: Labelled pages that fit() learns from, passes over them, strength of the prior.
-TRAIN_PAGES, PASSES, RIDGE = 400, 120, 0.02
+TRAIN_PAGES, PASSES, RIDGE = 700, 120, 0.0002
 _MARK = re.compile(r"^@([YN])\d+@ ?")
 _MARKS = re.compile(r"@[YN]\d+@ ?")
 
@@ -41,18 +41,20 @@ def _fit(pages: list[tuple[list[list[str]], list[int]]], passes: int = PASSES, r
     names = sorted({f for x, _ in pages for b in x for f in b})
     at = {f: i for i, f in enumerate(names)}
     longest, n = max(len(y) for _, y in pages), len(pages)
-    width = max(len(b) for x, _ in pages for b in x)
-    index = np.full((n, longest, width), len(names))
     label, real = np.zeros((n, longest), dtype=int), np.zeros((n, longest), dtype=bool)
-    for k, (x, y) in enumerate(pages):
-        for t, b in enumerate(x):
-            index[k, t, : len(b)] = [at[f] for f in b]
+    for k, (_, y) in enumerate(pages):
         label[k, : len(y)], real[k, : len(y)] = y, True
-    w, trans = np.zeros((len(names) + 1, 2)), np.zeros((2, 2))
+    # features of all blocks of all pages in a row
+    of_block = [b for x, _ in pages for b in x]
+    flat = np.array([at[f] for b in of_block for f in b])
+    counts = np.array([len(b) for b in of_block])
+    starts = np.cumsum(counts) - counts
+    w, trans = np.zeros((len(names), 2)), np.zeros((2, 2))
     m, v = [np.zeros_like(w), np.zeros_like(trans)], [np.zeros_like(w), np.zeros_like(trans)]
     pairs = real[:, 1:]
     for step in range(1, passes + 1):
-        e = w[index].sum(axis=2)  # page, block, label
+        e = np.zeros((n, longest, 2))  # page, block, label
+        e[real] = np.add.reduceat(w[flat], starts, axis=0)
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0]
         for t in range(1, longest):
@@ -63,19 +65,17 @@ def _fit(pages: list[tuple[list[list[str]], list[int]]], passes: int = PASSES, r
             beta[:, t] = np.where(real[:, t + 1, None], new, 0.0)
         z = np.logaddexp.reduce(alpha[:, -1], axis=1)
         p = np.exp(alpha + beta - z[:, None, None]) * real[:, :, None]
-        diff = p - np.eye(2)[label] * real[:, :, None]
-        gw = np.zeros_like(w)
-        for c in range(2):
-            gw[:, c] = np.bincount(index.ravel(), weights=np.repeat(diff[:, :, c].ravel(), width), minlength=len(w))
+        diff = (p - np.eye(2)[label] * real[:, :, None])[real]
+        gw = np.stack([np.bincount(flat, weights=np.repeat(diff[:, c], counts), minlength=len(w)) for c in range(2)], axis=1)
         pair = np.exp(alpha[:, :-1, :, None] + trans + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pairs[:, :, None, None]
         gt = pair.sum(axis=(0, 1))
         np.subtract.at(gt, (label[:, :-1][pairs], label[:, 1:][pairs]), 1)
-        grads = [gw / n + ridge * w / 10, gt / n + ridge * trans / 10]
-        grads[0][-1] = 0
+        grads = [gw / n + ridge * w, gt / n + ridge * trans]
+        rate = 0.1 if 2 * step < passes else 0.03
         for k, (param, g) in enumerate(((w, grads[0]), (trans, grads[1]))):  # Adam
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
-            param -= 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            param -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
     return {"weights": {f: [float(a) for a in w[i]] for f, i in at.items()}, "trans": trans.tolist()}
 
 
@@ -125,8 +125,9 @@ def main_text(page: str | None, model: str) -> str:
 def extract(pages: DataFrame, model: str | None = None) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages.
 
-    text joins the article's blocks in page order by a line break, empty if there is none; a null html is an empty
-    page.  Pages are whole; broken markup is read as far as it goes.  Rows that repeat each give a row.
+    text joins the article's blocks in page order by a line break, empty if there is none; a null or empty html is an empty
+    page.  Pages are whole, however long; broken markup is read as far as it goes.  Rows that repeat, or have a null page_id, each
+    give a row; an empty table gives none.  Further columns of pages are left out, whatever their names.
     """
     said = model or fit()
 

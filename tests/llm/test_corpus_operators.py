@@ -1,12 +1,16 @@
 """Each operator against brute force, and on null, empty, long, tied, repeated and oddly named input."""
 
 import hashlib
+import os
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from phrasemine.llm import chat, decontaminate, exact_dedup, html_blocks, html_extract, mixing, secrets, simhash, spans, toxicity, warc
 from phrasemine.llm.queries import ORACLE
 
@@ -497,6 +501,66 @@ def test_blocks():
     assert html_blocks.blocks(None) == [] == html_blocks.blocks("") and [b.text for b in html_blocks.blocks("x &nbsp; y")] == ["x y"]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body><article><p class=it's>First one here.</p><p>It's a second.</p></article>", ["First one here.", "It's a second."]),
+    ('<p class="x>text</p>', ["text"]),
+    ('<head><script>var a = "</head>"; run()</script><title>t</title></head><body>x</body>', ["x"]),
+    ("<p title='a > b' data-x=\"<p>no</p>\">yes</p>", ["yes"]),
+    ("a<script>x</scripty></script>b<style>c</style >d<textarea><p>e</textarea>f", ["abdf"]),
+    ("<p>a<!-- > <p>b --><!doctype x><?y <p> ?></ z>c</p><!-- open <p>d", ["a ?>c"]),
+    ("x < y <3 </> z<", ["x < y <3 z<"]),
+    ("a<svg><text>b</text></svg>c<p>d<svg>e", ["ac", "de"]),
+    ("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul><dl><dt>f<dd>g</dl><table><tr><td>h<p>i<td>j<tr><td>k</table>", list("abcdefghijk")),
+    ("<div hidden><p>a</div>b<p style='x:y; Display : NONE'>c<p>d", ["b", "d"]),
+    ("<br class=a/>b<p/ id=c>d<a href=/e/>f</a>g<p>&amp;lt; &copy h&#x41;", ["b", "dfg", "&lt; © hA"]),
+    ("whole <a href='cut", ["whole"]),
+])
+def test_blocks_of_odd_markup(page, want):
+    assert [b.text for b in html_blocks.blocks(page)] == want
+
+
+@pytest.mark.parametrize("piece", ['<a href="x ', "<p class='", "<div>", "<svg>", "<!--", "<", "<x y=", "</p>", "<ul><li>", "<p>a<div>", "<table><tr><td>b", "<textarea>", "<b ==", "&", "<a "])
+def test_blocks_take_linear_time(piece):
+    import time
+
+    took = []
+    for n in (100_000, 1_000_000):
+        began = time.process_time()
+        html_blocks.blocks("<p>" + piece * (n // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 15 and took[1] < 40 * max(took[0], 0.02), (piece, took)
+
+
+def test_extraction_of_other_software(spark):
+    """Pages of a second writer that shares nothing with the training pages."""
+    import json
+    from collections import Counter
+
+    from site_pages import TEMPLATES, site_page
+
+    m = json.loads(html_extract.fit())
+    right = total = whole = 0
+    for t in TEMPLATES:
+        for k in range(20):
+            page, want = site_page(t, k)
+            found = html_blocks.blocks(page)
+            labels, left = html_extract.decode(found, m["weights"], m["trans"]), Counter(want.split("\n"))
+            for b, y in zip(found, labels):
+                left[b.text] -= (truth := left[b.text] > 0)
+                right, total = right + (truth == bool(y)), total + 1
+            whole += "\n".join(b.text for b, y in zip(found, labels) if y) == want
+    assert right / total > 0.99 and whole > 0.85 * 20 * len(TEMPLATES)
+
+
+def test_extraction_of_a_very_long_page_and_none(spark):
+    para = "<p>" + "Some words of a long article, one after the other. " * 40 + "</p>"
+    page = f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A title</h1>{para * 1500}</article><footer>© 2020</footer></body>"
+    d = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").selectExpr("*", "1 as `a.b`", "2 as n_chars", "3 as Text")
+    got = html_extract.extract(d).first()
+    assert got.text.count("\n") == 1500 and got.n_chars == len(got.text) and "Home" not in got.text and "©" not in got.text
+    assert html_extract.extract(d.limit(0)).count() == 0 and html_extract.extract(d).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 
