@@ -172,18 +172,63 @@ def test_tiles_against_brute_force():
 
 def test_matches(spark, docs, empty, monkeypatch):
     r = random.Random(4)
-    item, clean = words(r, 40), words(r, 200)
+    item, clean, other = words(r, 40), words(r, 200), words(r, 30)
     w = item.split()
     moved = " ".join(w[20:] + ["between"] + w[:20])
-    d = spark.createDataFrame([(1, clean, 0), (2, f"{clean} {item.upper()}!", 0), (3, f"{moved} {clean}", 0), (4, " ".join(w[:25]), 0), (5, None, 0), (5, None, 0), (6, item, 0), (6, item, 1), (None, item, 0)], "doc_id long, text string, th int")
-    bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (None, item)], "item_id long, text string")
+    texts = [(1, clean), (2, f"{clean} {item.upper()}!"), (3, f"{moved} {clean}"), (4, " ".join(w[:25])), (5, None), (5, None), (6, item), (6, item), (None, item), (7, f"{clean} Zyx; wvu."), (8, f"x {other}"), (9, "zyx and wvu"), (10, "")]
+    d = spark.createDataFrame([(*t, 0) for t in texts], "doc_id long, text string, th int").selectExpr("*", "1 as `a.b`")
+    bench = spark.createDataFrame([(7, item), (8, "zyx wvu"), (9, None), (None, other), (7, other), (7, item), (10, "single"), (11, "")], "item_id long, text string")
+    want = {(2, 7): (1.0, False), (3, 7): (1.0, True), (6, 7): (1.0, False), (None, 7): (1.0, False), (7, 8): (1.0, False), (8, 7): (1.0, False), (8, None): (1.0, False)}
     for most in (decontaminate.MOST_SENT, 0):
         monkeypatch.setattr(decontaminate, "MOST_SENT", most)
-        got = {(x.doc_id, x.item_id): (round(x.coverage, 3), x.reordered) for x in decontaminate.matches(d, bench).collect()}
-        assert got == {(2, 7): (1.0, False), (3, 7): (1.0, True), (6, 7): (1.0, False), (None, 7): (1.0, False)}
-    left = decontaminate.drop_contaminated(d, bench)
-    assert left.columns == d.columns and sorted(x.doc_id for x in left.collect()) == [1, 4, 5, 5]
-    assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
+        found = decontaminate.matches(d, bench).collect()
+        assert {(x.doc_id, x.item_id): (round(x.coverage, 3), x.reordered) for x in found} == want and len(found) == len(want)
+        left = decontaminate.drop_contaminated(d, bench)
+        assert left.columns == d.columns and sorted(x.doc_id for x in left.collect()) == [1, 4, 5, 5, 9, 10]
+        assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
+        assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("most", [decontaminate.MOST_SENT, 0])
+def test_matches_against_brute_force(spark, monkeypatch, most):
+    """Each document tiled with each item, without seeds, where tiles of SEED words are enough to reach the coverage."""
+    monkeypatch.setattr(decontaminate, "MOST_SENT", most)
+    r = random.Random(8)
+    stock = words(r, 7)
+    items = [(k, " ".join(r.choices(["ab", "cd", "ef", "gh", "ij", "kl", "mn"], k=r.randint(2, 40))) + " " + stock) for k in range(30)]
+    docs = []
+    for k in range(120):
+        parts = words(r, r.randint(0, 60)).split()
+        for _, text in r.sample(items, r.randint(0, 3)):
+            w = text.split()
+            cut = r.randint(0, len(w))
+            pieces = [w[cut:], w[:cut]] if r.random() < 0.5 else [w[: int(len(w) * r.random())]]
+            for x in pieces:
+                at = r.randint(0, len(parts))
+                parts[at:at] = x
+        docs.append((k, " ".join(parts) + (" " + stock if k % 3 == 0 else "")))
+    got = {(x.doc_id, x.item_id): round(x.coverage, 6) for x in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    must, may = {}, {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = decontaminate.word_ids(item), decontaminate.word_ids(text)
+            share = lambda least: sum(k for *_, k in decontaminate.tiles(a, b, least)) / len(a)
+            if (c := share(decontaminate.LEAST)) >= decontaminate.COVER:
+                may[d, i] = round(c, 6)
+                if share(decontaminate.SEED) >= decontaminate.COVER:
+                    must[d, i] = round(c, 6)
+    assert must.items() <= got.items() <= may.items() and len(must) > 60
+
+
+def test_stock_phrase_makes_no_pairs():
+    """A phrase that all items share brings no candidates, and items are still found."""
+    r = random.Random(2)
+    stock = words(r, 12)
+    items = [(k, f"{words(r, 50)} {stock} {words(r, 40)}") for k in range(1000)]
+    finder = decontaminate.Finder(decontaminate.Items.of(items, decontaminate.COVER))
+    # but for the few whose words beside it happen to be the same
+    assert len(finder.candidates(f"{words(r, 100)} {stock} {words(r, 100)}")[0]) <= 5
+    assert [m[0] for m in finder.matches(f"x {items[77][1]} y", 0.8)] == [77]
 
 
 # mixing
