@@ -216,7 +216,7 @@ class Finder:
             at[at == len(self.items.seeds)] = 0
             places.append(at[self.items.seeds[at] == h] if len(h) else at)
         starts = self.items.starts
-        held = [self.items.holders[starts[p] : starts[p + 1]] for p in np.concatenate(places)]
+        held = [self.items.holders[starts[p] : starts[p + 1]] for p in np.concatenate([*places, np.empty(0, np.int64)])]
         return np.unique(np.concatenate(held)) if held else np.empty(0, np.int64), ids
 
     def matches(self, text: str | None, cover: float) -> Iterator[tuple]:
