@@ -5,10 +5,10 @@ at most one bit in at least one segment (three segments with two bits each would
 indexed once for each of its bits with that bit deleted, 64 variants in all; equal variants meet in an equality join
 and the pair is verified on all 64 bits.
 
-Variants that very many fingerprints share (a large family of near copies) would meet in quadratically many pairs.
-Those fingerprints take another exact way: two fingerprints within 4 bits have a common point within 2 bits of each, and
-all fingerprints within 2 bits of one point are within 4 bits of each other.  So each emits the 2081 points around it, and all
-that share a point are linked to the smallest of them.
+Where more than PAIRWISE fingerprints share a variant, they are not compared with each other.  Those within 4 bits of the least of them
+are linked to it; if that leaves several components in the bucket, the same method is applied again below that variant: the bits
+not compared yet are cut into three segments, indexed with one bit deleted each, and so on.  So every pair is still found, or its two sides are
+already in one component.
 """
 
 from __future__ import annotations
@@ -16,14 +16,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import fresh, roots, row_key, stash
+from .common import forget, fresh, roots, row_key, stash
 
 SHINGLE, BITS, SEED = 4, 4, 42
-SEGMENTS = ((0, 22), (22, 43), (43, 64))
 #: Fingerprints of one variant that are still compared pairwise.
 PAIRWISE = 64
 
@@ -58,30 +57,72 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", fingerprint_udf("text").alias("fp"))
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def segments(bits: list[int]) -> list[list[int]]:
+    """Bits in three nearly equal parts; of two fingerprints that differ by at most four of them, one part differs by at most one."""
+    cut = [0, (len(bits) + 2) // 3, len(bits) - len(bits) // 3, len(bits)]
+    return [bits[x:y] for x, y in zip(cut, cut[1:]) if x < y]
+
+
+def _steps(open_: dict[int, list[int]]) -> tuple[list[tuple[int, int, int]], dict[int, list[int]]]:
+    """Of paths with the bits that they leave: (path, next path, bits compared in addition) of each variant, and the next paths."""
+    rows, after = [], {}
+    for path, bits in open_.items():
+        for k, segment in enumerate(segments(bits)):
+            to = path * 3 + k + 1
+            after[to] = [b for b in bits if b not in segment]
+            whole = sum(1 << b for b in segment)
+            rows += [(path, to, _signed(whole & ~(1 << b))) for b in segment]
+    return rows, after
+
+
 def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
-    """Edges (src, dst) whose components are those of all pairs of distinct fingerprints within BITS bits."""
-    mask = lambda a, b: ((1 << b) - (1 << a)) - (1 << 64 if b == 64 else 0)  # noqa: E731  as a signed long
-    masks = F.array(*[F.lit(mask(a, b)) for a, b in SEGMENTS for _ in range(a, b)])
-    variants = fps.select("fp", F.posexplode(masks).alias("bit", "m")).select(
-        "bit", "fp", (F.col("fp").bitwiseAND(F.col("m"))).bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit)"))).alias("v")
-    )
-    # One shuffle serves all that follows: both sides of the join and the crowd need the same partitioning and columns.
-    met = variants.withColumn("n", F.count("*").over(Window.partitionBy("bit", "v"))).where("n > 1")
-    few = met.where(F.col("n") <= pairwise).select("bit", "v", "fp")
-    a, b = few.alias("a"), few.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= BITS
-    pairs = a.join(b.hint("merge"), (F.col("a.bit") == F.col("b.bit")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp")) & near).select(
-        F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")
-    )
-    crowd = met.where(F.col("n") > pairwise).select("fp").distinct()
-    flips = F.expr(
-        "concat(array(0L), transform(sequence(0, 63), i -> shiftleft(1L, i)),"
-        " flatten(transform(sequence(1, 63), i -> transform(sequence(0, i - 1), j -> shiftleft(1L, i) | shiftleft(1L, j)))))"
-    )
-    points = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("p"))
-    low = points.groupBy("p").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").select("p", "low")
-    stars = points.join(low.hint("merge"), "p").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst"))
-    return pairs.union(stars)
+    """Edges (src, dst) whose components are those of all pairs of distinct fingerprints within BITS bits.
+
+    A bucket is (path, mask, v): the segments taken so far, the bits compared, and their values.  Its size is a map-side
+    combined count, and the join that brings it back can be split by AQE.
+    """
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
+    bucket, spark = ["path", "mask", "v"], fps.sparkSession
+    rows = fps.select("fp", F.col("fp").alias("c"), F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("mask"))
+    edges, open_ = None, {0: list(range(64))}
+    while True:
+        steps, open_ = _steps(open_)
+        if not steps:
+            break
+        by_path: dict[int, list[tuple[int, int]]] = {}
+        for path, to, add in steps:
+            by_path.setdefault(path, []).append((to, add))
+        if len(by_path) == 1:  # the first level: the same 64 masks for all
+            variants = rows.select("fp", "c", "mask", F.explode(F.array(*[F.struct(F.lit(to).cast("long").alias("to"), F.lit(add).cast("long").alias("add")) for _, to, add in steps])).alias("s")).select("fp", "c", "mask", "s.to", "s.add")
+        else:
+            variants = rows.join(F.broadcast(spark.createDataFrame(steps, "path long, to long, add long")), "path").select("fp", "c", "mask", "to", "add")
+        variants = variants.select("fp", "c", F.col("to").alias("path"), F.col("mask").bitwiseOR(F.col("add")).alias("mask")).withColumn("v", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = stash(variants.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1 and c0 <> c1").select(*bucket, "n", "low"), "sizes")
+        met = stash(variants.join(sizes, bucket), "met")
+        forget(sizes)
+        last = F.col("path").isin(*[k for k, bits in open_.items() if not bits])
+        few = met.where((F.col("n") <= pairwise) | last).select(*bucket, "fp", "c")
+        a, b = few.alias("a"), few.alias("b")
+        same = (F.col("a.path") == F.col("b.path")) & (F.col("a.mask") == F.col("b.mask")) & (F.col("a.v") == F.col("b.v"))
+        pairs = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.c") != F.col("b.c")) & near("a.fp", "b.fp")).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+        stars = met.where((F.col("n") > pairwise) & ~last & (F.col("fp") != F.col("low")) & near("fp", "low")).select(F.col("low").alias("src"), F.col("fp").alias("dst"))
+        new = stash(pairs.union(stars).distinct(), "links")
+        edges = new if edges is None else edges.union(new)
+        crowded = met.where((F.col("n") > pairwise) & ~last).select(*bucket, "fp")
+        if crowded.isEmpty():
+            break
+        component = stash(roots(edges).withColumnRenamed("node", "fp"), "roots")
+        marked = stash(crowded.join(component, "fp", "left").withColumn("c", F.coalesce("root", "fp")).drop("root"), "crowded")
+        open_keys = marked.groupBy(*bucket).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(*bucket)
+        rows = stash(marked.join(open_keys, bucket, "left_semi").select("fp", "c", "path", "mask"), "rows")
+        forget(met)
+        if rows.isEmpty():
+            break
+    return edges
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -96,7 +137,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stash(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     comp = roots(links(classes.select("fp")))
     rooted = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = stash(rooted.select("fp", "root", "least"), "rooted")
+    # a table of its own, so that AQE can split the join on a component of very many fingerprints
+    ids = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     by_fp = stash(rooted.join(ids, "root").select("fp", "component_id"), "components")
     return fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

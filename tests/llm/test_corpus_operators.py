@@ -101,7 +101,19 @@ def test_fingerprint_by_hand():
         assert simhash.fingerprint(t) == slow(t)
 
 
-@pytest.mark.parametrize("pairwise", [64, 2])
+@pytest.mark.parametrize("n", [64, 43, 42, 28, 14, 9, 5, 4, 3, 2, 1])
+def test_segments(n):
+    """Of four bits in any places some segment holds at most one."""
+    from itertools import combinations
+
+    parts = simhash.segments(list(range(n)))
+    assert sorted(b for p in parts for b in p) == list(range(n))
+    r = random.Random(n)
+    for four in [r.sample(range(n), min(4, n)) for _ in range(300)] if n > 14 else combinations(range(n), min(4, n)):
+        assert any(len(set(p) & set(four)) <= 1 for p in parts) or n < 4
+
+
+@pytest.mark.parametrize("pairwise", [64, 6])
 def test_links_find_all_pairs(spark, pairwise):
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(30)]
@@ -229,6 +241,7 @@ def test_stock_phrase_makes_no_pairs():
     # but for the few whose words beside it happen to be the same
     assert len(finder.candidates(f"{words(r, 100)} {stock} {words(r, 100)}")[0]) <= 5
     assert [m[0] for m in finder.matches(f"x {items[77][1]} y", 0.8)] == [77]
+    assert [list(finder.matches(t, 0.8)) for t in (None, "", stock[:4], " ".join(stock.split()[:3]))] == [[]] * 4
 
 
 # mixing
