@@ -23,8 +23,9 @@ from pyspark.sql.types import DoubleType
 from .common import stash
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled rows that fit() learns from at most, chosen by hash; entries of the lexicon at most.
-TRAIN_ROWS, LEXICON = 8000, 400
+#: Labelled rows that fit() learns from at most, chosen by hash.  The lexicon has no bound of its own: every term of that sample that at
+#: least SUPPORT toxic texts hold, LIFT times (as a logarithm) as often as others and beyond SIGMA deviations of chance.
+TRAIN_ROWS, SUPPORT, LIFT, SIGMA = 8000, 5, 2.0, 4.0
 #: Edits allowed for terms of at least so many letters.
 FUZZY = ((5, 1), (9, 2))
 PREFIXES = range(4, 8)
@@ -170,20 +171,22 @@ def _term_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[str, bool], list[int]] = {}
         for doc_id, text, toxic in zip(p["doc_id"], p["text"], p["toxic"]):
             at = 2 * int(toxic > 0) + _half(int(doc_id))
-            words = {w for w in _TOKEN.findall((text or "").lower()) if len(w) >= 4}
+            words = set(_TOKEN.findall((text or "").lower())) - _QUOTES
             for key in [(w, False) for w in words] + [(w, True) for w in {w[:k] for w in words for k in PREFIXES if len(w) > k}]:
                 counts.setdefault(key, [0] * 4)[at] += 1
         if counts:
             yield pd.DataFrame([(*k, *v) for k, v in counts.items()], columns=["term", "is_prefix", "c0", "c1", "t0", "t1"])
 
 
-def _lexicon(terms: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...], most: int) -> list[tuple[str, bool, float]]:
+def _lexicon(terms: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...]) -> list[tuple[str, bool, float]]:
     """The terms that toxic texts of some halves hold far more often than others."""
     t, c = (sum((F.col(f"{k}{h}") for h in halves), F.lit(0)) for k in "tc")
     n1, n0 = (max(1, sum(sizes.get((label, h), 0) for h in halves)) for label in (1, 0))
     lift = F.log((t + 0.5) / n1) - F.log((c + 0.5) / n0)
-    x = terms.select("term", "is_prefix", t.alias("t"), lift.alias("lift")).where("t >= 5 and lift > 2")
-    return [(r.term, r.is_prefix, r.lift) for r in x.orderBy((-F.col("lift") * F.sqrt("t")), "term", "is_prefix").limit(most).collect()]
+    chance = (t + c + 0.5) * (n1 / (n1 + n0))
+    sigma = (t - chance) / F.sqrt(chance * (n0 / (n1 + n0)))
+    x = terms.select("term", "is_prefix", t.alias("t"), lift.alias("lift"), sigma.alias("sigma")).where(f"t >= {SUPPORT} and lift > {LIFT} and sigma > {SIGMA}")
+    return [(r.term, r.is_prefix, r.lift) for r in x.orderBy((-F.col("lift") * F.sqrt("t")), "term", "is_prefix").collect()]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -200,7 +203,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexicon: int = LEXICON) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     """Learn from labelled documents outside the held-out fold: at most train_rows of them, chosen by a hash of doc_id.
 
     Texts stay on the executors: the driver gets the labels of the sample, the lexicon and nine numbers a row.
@@ -220,9 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexico
     if not n[0] or not n[1]:
         return {"lexicon": [], "weights": [0.0] * N_FEATURES + [float(np.log((n[1] + 0.5) / (n[0] + 0.5))) if n[0] + n[1] else -30.0]}
     schema = "term string, is_prefix boolean, c0 long, c1 long, t0 long, t1 long"
-    terms = stash(sample.mapInPandas(_term_counts, schema).groupBy("term", "is_prefix").agg(*[F.sum(k).alias(k) for k in ("c0", "c1", "t0", "t1")]).where("t0 + t1 >= 5"), "terms")
+    terms = stash(sample.mapInPandas(_term_counts, schema).groupBy("term", "is_prefix").agg(*[F.sum(k).alias(k) for k in ("c0", "c1", "t0", "t1")]).where(f"t0 + t1 >= {SUPPORT}"), "terms")
     # terms learned on one half are weighed on the other, and the other way round, so that weights see honest hits
-    other = [_lexicon(terms, sizes, (1 - h,), lexicon) for h in (0, 1)]
+    other = [_lexicon(terms, sizes, (1 - h,)) for h in (0, 1)]
 
     def measured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matchers = [_Matcher({"lexicon": x}) for x in other]
@@ -232,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexico
 
     rows = sorted((r.y, *r.x) for r in sample.mapInPandas(measured, "y double, x array<double>").collect())
     xy = np.array(rows)
-    return {"lexicon": _lexicon(terms, sizes, (0, 1), lexicon), "weights": _logistic(xy[:, 1:], xy[:, 0]).tolist()}
+    return {"lexicon": _lexicon(terms, sizes, (0, 1)), "weights": _logistic(xy[:, 1:], xy[:, 0]).tolist()}
 
 
 @lru_cache(maxsize=2)
@@ -256,12 +259,13 @@ def score_column(model: dict):
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs.
 
-    Null and empty texts have the score of a text without hits.  The fold of a null doc_id is null: not held out.
+    Null and empty texts have the score of a text without hits.  The fold of a null doc_id is null: not held out.  Texts are scored
+    whole, however long; rows that repeat each give a row, an empty table none; further columns are left out.
     """
     out = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score_column(model)("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns; repeated rows go or stay together, null texts score as empty ones."""
     return docs.where(score_column(model)("text") < threshold)
