@@ -437,7 +437,7 @@ def test_toxicity_learns(spark, empty):
 def test_toxicity_learns_short_terms_and_many(spark):
     """Terms of any length, as many as the sample bears out; a very long text is scored whole."""
     r = random.Random(16)
-    bad = ["zog", "vx", *["q" + "".join(r.choices("uvwxyz", k=6)) for _ in range(500)]]
+    bad = ["zog", "vx", *["q" + "".join(r.choices("uvwxyz", k=6)) for _ in range(300)]]
     rows, labels = [], []
     for i in range(6000):
         w = words(r, 12).split()
@@ -448,7 +448,7 @@ def test_toxicity_learns_short_terms_and_many(spark):
         labels.append((i, i % 2))
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     known = {t for t, is_prefix, _ in model["lexicon"] if not is_prefix}
-    assert {"zog", "vx"} <= known and len(known) > 450
+    assert {"zog", "vx"} <= known and len(known) > 240
     m = toxicity._Matcher(model)
     long = words(r, 150_000)
     assert toxicity.features(long, m)[5] == 0 and toxicity.features(long + " zog", m)[5] > 0
