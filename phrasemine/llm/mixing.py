@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import stash, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -57,9 +57,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     over chunks.  Null texts have size 0 and so does a text without words; a null source is a source of its own;
     repeated rows count each; an empty table gives no rows.
     """
-    rows = docs.select(
+    # texts are read once, to count their words
+    rows = stash(docs.select(
         "doc_id", F.col("source").isNull().alias("is_null"), F.coalesce(F.col("source"), F.lit("")).alias("source"), word_count(F.col("text")).alias("size")
-    )
+    ), "sizes")
     counts = rows.groupBy("is_null", "source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     most = counts.agg(F.max("n")).first()[0] or 1
     chunks = max(1, int(math.sqrt(most) / 8))

@@ -319,7 +319,9 @@ def test_secrets_access_key_links(spark):
 # warc
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("most", [warc.MOST_SENT, 0])
+def test_warc(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_SENT", most)
     big, r = "<p>é" + "x" * 1200, random.Random(2)
     pages = [(1, "u1", big), (5, "u5", big), (3, None, big), (2, "a\r\nb", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "line\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n\r\n" + words(r, 400)), (5, "u5", big)]
     d = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as sha256", "2 as keep")
