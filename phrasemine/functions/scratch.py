@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that this process wrote and did not delete, in order.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own in local mode, as in tests, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="phrasemine-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -21,14 +27,37 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/phrasemine-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stash_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a stash that no later plan reads."""
     path = getattr(df, "stash_path", None)
     if path:
-        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession, *but: DataFrame) -> None:
+    """Delete all stashes of this process but these: once a result is written, nothing reads the others."""
+    keep = {getattr(d, "stash_path", None) for d in but}
+    for path in [p for p in _made if p not in keep]:
+        _delete(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns as a stash of its own, without the stashes that were made for it."""
+    before = set(_made)
+    out = stash(make(), name)
+    for path in [p for p in _made if p not in before and p != out.stash_path]:
+        _delete(spark, path)
+    return out
