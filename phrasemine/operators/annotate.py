@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relate import numbered
+
 from .tokens import top_k
 
 DEMAND_TYPES = ["tool", "content", "service", "education", "other"]
 
 
 def numbered_batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows with batch and place in it, in order of the key.
-
-    Row numbers come from counts of range partitions and places within them, so no task numbers all rows.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
-    r = r.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m") - F.shiftleft("_p", 33))
-    start = r.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_s", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_s")
-    return r.join(F.broadcast(start), "_p").withColumn("batch", F.floor((F.col("_s") + F.col("_i")) / size)).withColumn("place", F.col("_s") + F.col("_i") - F.col("batch") * size).drop("_m", "_p", "_i", "_s")
+    """Rows with batch and place in it, in order of the key."""
+    return numbered(df, [key]).withColumn("batch", F.floor((F.col("number") - 1) / size)).withColumn("place", F.col("number") - 1 - F.col("batch") * size).drop("number")
 
 
 def batch_requests(df: DataFrame, key: str, size: int) -> DataFrame:

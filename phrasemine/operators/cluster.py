@@ -5,43 +5,46 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import forget, stash
 from .graph import components
-from .relate import renumbered
+from .relate import numbered, renumbered
 from .vectors import as_ml, knn
 
 
-def density_clusters(vectors: DataFrame, min_size: int = 30, min_samples: int = 3, epsilon: float = 0.9, k: int = 20) -> DataFrame:
+def density_clusters(vectors: DataFrame, min_size: int = 30, min_samples: int = 3, epsilon: float = 0.9, k: int = 20, within: str | None = None) -> DataFrame:
     """V9: (phrase_id, cluster_id): points joined by mutual reachability within epsilon; smaller components are noise, -1.
 
     A point's core distance is the distance to its min_samples-th neighbour; two neighbours are as far apart as the
-    largest of both core distances and their own distance.
+    largest of both core distances and their own distance.  within: a column whose values are clustered apart, in one job; it
+    is returned too, and labels count from 0 in each.
     """
-    near = stash(knn(vectors, max(k, min_samples)), "knn")
+    near = stash(knn(vectors, max(k, min_samples), within=within), "knn")
     core = near.where(F.col("rank") == min_samples).select(F.col("src").alias("node"), F.col("distance").alias("core"))
     e = near.join(core.select(F.col("node").alias("src"), F.col("core").alias("ca")), "src").join(core.select(F.col("node").alias("dst"), F.col("core").alias("cb")), "dst")
     e = e.where(F.greatest("ca", "cb", "distance") <= epsilon).select("src", "dst")
     c = components(vectors.select(F.col("phrase_id").alias("node")), e)
     n = c.groupBy("component").agg(F.count("*").alias("n"))
     kept = c.join(n, "component").select(F.col("node").alias("phrase_id"), F.when(F.col("n") >= min_size, F.col("component")).otherwise(-1).alias("cluster_id"))
-    return renumbered(kept, "cluster_id").select("phrase_id", "cluster_id")
+    if not within:
+        return renumbered(kept, "cluster_id").select("phrase_id", "cluster_id")
+    placed = stash(kept.join(vectors.select("phrase_id", within), "phrase_id"), "placed")
+    order = placed.where("cluster_id <> -1").select(within, "cluster_id").distinct().withColumn("_new", F.row_number().over(Window.partitionBy(within).orderBy("cluster_id")) - 1)
+    return placed.join(order, [within, "cluster_id"], "left").select("phrase_id", within, F.coalesce("_new", F.lit(-1)).cast("int").alias("cluster_id"))
 
 
-def sub_clusters(vectors: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """Vectors (with parent) split inside each parent, all in one job: id = parent * 10000 + local label, noise stays -1.
+def sub_clusters(vectors: DataFrame, min_size: int = 10, min_samples: int = 2, epsilon: float = 0.9, k: int = 20) -> DataFrame:
+    """Vectors (with parent) clustered by density inside each parent, all in one job.
 
-    Each parent's vectors are cut by the signs of k fixed projections less the parent's mean: a split that needs no loop over parents.
+    Id = parent * 10000 + local label; points in no cluster are -1, as are those whose parent is noise.
     """
-    dims = vectors.select("phrase_id", "parent", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
-    sign = lambda j: F.when(F.pmod(F.xxhash64(F.lit(seed), F.lit(j), F.col("d")), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    proj = dims.groupBy("phrase_id", "parent").agg(*[F.sum(F.col("x") * sign(j)).alias(f"p{j}") for j in range(k)])
-    mean = proj.groupBy("parent").agg(*[F.avg(f"p{j}").alias(f"m{j}") for j in range(k)])
-    bits = sum(((F.col(f"p{j}") >= F.col(f"m{j}")).cast("int") * (2**j) for j in range(1, k)), (F.col("p0") >= F.col("m0")).cast("int"))
-    local = proj.join(mean, "parent").select("phrase_id", "parent", bits.alias("local"))
-    return local.select("phrase_id", F.when(F.col("parent") == -1, -1).otherwise(F.col("parent") * 10_000 + F.col("local")).cast("int").alias("cluster_id"))
+    inside = density_clusters(vectors.where("parent <> -1"), min_size, min_samples, epsilon, k, within="parent")
+    ids = inside.select("phrase_id", F.when(F.col("cluster_id") != -1, F.col("parent") * 10_000 + F.col("cluster_id")).alias("new"))
+    return vectors.select("phrase_id").join(ids, "phrase_id", "left").select("phrase_id", F.coalesce("new", F.lit(-1)).cast("int").alias("cluster_id"))
 
 
 def resplit(vectors: DataFrame, labels: DataFrame, cluster_id: int, start: int = 1001, **how) -> DataFrame:
@@ -103,17 +106,44 @@ def search_k(vectors: DataFrame, ks: list[int], n_sample: int = 2000) -> DataFra
     return out.orderBy(F.desc("silhouette"), "k")
 
 
+def kmeans_within(vectors: DataFrame, rounds: int = 10) -> DataFrame:
+    """(phrase_id, cluster_id, part): k-means in every cluster at once, from vectors with cluster_id and n_parts.
+
+    Each round is one join of points with the few centres of their cluster and one map-side combined mean, so a cluster of any
+    size is spread over tasks.  The first centre of a cluster is the point farthest from its mean, each further one the point
+    farthest from those before; parts are numbered in that order and may be fewer where points coincide.
+    """
+    v = stash(vectors.select("phrase_id", "cluster_id", "n_parts", F.col("embedding").cast("array<double>").alias("e")), "points")
+    apart = F.expr("aggregate(zip_with(e, c, (x, y) -> (x - y) * (x - y)), 0D, (a, d) -> a + d)")
+    mean = lambda d, keys: d.select(*keys, array_to_vector("e").alias("f")).groupBy(*keys).agg(Summarizer.mean(F.col("f")).alias("m")).select(*keys, vector_to_array("m").alias("c"))
+    most = v.agg(F.max("n_parts")).first()[0] or 0
+    centres = mean(v, ["cluster_id"]).withColumn("part", F.lit(-1))
+    for part in range(most):
+        d = v.where(F.col("n_parts") > part).join(centres, "cluster_id").groupBy("cluster_id", "phrase_id").agg(F.min(apart).alias("d"), F.first("e").alias("e"))
+        far = d.where("d > 0").groupBy("cluster_id").agg(F.max_by("e", F.struct("d", -F.col("phrase_id"))).alias("c")).withColumn("part", F.lit(part))
+        centres = stash((centres.where("part >= 0") if part else far.limit(0)).unionByName(far), "centres")
+    for _ in range(rounds):
+        near = v.join(centres, "cluster_id").groupBy("cluster_id", "phrase_id").agg(F.min_by("part", F.struct(apart, "part")).alias("part"), F.first("e").alias("e"))
+        new = stash(mean(near, ["cluster_id", "part"]).select("cluster_id", "c", "part"), "centres")
+        moved = new.exceptAll(centres.select("cluster_id", "c", "part")).isEmpty()
+        forget(centres)
+        centres = new
+        if moved:
+            break
+    return v.join(centres, "cluster_id").groupBy("cluster_id", "phrase_id").agg(F.min_by("part", F.struct(apart, "part")).alias("part")).select("phrase_id", "cluster_id", "part")
+
+
 def split_inconsistent(vectors: DataFrame, labels: DataFrame, verdicts: DataFrame, least: int = 5, below: float = 0.7) -> DataFrame:
-    """Clusters of enough phrases that a verdict (cluster_id, consistent, score, n_parts) calls inconsistent, split; new ids follow the largest."""
+    """Clusters of enough phrases that a verdict (cluster_id, consistent, score, n_parts) calls inconsistent, split by k-means; new ids follow the largest.
+
+    n_parts is 2 where the verdict names none.
+    """
     size = labels.groupBy("cluster_id").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("cluster_id") != -1))
     bad = verdicts.where(~F.col("consistent") | (F.col("score") < below)).join(size, "cluster_id").select("cluster_id", F.coalesce("n_parts", F.lit(2)).alias("n_parts"))
-    parts = sub_clusters(vectors.join(labels, "phrase_id").join(bad, "cluster_id").withColumn("parent", F.col("cluster_id")), k=3).withColumnRenamed("cluster_id", "code")
-    local = parts.join(labels, "phrase_id").join(bad, "cluster_id").withColumn("part", F.pmod(F.col("code") % 10_000, F.col("n_parts")))
-    ids = local.select("cluster_id", "part").distinct()
+    local = stash(kmeans_within(vectors.select("phrase_id", "embedding").join(labels, "phrase_id").join(bad, "cluster_id")), "parts")
+    ids = numbered(local.select("cluster_id", "part").distinct(), ["cluster_id", "part"])
     top = labels.agg(F.max("cluster_id").alias("top"))  # one row
-    order = ids.orderBy("cluster_id", "part")
-    numbered = order.join(F.broadcast(top)).withColumn("new", F.row_number().over(Window.orderBy("cluster_id", "part")) + F.col("top"))
-    moved = local.join(numbered, ["cluster_id", "part"]).select("phrase_id", "new")
+    moved = local.join(ids.join(F.broadcast(top)).select("cluster_id", "part", (F.col("number") + F.col("top")).alias("new")), ["cluster_id", "part"]).select("phrase_id", "new")
     return labels.join(moved, "phrase_id", "left").select("phrase_id", F.coalesce("new", "cluster_id").cast("int").alias("cluster_id"), F.when(F.col("new").isNotNull(), F.col("cluster_id")).alias("parent"))
 
 

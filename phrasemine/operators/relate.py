@@ -112,16 +112,30 @@ def with_share(df: DataFrame, value: str) -> DataFrame:
     return df.join(F.broadcast(df.agg(F.sum(value).alias("_all")))).withColumn("share", F.round(100 * F.col(value) / F.col("_all"), 6)).drop("_all")
 
 
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with number: 1, 2, ... in order of the keys.  Numbers come from counts of range partitions and places within them, so no task numbers all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
+    r = r.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m") - F.shiftleft("_p", 33))
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    start = r.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_s", F.coalesce(F.sum("n").over(upto), F.lit(0))).select("_p", "_s")
+    return r.join(F.broadcast(start), "_p").withColumn("number", F.col("_s") + F.col("_i") + 1).drop("_m", "_p", "_i", "_s")
+
+
 def renumbered(labels: DataFrame, label: str, start: int = 0) -> DataFrame:
     """Labels other than -1 as start, start + 1, ... in their order; ranks are made on the table of distinct labels."""
-    order = labels.where(f"{label} <> -1").select(label).distinct().withColumn("_new", F.row_number().over(Window.orderBy(label)) - 1 + start)
+    order = numbered(labels.where(f"{label} <> -1").select(label).distinct(), [label]).select(label, (F.col("number") - 1 + start).alias("_new"))
     return labels.join(order, label, "left").withColumn(label, F.coalesce("_new", F.lit(-1)).cast("int")).drop("_new")
 
 
 def sample(df: DataFrame, n: int, seed: int, *cols: str) -> DataFrame:
     """N rows in the order of a seeded hash: the same for the same rows."""
-    h: Column = F.xxhash64(F.lit(seed), *cols)
-    return df.orderBy(h, *cols).limit(n)
+    return df.orderBy(seeded(seed, *cols), *cols).limit(n)
+
+
+def seeded(seed: int, *cols: str) -> Column:
+    """A key that puts rows in a random order, the same for the same seed, in Spark as in SQL."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
 def confidence_trail(events: DataFrame) -> DataFrame:

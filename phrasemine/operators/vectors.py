@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, Normalizer
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors up to which all are sent to each task for an exact search (20,000 of 384 floats: 30 MB).
-MOST_SENT = 20_000
+#: Vectors and queries that meet in one group at most (rows by hash, so nearly); vectors that cells are learned from.
+BLOCK, CELL_SAMPLE = 4096, 20_000
 
 
 def as_ml(vectors: DataFrame) -> DataFrame:
@@ -36,34 +37,79 @@ def aligned(phrases: DataFrame, cache: DataFrame) -> DataFrame:
     return phrases.withColumn("text_md5", F.md5("phrase")).join(cache.select("text_md5", "embedding"), "text_md5").drop("text_md5")
 
 
-def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None, most_sent: int = MOST_SENT, bucket: float = 0.6, tables: int = 8) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+
+
+def cells(vectors: DataFrame, n: int, sample: int = CELL_SAMPLE, seed: int = 42) -> np.ndarray:
+    """Centres of n cells, learned by k-means on a hash sample of at most `sample` unit vectors."""
+    picked = normalised(vectors.orderBy(F.xxhash64(F.lit(seed), "phrase_id"), "phrase_id").limit(sample).select("phrase_id", "embedding"), "float64")
+    return np.array(KMeans(k=n, seed=seed, maxIter=10).fit(as_ml(picked)).clusterCenters())
+
+
+def in_cells(unit: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """Each unit vector (phrase_id, embedding) in its `probes` nearest cells, a row each."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = (centres * centres).sum(axis=1) / 2
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = half - _matrix(pa.chunked_array([b.column("embedding")])) @ centres.T
+            best = np.argpartition(d, min(probes, len(centres)) - 1, axis=1)[:, :probes]
+            take = pa.array(np.repeat(np.arange(b.num_rows), best.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column("phrase_id").take(take), b.column("embedding").take(take), pa.array(best.ravel().astype(np.int64))], names=["phrase_id", "embedding", "cell"])
+
+    return unit.select("phrase_id", "embedding").mapInArrow(near, "phrase_id long, embedding array<double>, cell long")
+
+
+def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None, within: str | None = None, n_cells: int | None = None, probes: int = 8, block: int = BLOCK) -> DataFrame:
     """(src, dst, rank, distance): the k nearest other vectors by distance of unit vectors, ties by id.
 
-    Up to most_sent vectors, a number that is checked, each task searches a copy of all of them: exact.  Beyond that,
-    candidates share a bucket of random projections (several tables) and are ranked exactly; recall is then below one.
+    Blocks of queries meet blocks of vectors, each pair of blocks in a group of bounded size, and the best of each query are merged:
+    exact at every size.  within: a column whose values keep vectors apart.  n_cells: vectors are dealt into so many cells, learned
+    from a sample, and queries look into their `probes` nearest ones only; a large cell is cut into blocks like the whole.
     """
-    unit = normalised(vectors.select("phrase_id", "embedding"), "float64")
-    asked = unit if queries is None else normalised(queries.select("phrase_id", "embedding"), "float64")
-    if unit.limit(most_sent + 1).count() <= most_sent:
-        rows = unit.orderBy("phrase_id").collect()
-        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r.phrase_id for r in rows], dtype=np.int64), np.array([r.embedding for r in rows], dtype=np.float64)))
-
-        def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, all_ = sent.value
-            for p in parts:
-                for at in range(0, len(p), 256):
-                    q = p.iloc[at : at + 256]
-                    d = np.sqrt(np.maximum(0.0, 2 - 2 * (np.array(q["embedding"].tolist(), dtype=np.float64) @ all_.T)))
-                    for src, row in zip(q["phrase_id"], d):
-                        near = np.argsort(row, kind="stable")[: k + 1]
-                        near = near[ids[near] != src][:k]
-                        yield pd.DataFrame({"src": src, "dst": ids[near], "rank": np.arange(1, len(near) + 1), "distance": row[near]})
-
-        return (asked.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "phrase_id") if rows else asked).mapInPandas(search, "src long, dst long, rank int, distance double")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42).fit(as_ml(unit))
-    near = model.approxSimilarityJoin(as_ml(asked), as_ml(unit), 2.0, "distance").select(F.col("datasetA.phrase_id").alias("src"), F.col("datasetB.phrase_id").alias("dst"), "distance").where("src <> dst")
-    w = Window.partitionBy("src").orderBy("distance", "dst")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "distance")
+    keys = [within] if within else []
+    unit = normalised(vectors.where("embedding is not null").select("phrase_id", "embedding", *keys), "float64")
+    asked = unit if queries is None else normalised(queries.where("embedding is not null").select("phrase_id", "embedding", *keys), "float64")
+    if n_cells:
+        centres = cells(vectors, n_cells)
+        unit, asked = in_cells(unit, centres, 1), in_cells(asked, centres, probes)
+    else:
+        unit, asked = (d.withColumn("cell", F.col(within) if within else F.lit(0)).select("phrase_id", "embedding", "cell") for d in (unit, asked))
+    parts = F.ceil(F.col("n") / F.lit(block))
+    # a small table still gives every core some queries
+    n_asked = F.greatest(parts, F.least(F.lit(vectors.sparkSession.sparkContext.defaultParallelism), F.ceil(F.col("n") / F.lit(64))))
+    counted = lambda d, name, n: d.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("n")).select("_cell", n.alias(name))
+    sizes = counted(unit, "n_v", parts).alias("a").join(counted(asked, "n_q", n_asked).alias("b"), F.expr("a._cell <=> b._cell")).select("a._cell", "n_v", "n_q")
+    dealt = lambda d, own, other: d.join(sizes, F.expr("cell <=> _cell")).select(
+        "cell", "phrase_id", "embedding", F.pmod(F.xxhash64("phrase_id"), F.col(f"n_{own}")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(other)
+    )
+    left = dealt(asked, "q", "v")
+    # under names of their own: a co-group of a table with itself needs columns that it can tell apart
+    right = dealt(unit, "v", "q").select(*[F.col(c).alias(f"{c}_") for c in ("cell", "q", "v", "phrase_id", "embedding")])
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.float64())])
+
+    def search(q: pa.Table, v: pa.Table) -> pa.Table:
+        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if q.num_rows and v.num_rows:
+            q_ids, v_ids, all_ = q["phrase_id"].to_numpy(), v["phrase_id_"].to_numpy(), _matrix(v["embedding_"]).T
+            asked_ = _matrix(q["embedding"])
+            found = []
+            for at in range(0, len(q_ids), 256):
+                ids = q_ids[at : at + 256]
+                # rounded, so that equal vectors tie
+                d = np.sqrt(np.maximum(0.0, 2 - 2 * np.round(asked_[at : at + 256] @ all_, 12)))
+                d[ids[:, None] == v_ids[None, :]] = np.inf
+                most = np.partition(d, min(k, len(v_ids)) - 1, axis=1)[:, min(k, len(v_ids)) - 1]
+                r, c = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+                found.append((ids[r], v_ids[c], d[r, c]))
+            out = [np.concatenate(x) for x in zip(*found)]
+        return pa.Table.from_arrays([pa.array(x) for x in out], schema=schema)
+
+    near = left.groupBy("cell", "q", "v").cogroup(right.groupBy("cell_", "q_", "v_")).applyInArrow(search, "src long, dst long, distance double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))).where(F.col("rank") <= k).select("src", "dst", "rank", "distance")
 
 
 def assign(new: DataFrame, known: DataFrame, k: int = 5, most: float = 0.5) -> DataFrame:
@@ -100,6 +146,7 @@ def local_density(neighbours: DataFrame, k: int = 20) -> DataFrame:
 
 
 def density_bands(density: DataFrame) -> DataFrame:
+    """Points denser than the 90th and sparser than the 10th percentile."""
     cut = density.agg(F.percentile("density", F.array(F.lit(0.1), F.lit(0.9))).alias("p"))
     return density.join(F.broadcast(cut)).agg(F.count("*").alias("n"), F.count_if(F.col("density") > F.col("p")[1]).alias("dense"), F.count_if(F.col("density") < F.col("p")[0]).alias("sparse"), F.first(F.round(F.col("p")[0], 6)).alias("p10"), F.first(F.round(F.col("p")[1], 6)).alias("p90"))
 

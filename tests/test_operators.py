@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,10 +125,48 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 300)) and got[500] == 500 and got[999] == 999
 
 
-def test_knn_ways_agree_mostly(three):
-    exact = {(r.src, r.dst) for r in vectors.knn(three, 5).collect()}
-    near = {(r.src, r.dst) for r in vectors.knn(three, 5, most_sent=0).collect()}
-    assert len(exact & near) / len(exact) > 0.9
+def brute_knn(rows, k):
+    x = np.array([r.embedding for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.sqrt(np.maximum(0, 2 - 2 * np.round(x @ x.T, 12)))
+    np.fill_diagonal(d, np.inf)
+    ids = np.array([r.phrase_id for r in rows])
+    return {int(ids[i]): [int(ids[j]) for j in sorted(range(len(ids)), key=lambda j: (d[i, j], ids[j]))[:k]] for i in range(len(ids))}
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_knn_is_exact_in_blocks(spark, three, block):
+    rows = three.unionByName(three.limit(5).withColumn("phrase_id", F.col("phrase_id") + 900)).collect()  # ties
+    d = spark.createDataFrame(rows)
+    got = {}
+    for r in vectors.knn(d, 5, block=block).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append(r.dst)
+    assert got == brute_knn(rows, 5)
+    few = vectors.knn(d, 5, d.where("phrase_id % 20 = 0"), block=block).collect()
+    assert {r.src for r in few} == {r.phrase_id for r in rows if r.phrase_id % 20 == 0} and all(got[r.src][r["rank"] - 1] == r.dst for r in few)
+    assert vectors.knn(d.limit(0), 5).count() == 0 and vectors.knn(d.limit(1), 5).count() == 0
+
+
+def test_knn_within_keeps_apart(three):
+    truth = {r.phrase_id: r.cluster_id for r in three.collect()}
+    near = vectors.knn(three, 30, within="cluster_id").collect()
+    assert all(truth[r.src] == truth[r.dst] for r in near) and len(near) == 30 * 29 + 25 * 24 + 20 * 19
+
+
+def test_knn_cells_recall(spark):
+    """20,000 vectors: less than a twentieth of all pairs compared, at least 0.9 of the ten nearest found, for ids divisible by 20."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(400, 32))
+    x = centres[r.integers(0, 400, 20_000)] + 0.35 * r.normal(size=(20_000, 32))
+    d = spark.createDataFrame(list(enumerate(x.tolist())), "phrase_id long, embedding array<float>").cache()
+    asked = d.where("phrase_id % 20 = 0")
+    exact = {(e.src, e.dst) for e in vectors.knn(d, 10, asked).collect()}
+    found = {(e.src, e.dst) for e in vectors.knn(d, 10, asked, n_cells=200, probes=5).collect()}
+    centres_ = vectors.cells(d, 200)
+    unit = vectors.normalised(d, "float64")
+    per = vectors.in_cells(unit, centres_, 1).groupBy("cell").agg(F.count("*").alias("n"))
+    pairs = vectors.in_cells(unit.where("phrase_id % 20 = 0"), centres_, 5).join(per, "cell").agg(F.sum("n")).first()[0]
+    assert len(exact & found) / len(exact) >= 0.9 and pairs < 0.05 * 1000 * 20_000
 
 
 def test_assignment(spark, three):
@@ -138,10 +177,44 @@ def test_assignment(spark, three):
     assert vectors.assign(far, three).first().cluster_id == -1
 
 
-def test_sub_clusters_keep_parent_and_noise(three):
-    v = three.selectExpr("phrase_id", "embedding", "if(cluster_id = 2, -1, cluster_id + 7) as parent")
-    got = {r.phrase_id: r.cluster_id for r in cluster.sub_clusters(v).collect()}
-    assert all(got[r.phrase_id] == -1 if r.parent == -1 else got[r.phrase_id] // 10_000 == r.parent for r in v.collect())
+def test_sub_clusters_find_the_clusters_of_each_parent(spark):
+    """10 + 10 + 10 tight clusters and 5 outliers of 384 dimensions in each of two parents, and noise."""
+    r = np.random.default_rng(1)
+    rows, truth = [], {}
+    for parent in (3, 8, -1):
+        for k in range(3):
+            centre = r.normal(size=384)
+            for _ in range(10):
+                truth[len(rows)] = (parent, k)
+                rows.append((len(rows), (centre + 0.05 * r.normal(size=384)).tolist(), parent))
+        for _ in range(5):
+            truth[len(rows)] = (parent, None)
+            rows.append((len(rows), r.normal(size=384).tolist(), parent))
+    v = spark.createDataFrame(rows, "phrase_id long, embedding array<float>, parent int")
+    got = {x.phrase_id: x.cluster_id for x in cluster.sub_clusters(v, 5, 2, 0.6).collect()}
+    assert len(got) == len(rows)
+    by = {}
+    for p, (parent, k) in truth.items():
+        assert (got[p] == -1) == (k is None or parent == -1) and (got[p] == -1 or got[p] // 10_000 == parent)
+        if got[p] != -1:
+            by.setdefault((parent, k), set()).add(got[p])
+    assert all(len(x) == 1 for x in by.values()) and set().union(*by.values()) == {30000, 30001, 30002, 80000, 80001, 80002}
+    assert cluster.sub_clusters(v.limit(0)).count() == 0
+
+
+def test_split_inconsistent_is_k_means(spark, three):
+    """A cluster made of three blobs falls into them; others keep their labels."""
+    other = three.selectExpr("phrase_id + 500 as phrase_id", "embedding", "cluster_id + 10 as cluster_id")
+    v = three.withColumn("cluster_id", F.lit(4)).unionByName(other)
+    labels = v.select("phrase_id", F.col("cluster_id").cast("int").alias("cluster_id"))
+    verdicts = spark.createDataFrame([(4, False, 0.9, 3), (10, True, 0.9, 2), (11, True, 0.5, None)], "cluster_id int, consistent boolean, score double, n_parts int")
+    got = {x.phrase_id: (x.cluster_id, x.parent) for x in cluster.split_inconsistent(v.select("phrase_id", "embedding"), labels, verdicts).collect()}
+    truth = {r.phrase_id: r.cluster_id for r in three.collect()}
+    by = {}
+    for p, t in truth.items():
+        by.setdefault(t, set()).add(got[p])
+        assert got[p + 500] == (10 + t, None) if t != 1 else got[p + 500][1] == 11 and got[p + 500][0] > 12
+    assert all(len(x) == 1 for x in by.values()) and {c for x in by.values() for c, _ in x} == {13, 14, 15} and len({got[p + 500][0] for p, t in truth.items() if t == 1}) == 2
 
 
 def test_validity_prefers_the_truth(three):
