@@ -61,3 +61,9 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     for path in [p for p in _made if p not in before and p != out.stash_path]:
         _delete(spark, path)
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from fewer splits than there are cores, dealt out to all of them; larger ones are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,15 +24,30 @@ QUESTION_WORDS = "how what why when where which who can is are do does".split()
 TOKEN_TYPES = ["intent", "action", "object", "attribute", "condition", "other"]
 
 
-def _list(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _ascii(c: Column) -> Column:
+    """Whether a text is plain ASCII, the common case, for which patterns need no Unicode classes."""
+    return F.octet_length(c) == F.length(c)
+
+
+def _replace(c: Column, pattern: str, by: str) -> Column:
+    return F.when(_ascii(c), F.regexp_replace(c, pattern, by)).otherwise(F.regexp_replace(c, f"(?U){pattern}", by))
+
+
+def folded(c: Column) -> Column:
+    """Lower case, white space folded and trimmed."""
+    return F.trim(_replace(F.lower(F.trim(c)), r"\s+", " "))
+
+
+def valid_phrase(p: Column) -> Column:
+    """Of a folded phrase: 1 to 255 long, not all digits and at least half Latin."""
+    odd = F.length(_replace(p, r"[a-z0-9\s-]+", ""))
+    return F.length(p).between(1, 255) & ~p.rlike(r"^(?U)\d+$") & (odd / F.length(p) <= 0.5)
 
 
 def clean_phrase(c: Column) -> Column:
     """Lower case, white space folded; null unless 1 to 255 long, not all digits and at least half Latin."""
-    p = F.trim(F.regexp_replace(F.lower(F.trim(c)), r"(?U)\s+", " "))
-    odd = F.length(F.regexp_replace(p, r"(?U)[a-z0-9\s-]", ""))
-    return F.when((F.length(p).between(1, 255)) & ~p.rlike(r"^(?U)\d+$") & (odd / F.length(p) <= 0.5), p)
+    p = folded(c)
+    return F.when(valid_phrase(p), p)
 
 
 def clean_seed(c: Column) -> Column:
@@ -46,23 +61,36 @@ def to_long(c: Column, default: int) -> Column:
 
 def clean_token(c: Column) -> Column:
     """Lower case, without punctuation but hyphens, white space folded."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s-]", ""), r"(?U)\s+", " "))
+    return F.trim(_replace(_replace(F.lower(c), r"[^\w\s-]+", ""), r"\s+", " "))
 
 
 def is_valid_token(c: Column, least: int = 2, most: int = 30) -> Column:
-    return F.length(c).between(least, most) & ~F.array_contains(_list(TOKEN_STOP_WORDS), c) & ~c.rlike(r"^(?U)\d+$") & c.rlike(r"\p{L}")
+    return F.length(c).between(least, most) & c.rlike(r"\p{L}") & ~c.isin(TOKEN_STOP_WORDS)
 
 
-def tokens(c: Column) -> Column:
-    """Valid words of a phrase in order; a hyphenated word is followed by its parts."""
+def token_candidates(c: Column) -> Column:
+    """Words of a phrase in order; a hyphenated word is followed by its parts."""
     words = F.split(clean_token(c), " ")
-    parts = F.transform(words, lambda w: F.when(F.contains(w, F.lit("-")), F.concat(F.array(w), F.split(w, "-"))).otherwise(F.array(w)))
-    return F.filter(F.flatten(parts), lambda w: is_valid_token(w))
+    parts = F.flatten(F.transform(words, lambda w: F.when(F.contains(w, F.lit("-")), F.concat(F.array(w), F.split(w, "-"))).otherwise(F.array(w))))
+    return F.when(F.contains(c, F.lit("-")), parts).otherwise(words)
+
+
+def tokens(c: Column) -> Column:
+    """Valid words of a phrase in order."""
+    return F.filter(token_candidates(c), lambda w: is_valid_token(w))
 
 
 def segment_words(c: Column, stop_words: list[str] = SEGMENT_STOP_WORDS) -> Column:
     """Words of a to z, two letters or more, that are no stop words."""
-    return F.filter(F.split(F.lower(c), r"[\s\-_]+"), lambda w: (F.length(w) >= 2) & w.rlike("^[a-z]+$") & ~F.array_contains(_list(stop_words), w))
+    return F.filter(segment_candidates(c), lambda w: is_segment_word(w, stop_words))
+
+
+def segment_candidates(c: Column) -> Column:
+    return F.split(F.lower(c), r"[\s\-_]+")
+
+
+def is_segment_word(w: Column, stop_words: list[str] = SEGMENT_STOP_WORDS) -> Column:
+    return (F.length(w) >= 2) & w.rlike("^[a-z]+$") & ~w.isin(stop_words)
 
 
 def ngrams(words: str, low: int, high: int) -> Column:

@@ -14,7 +14,7 @@ SOURCES = ["semrush", "dropdown", "related_search"]
 def clean_phrases(df: DataFrame) -> DataFrame:
     """Clean phrase, seed and numbers; rows whose phrase does not pass are dropped."""
     return (
-        df.withColumn("phrase", X.clean_phrase(F.col("phrase"))).where("phrase is not null")
+        df.withColumn("phrase", X.folded(F.col("phrase"))).where(X.valid_phrase(F.col("phrase")))
         .withColumn("seed_word", X.clean_seed(F.col("seed_word")))
         .withColumn("frequency", X.to_long(F.col("frequency"), 1)).withColumn("volume", X.to_long(F.col("volume"), 0))
     )
@@ -33,10 +33,10 @@ def merge_sources(df: DataFrame, round_id: int, order: list[str]) -> DataFrame:
     """A1: one row for each clean phrase: first seed and source in order of sources then `order`; frequencies summed, largest volume."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source_type"))
     place = F.struct(rank, *order)
+    first = F.min(F.struct(place.alias("place"), "seed_word", "source_type"))
     return (
-        clean_phrases(df).groupBy("phrase")
-        .agg(F.min_by("seed_word", place).alias("seed_word"), F.min_by("source_type", place).alias("source_type"), F.sum("frequency").alias("frequency"), F.max("volume").alias("volume"))
-        .withColumn("first_seen_round", F.lit(round_id))
+        clean_phrases(df).groupBy("phrase").agg(first.alias("f"), F.sum("frequency").alias("frequency"), F.max("volume").alias("volume"))
+        .select("phrase", "f.seed_word", "f.source_type", "frequency", "volume", F.lit(round_id).alias("first_seen_round"))
     )
 
 

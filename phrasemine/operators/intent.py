@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,23 +53,44 @@ UNKNOWN_LABEL = "未知意图"
 PREFIX, ENDING = 1.5, 0.5
 
 
-def _score(phrase: Column, name: str) -> Column:
+_PLAIN = re.compile(r"\\b(\w+)\\b")
+
+
+def _word(pattern: str) -> str:
+    """A whole word that each match of a pattern holds."""
+    return re.search(r"[a-z]{2,}", pattern.replace(r"\b", " ").replace(r"\s", " "))[0]
+
+
+def _score(phrase: Column, held: Column, name: str) -> Column:
+    """Weights of the patterns that a phrase matches; held: the words of all patterns that it has, few as a rule."""
     weight, words, prefixes, endings = INTENTS[name]
     tests = [(p, weight) for p in words] + [(p, weight * PREFIX) for p in prefixes] + [(p, weight * ENDING) for p in endings]
-    return reduce(lambda a, b: a + b, [F.when(phrase.rlike(p), w).otherwise(0.0) for p, w in tests])
+
+    def test(p: str) -> Column:
+        has = F.array_contains(held, _word(p))
+        return has if _PLAIN.fullmatch(p) else has & phrase.rlike(p)
+
+    return reduce(lambda a, b: a + b, [F.when(test(p), w).otherwise(0.0) for p, w in tests])
 
 
 def classify(phrases: DataFrame) -> DataFrame:
-    """Adds primary_intent, confidence and shares (intent -> share of all scores); other without any."""
-    p = F.lower("phrase")
-    s = phrases.withColumn("_s", F.array(*[F.struct(_score(p, n).alias("score"), F.lit(-i).alias("ord"), F.lit(n).alias("name")) for i, n in enumerate(INTENTS)]))
+    """Adds primary_intent, confidence and shares (intent -> share of all scores); other without any.
+
+    A phrase is cut into words once; most patterns are single words, and the others are tried only where their word is there.
+    """
+    p, every = F.col("_p"), sorted({_word(x) for _, *lists in INTENTS.values() for patterns in lists for x in patterns})
+    words = F.when(F.octet_length(p) == F.length(p), F.split(p, r"\W+")).otherwise(F.split(p, r"(?U)\W+"))
+    s = phrases.withColumn("_p", F.lower("phrase")).withColumn("_w", F.array_intersect(words, F.array(*[F.lit(w) for w in every])))
+    scores = F.array(*[F.struct(_score(p, F.col("_w"), n).alias("score"), F.lit(-i).alias("ord"), F.lit(n).alias("name")) for i, n in enumerate(INTENTS)])
+    zero = F.array(*[F.struct(F.lit(0.0).alias("score"), F.lit(-i).alias("ord"), F.lit(n).alias("name")) for i, n in enumerate(INTENTS)])
+    s = s.withColumn("_s", F.when(F.size("_w") > 0, scores).otherwise(zero))
     s = s.withColumn("_all", F.expr("aggregate(_s, 0D, (a, x) -> a + x.score)")).withColumn("_top", F.array_max("_s"))
     shares = F.map_from_entries(F.transform(F.filter("_s", lambda x: x["score"] > 0), lambda x: F.struct(x["name"], x["score"] / F.col("_all"))))
     none = F.col("_all") == 0
     return s.withColumns({
         "primary_intent": F.when(none, "other").otherwise(F.col("_top.name")), "confidence": F.when(none, 1.0).otherwise(F.try_divide(F.col("_top.score"), F.col("_all"))),
         "shares": F.when(none, F.create_map(F.lit("other"), F.lit(1.0))).otherwise(shares),
-    }).drop("_s", "_all", "_top")
+    }).drop("_p", "_w", "_s", "_all", "_top")
 
 
 def cluster_intent(phrases: DataFrame, key: str, looked_at: int = 50) -> DataFrame:

@@ -12,7 +12,8 @@ THRESHOLDS = [3, 5, 8, 10, 15, 20, 30, 50]
 
 def token_frequency(phrases: DataFrame, least: int = 8) -> DataFrame:
     """T4: occurrences of valid tokens."""
-    return phrases.select(F.explode(X.tokens(F.col("phrase"))).alias("token")).groupBy("token").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
+    # words are tested after the explode, where the tests are compiled
+    return phrases.select(F.explode(X.token_candidates(F.col("phrase"))).alias("token")).where(X.is_valid_token(F.col("token"))).groupBy("token").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
 
 
 def suggest_threshold(counts: DataFrame, target: int = 1000) -> DataFrame:
@@ -80,7 +81,7 @@ def prefix_groups(tokens: DataFrame, most: int = 100) -> DataFrame:
 
 def segment(phrases: DataFrame) -> DataFrame:
     """Words of phrases with counts."""
-    return phrases.select(F.explode(X.segment_words(F.col("phrase"))).alias("word")).groupBy("word").agg(F.count("*").alias("frequency"))
+    return phrases.select(F.explode(X.segment_candidates(F.col("phrase"))).alias("word")).where(X.is_segment_word(F.col("word"))).groupBy("word").agg(F.count("*").alias("frequency"))
 
 
 def segment_unified(phrases: DataFrame, least: int = 2, most: int = 6) -> DataFrame:

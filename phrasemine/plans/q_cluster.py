@@ -70,9 +70,9 @@ def v7(t: Tables) -> DataFrame:
     return graph.modularity(_edges(t), labels).select(F.round("modularity", 5).alias("modularity"))
 
 
-@register("v8_prune", "SELECT phrase_id AS node, CAST(CASE WHEN n < 1500 THEN -1 ELSE dense_rank() OVER (PARTITION BY n < 1500 ORDER BY cluster_id_B) - 1 END AS INT) AS community FROM (SELECT phrase_id, cluster_id_B, CASE WHEN cluster_id_B = -1 THEN 0 ELSE count(*) OVER (PARTITION BY cluster_id_B) END AS n FROM doc)", "doc")
+@register("v8_prune", "SELECT phrase_id AS node, CAST(CASE WHEN n < 10 THEN -1 ELSE dense_rank() OVER (PARTITION BY n < 10 ORDER BY cluster_id_B) - 1 END AS INT) AS community FROM (SELECT phrase_id, cluster_id_B, CASE WHEN cluster_id_B = -1 THEN 0 ELSE count(*) OVER (PARTITION BY cluster_id_B) END AS n FROM doc)", "doc")
 def v8(t: Tables) -> DataFrame:
-    return graph.prune(t.doc.select(F.col("phrase_id").alias("node"), F.col("cluster_id_B").alias("community")), 1500)
+    return graph.prune(t.doc.select(F.col("phrase_id").alias("node"), F.col("cluster_id_B").alias("community")))
 
 
 @register("v9_density_clusters")
@@ -82,7 +82,7 @@ def v9(t: Tables) -> DataFrame:
 
 @register("v10_sub_clusters")
 def v10(t: Tables) -> DataFrame:
-    return cluster.sub_clusters(t.vectors.withColumnRenamed("cluster_id", "parent"))
+    return cluster.sub_clusters(t.vectors.withColumnRenamed("cluster_id", "parent"), 5, 2, 1.15)
 
 
 @register("v11_resplit")
@@ -119,7 +119,7 @@ def v16(t: Tables) -> DataFrame:
 
 @register("v17_mixtures")
 def v17(t: Tables) -> DataFrame:
-    return cluster.mixtures(t.vectors.withColumn("embedding", F.slice("embedding", 1, 8)), [2, 4])
+    return cluster.mixtures(t.vectors, [2, 4])
 
 
 @register("v18_density_sweep")

@@ -94,19 +94,19 @@ def c10(t: Tables) -> DataFrame:
     return intent.distribution(t.kw).drop("verdict")
 
 
-@register("c11_token_coverage", f", {tk('kw')}, {TYPES} SELECT phrase_id, EXISTS (SELECT 1 FROM ty WHERE ty.frequency >= 250 AND contains(doc.phrase, token)) AS covered FROM doc", "kw", "doc")
+@register("c11_token_coverage", f", {tk('kw')}, {TYPES} SELECT phrase_id, EXISTS (SELECT 1 FROM ty WHERE contains(doc.phrase, token)) AS covered FROM doc", "kw", "doc")
 def c11(t: Tables) -> DataFrame:
-    return scoring.coverage(t.doc, _types(t).where("frequency >= 250")).select("phrase_id", "covered")
+    return scoring.coverage(t.doc, _types(t)).select("phrase_id", "covered")
 
 
-@register("c11_token_usage", f", {tk('kw')}, {TYPES} SELECT token, count(*) AS n_phrases FROM ty JOIN doc ON contains(phrase, token) WHERE ty.frequency >= 250 GROUP BY 1", "kw", "doc")
+@register("c11_token_usage", f", {tk('kw')}, {TYPES} SELECT token, count(*) AS n_phrases FROM ty JOIN doc ON contains(phrase, token) GROUP BY 1", "kw", "doc")
 def c11_usage(t: Tables) -> DataFrame:
-    return scoring.token_usage(t.doc, _types(t).where("frequency >= 250"))
+    return scoring.token_usage(t.doc, _types(t))
 
 
-@register("c11_uncovered_words", f", {tk('kw')}, {TYPES} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(phrase), '\\s+')) AS word FROM doc WHERE NOT EXISTS (SELECT 1 FROM ty WHERE ty.frequency >= 250 AND contains(doc.phrase, token))) WHERE length(word) > 2 AND word NOT IN ({', '.join(repr(w) for w in scoring.BASIC_STOP_WORDS)}) GROUP BY 1 ORDER BY n DESC, word LIMIT 50", "kw", "doc")
+@register("c11_uncovered_words", f", {tk('kw')}, {TYPES} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(phrase), '\\s+')) AS word FROM doc WHERE NOT EXISTS (SELECT 1 FROM ty WHERE contains(doc.phrase, token))) WHERE length(word) > 2 AND word NOT IN ({', '.join(repr(w) for w in scoring.BASIC_STOP_WORDS)}) GROUP BY 1 ORDER BY n DESC, word LIMIT 50", "kw", "doc")
 def c11_words(t: Tables) -> DataFrame:
-    return scoring.uncovered_words(scoring.coverage(t.doc, _types(t).where("frequency >= 250")))
+    return scoring.uncovered_words(scoring.coverage(t.doc, _types(t)))
 
 
 @register("c12_redundancy")

@@ -47,10 +47,10 @@ def s4(t: Tables) -> DataFrame:
     return files.read_keywords(t.spark, at, "semrush").select("phrase")
 
 
-@register("s5_encodings", "SELECT phrase FROM doc WHERE length(phrase) BETWEEN 30 AND 60 AND regexp_full_match(phrase, '[a-z éèêçñáíóúäöüß,]+')", "doc")
+@register("s5_encodings", "SELECT phrase FROM doc WHERE regexp_full_match(phrase, '[\\x{20}-\\x{7E}\\x{A0}-\\x{FF}]+')", "doc")
 def s5(t: Tables) -> DataFrame:
     at = _at(t)
-    t.doc.where("length(phrase) between 30 and 60 and phrase rlike '^[a-z éèêçñáíóúäöüß,]+$'").select("phrase").write.option("header", True).option("encoding", "ISO-8859-1").csv(at)
+    t.doc.where(r"phrase rlike '^[\\x20-\\x7E\\xA0-\\xFF]+$'").select("phrase").write.option("header", True).option("encoding", "ISO-8859-1").csv(at)
     return files.read_csv(t.spark, at, "ISO-8859-1")
 
 

@@ -76,10 +76,10 @@ def e9(t: Tables) -> DataFrame:
 
 
 def _new_demands(t: Tables) -> DataFrame:
-    return t.products.where("product_id % 10 = 0").select(F.col("product_name").alias("title"), F.lit(0.5).alias("confidence"), F.array("product_id").alias("source_ids"), F.col("product_id").alias("change_id"))
+    return t.products.select(F.col("product_name").alias("title"), F.lit(0.5).alias("confidence"), F.array("product_id").alias("source_ids"), F.col("product_id").alias("change_id"))
 
 
-@register("e10_create_demands", "SELECT title, confidence, count(*) AS n, count(DISTINCT demand_id) AS n_ids FROM (SELECT product_name AS title, 0.5::DOUBLE AS confidence, product_id AS demand_id FROM products WHERE product_id % 10 = 0) GROUP BY ALL", "products")
+@register("e10_create_demands", "SELECT title, confidence, count(*) AS n, count(DISTINCT demand_id) AS n_ids FROM (SELECT product_name AS title, 0.5::DOUBLE AS confidence, product_id AS demand_id FROM products) GROUP BY ALL", "products")
 def e10(t: Tables) -> DataFrame:
     d, _ = state.create_demands(t.demands.select("demand_id"), _new_demands(t), _now())
     return d.groupBy("title", F.col("confidence_score").alias("confidence")).agg(F.count("*").alias("n"), F.count_distinct("demand_id").alias("n_ids"))

@@ -133,14 +133,14 @@ def a20(t: Tables) -> DataFrame:
     return stats.row_counts({"phrases": t.doc, "clusters_a": m.where("cluster_level = 'A'"), "clusters_b": m.where("cluster_level = 'B'"), "selected": m.where("is_selected"), "demands": t.demands})
 
 
-@register("a21_demand_phrase_counts", "SELECT d.demand_id, count(l.product_id) AS n FROM demands d LEFT JOIN (SELECT * FROM links WHERE product_id % 3 = 0) l USING (demand_id) GROUP BY 1", "demands", "links")
+@register("a21_demand_phrase_counts", "SELECT d.demand_id, count(l.product_id) AS n FROM demands d LEFT JOIN links l USING (demand_id) GROUP BY 1", "demands", "links")
 def a21(t: Tables) -> DataFrame:
-    return stats.with_counts(t.demands.select("demand_id"), t.links.where("product_id % 3 = 0"), "demand_id")
+    return stats.with_counts(t.demands.select("demand_id"), t.links, "demand_id")
 
 
-@register("a22_seed_phrase_counts", "SELECT s.seed_word, count(k.phrase_id) AS n FROM (SELECT DISTINCT seed_word FROM kw) s LEFT JOIN (SELECT * FROM kw WHERE volume > 940) k USING (seed_word) GROUP BY 1", "kw")
+@register("a22_seed_phrase_counts", "SELECT s.seed_word, count(k.phrase_id) AS n FROM (SELECT DISTINCT seed_word FROM kw) s LEFT JOIN kw k USING (seed_word) GROUP BY 1", "kw")
 def a22(t: Tables) -> DataFrame:
-    return stats.with_counts(relate.distinct_seeds(t.kw), t.kw.where("volume > 940"), "seed_word")
+    return stats.with_counts(relate.distinct_seeds(t.kw), t.kw, "seed_word")
 
 
 @register("a23_intent_counts", "SELECT intent_no, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM meta WHERE cluster_level = 'A'), 6) AS share FROM meta WHERE cluster_level = 'A' GROUP BY 1", "meta")

@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scratch import spread
 from ..sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,9 +27,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.raw("documents"))
+
     @cached_property
     def doc(self) -> DataFrame:
-        return adapters.phrases_doc(self.raw("documents"))
+        return adapters.phrases_doc(self.documents)
 
     @cached_property
     def kw(self) -> DataFrame:
