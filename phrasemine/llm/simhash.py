@@ -23,8 +23,8 @@ from pyspark.sql.types import LongType
 from .common import forget, fresh, roots, row_key, stash
 
 SHINGLE, BITS, SEED = 4, 4, 42
-#: Fingerprints of one variant that are still compared pairwise.
-PAIRWISE = 64
+#: Fingerprints of one variant that are still compared pairwise; only links leave that join.
+PAIRWISE = 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -101,25 +101,27 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
         else:
             variants = rows.join(F.broadcast(spark.createDataFrame(steps, "path long, to long, add long")), "path").select("fp", "c", "mask", "to", "add")
         variants = variants.select("fp", "c", F.col("to").alias("path"), F.col("mask").bitwiseOR(F.col("add")).alias("mask")).withColumn("v", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = stash(variants.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1 and c0 <> c1").select(*bucket, "n", "low"), "sizes")
-        met = stash(variants.join(sizes, bucket), "met")
-        forget(sizes)
         last = F.col("path").isin(*[k for k, bits in open_.items() if not bits])
-        few = met.where((F.col("n") <= pairwise) | last).select(*bucket, "fp", "c")
+        sizes = stash(variants.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("low")).where((F.col("n") > pairwise) & ~last).select(*bucket, "low"), "sizes")
+        any_crowd = not sizes.isEmpty()
+        few = variants.join(sizes.select(*bucket), bucket, "left_anti") if any_crowd else variants
         a, b = few.alias("a"), few.alias("b")
         same = (F.col("a.path") == F.col("b.path")) & (F.col("a.mask") == F.col("b.mask")) & (F.col("a.v") == F.col("b.v"))
-        pairs = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.c") != F.col("b.c")) & near("a.fp", "b.fp")).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-        stars = met.where((F.col("n") > pairwise) & ~last & (F.col("fp") != F.col("low")) & near("fp", "low")).select(F.col("low").alias("src"), F.col("fp").alias("dst"))
+        pairs = a.join(b.hint("merge"), same & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.c") != F.col("b.c")) & near("a.fp", "b.fp")).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+        if not any_crowd:
+            new = stash(pairs.distinct(), "links")
+            edges = new if edges is None else edges.union(new)
+            break
+        crowded = stash(variants.join(sizes, bucket), "crowded")
+        stars = crowded.where((F.col("fp") != F.col("low")) & near("fp", "low")).select(F.col("low").alias("src"), F.col("fp").alias("dst"))
         new = stash(pairs.union(stars).distinct(), "links")
         edges = new if edges is None else edges.union(new)
-        crowded = met.where((F.col("n") > pairwise) & ~last).select(*bucket, "fp")
-        if crowded.isEmpty():
-            break
         component = stash(roots(edges).withColumnRenamed("node", "fp"), "roots")
-        marked = stash(crowded.join(component, "fp", "left").withColumn("c", F.coalesce("root", "fp")).drop("root"), "crowded")
+        marked = stash(crowded.drop("c", "low").join(component, "fp", "left").withColumn("c", F.coalesce("root", "fp")).drop("root"), "marked")
         open_keys = marked.groupBy(*bucket).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(*bucket)
         rows = stash(marked.join(open_keys, bucket, "left_semi").select("fp", "c", "path", "mask"), "rows")
-        forget(met)
+        for t in (sizes, crowded, marked):
+            forget(t)
         if rows.isEmpty():
             break
     return edges

@@ -113,7 +113,7 @@ def test_segments(n):
         assert any(len(set(p) & set(four)) <= 1 for p in parts) or n < 4
 
 
-@pytest.mark.parametrize("pairwise", [64, 6])
+@pytest.mark.parametrize("pairwise", [simhash.PAIRWISE, 6])
 def test_links_find_all_pairs(spark, pairwise):
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(30)]
