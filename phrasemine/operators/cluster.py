@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import forget, stash
 from .graph import components
-from .relate import numbered, renumbered
+from .relate import numbered, renumbered, sample
 from .vectors import as_ml, knn
 
 
@@ -76,9 +76,11 @@ def validity(labelled: DataFrame, n_sample: int = 500) -> DataFrame:
     dist = long.join(cents, ["cluster_id", "d"]).groupBy("phrase_id", "cluster_id").agg(F.sum(F.pow(F.col("x") - F.col("c"), 2)).alias("d2"))
     per = stash(dist.groupBy("cluster_id").agg(F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("within"), F.count("*").alias("n")), "within")
     between = cents.join(grand, "d").agg(F.sum(F.col("n") * F.pow(F.col("c") - F.col("g"), 2)).alias("between"))
-    # pairs of clusters, not of points
-    a, b = cents.alias("a"), cents.alias("b")
-    apart = a.join(b, (F.col("a.d") == F.col("b.d")) & (F.col("a.cluster_id") != F.col("b.cluster_id"))).groupBy(F.col("a.cluster_id").alias("i"), F.col("b.cluster_id").alias("j")).agg(F.sqrt(F.sum(F.pow(F.col("a.c") - F.col("b.c"), 2))).alias("m"))
+    # pairs of clusters, not of points; centroids as arrays, so that each pair is one row
+    rows = cents.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "c"))), lambda x: x["c"]).alias("e"))
+    a, b = rows.alias("a"), rows.alias("b")
+    m = F.expr("sqrt(aggregate(zip_with(a.e, b.e, (x, y) -> (x - y) * (x - y)), 0D, (acc, v) -> acc + v))")
+    apart = a.join(b, F.col("a.cluster_id") != F.col("b.cluster_id")).select(F.col("a.cluster_id").alias("i"), F.col("b.cluster_id").alias("j"), m.alias("m"))
     si, sj = per.select(F.col("cluster_id").alias("i"), F.col("s").alias("si")), per.select(F.col("cluster_id").alias("j"), F.col("s").alias("sj"))
     db = apart.join(si, "i").join(sj, "j").groupBy("i").agg(F.max(F.try_divide(F.col("si") + F.col("sj"), F.col("m"))).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
     totals = per.agg(F.sum("within").alias("within"), F.sum("n").alias("n"), F.count("*").alias("k"))
@@ -88,7 +90,7 @@ def validity(labelled: DataFrame, n_sample: int = 500) -> DataFrame:
 
 def silhouette(v: DataFrame, n_sample: int) -> DataFrame:
     """Mean silhouette, plain Euclidean, of a hash sample of at most n_sample points against each other."""
-    s = v.orderBy(F.xxhash64(F.lit(42), "phrase_id"), "phrase_id").limit(n_sample)
+    s = sample(v, n_sample, 42, "phrase_id")
     a, b = s.alias("a"), F.broadcast(s.alias("b"))
     d = F.expr("sqrt(aggregate(zip_with(a.e, b.e, (x, y) -> (x - y) * (x - y)), 0D, (acc, t) -> acc + t))")
     pairs = a.join(b, F.col("a.phrase_id") != F.col("b.phrase_id")).groupBy(F.col("a.phrase_id").alias("p"), F.col("a.cluster_id").alias("own"), F.col("b.cluster_id").alias("c")).agg(F.avg(d).alias("d"))
@@ -98,7 +100,7 @@ def silhouette(v: DataFrame, n_sample: int) -> DataFrame:
 
 def search_k(vectors: DataFrame, ks: list[int], n_sample: int = 2000) -> DataFrame:
     """Each k fitted on a hash sample, with its validity, best silhouette first."""
-    s = stash(vectors.orderBy(F.xxhash64(F.lit(42), "phrase_id"), "phrase_id").limit(n_sample), "sample")
+    s = stash(sample(vectors, n_sample, 42, "phrase_id"), "sample")
     out = None
     for k in ks:
         row = validity(kmeans(s, k)).select(F.lit(k).alias("k"), "silhouette", "davies_bouldin", "calinski_harabasz")

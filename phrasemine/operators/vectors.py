@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relate import sample
+
 #: Vectors and queries that meet in one group at most (rows by hash, so nearly); vectors that cells are learned from.
 BLOCK, CELL_SAMPLE = 4096, 20_000
 
@@ -41,9 +43,9 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
 
 
-def cells(vectors: DataFrame, n: int, sample: int = CELL_SAMPLE, seed: int = 42) -> np.ndarray:
-    """Centres of n cells, learned by k-means on a hash sample of at most `sample` unit vectors."""
-    picked = normalised(vectors.orderBy(F.xxhash64(F.lit(seed), "phrase_id"), "phrase_id").limit(sample).select("phrase_id", "embedding"), "float64")
+def cells(vectors: DataFrame, n: int, most: int = CELL_SAMPLE, seed: int = 42) -> np.ndarray:
+    """Centres of n cells, learned by k-means on a hash sample of at most `most` unit vectors."""
+    picked = normalised(sample(vectors, most, seed, "phrase_id").select("phrase_id", "embedding"), "float64")
     return np.array(KMeans(k=n, seed=seed, maxIter=10).fit(as_ml(picked)).clusterCenters())
 
 
@@ -127,7 +129,7 @@ def dimension_profile(vectors: DataFrame) -> DataFrame:
 
 def distance_profile(vectors: DataFrame, n: int = 500) -> DataFrame:
     """Euclidean distances of all pairs of a hash sample of n vectors, n stated and small: moments, percentiles, a diagnosis."""
-    s = vectors.orderBy(F.xxhash64(F.lit(42), "phrase_id"), "phrase_id").limit(n).select("phrase_id", F.col("embedding").cast("array<double>").alias("e"))
+    s = sample(vectors, n, 42, "phrase_id").select("phrase_id", F.col("embedding").cast("array<double>").alias("e"))
     a, b = s.alias("a"), F.broadcast(s.alias("b"))
     d = a.join(b, F.col("a.phrase_id") < F.col("b.phrase_id")).select(F.expr("sqrt(aggregate(zip_with(a.e, b.e, (x, y) -> (x - y) * (x - y)), 0D, (acc, v) -> acc + v))").alias("d"))
     p = d.agg(F.avg("d").alias("mean"), F.var_pop("d").alias("var"), F.min("d").alias("low"), F.max("d").alias("high"), F.percentile("d", F.array(*[F.lit(x) for x in (0.01, 0.25, 0.5, 0.75, 0.99)])).alias("percentiles"))

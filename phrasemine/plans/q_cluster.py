@@ -15,6 +15,16 @@ UNIT = "un AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], l
 NEAR = f"{UNIT}, nn AS (SELECT a.id AS src, b.id AS dst, sqrt(greatest(0, 2 - 2 * list_inner_product(a.e, b.e))) AS distance FROM un a JOIN un b ON a.id <> b.id), kn AS (SELECT src, dst, distance, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM nn QUALIFY rank <= {K})"
 EDGES = f"{NEAR}, ed AS (SELECT src, dst, 1 - distance * distance / 2 AS weight FROM kn WHERE src < dst AND 1 - distance * distance / 2 >= {LEAST})"
 
+REACH = "re(node, root) AS (SELECT id, id FROM un UNION SELECT sy.dst, re.root FROM re JOIN sy ON sy.src = re.node), co AS (SELECT node, min(root) AS c FROM re GROUP BY 1)"
+
+
+def _density(size: int, samples: int, epsilon: float, k: int = 20, where: str = "true", apart: str = "true") -> str:
+    """Common tables up to sz(node, label, c, n): the component of each vector and its size."""
+    near = NEAR.replace("FROM embeddings)", f"FROM embeddings WHERE {where})").replace("a.id <> b.id", f"a.id <> b.id AND {apart}").replace(f"rank <= {K}", f"rank <= {max(k, samples)}")
+    return f"""WITH RECURSIVE {near}, cr AS (SELECT src AS node, distance AS core FROM kn WHERE rank = {samples}),
+ de AS (SELECT kn.src, kn.dst FROM kn JOIN cr a ON a.node = kn.src JOIN cr b ON b.node = kn.dst WHERE greatest(a.core, b.core, distance) <= {epsilon}),
+ sy AS (SELECT src, dst FROM de UNION SELECT dst, src FROM de), {REACH}, sz AS (SELECT node, label, c, count(*) OVER (PARTITION BY c) AS n FROM co JOIN un ON un.id = node)"""
+
 
 def _near(t: Tables, k: int = K) -> DataFrame:
     return vectors.knn(t.vectors, k)
@@ -54,7 +64,9 @@ def v4(t: Tables) -> DataFrame:
     return graph.knn_edges(_near(t), LEAST).select("src", "dst", F.round("weight", 5).alias("weight"))
 
 
-@register("v5_graph_statistics")
+@register("v5_graph_statistics", f"""WITH RECURSIVE {EDGES}, sy AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), {REACH},
+ x AS (SELECT (SELECT count(*) FROM un) AS v, (SELECT count(*) FROM ed) AS e, (SELECT count(DISTINCT c) FROM co) AS n_components)
+ SELECT v AS n_nodes, e AS n_edges, v * {K} AS potential_edges, round(1 - e / (v * {K})::DOUBLE, 6) AS filter_rate, round(2 * e / v::DOUBLE, 6) AS mean_degree, round(2 * e / (v * (v - 1))::DOUBLE, 6) AS density, n_components FROM x""")
 def v5(t: Tables) -> DataFrame:
     return graph.statistics(_nodes(t), _edges(t), K)
 
@@ -75,17 +87,19 @@ def v8(t: Tables) -> DataFrame:
     return graph.prune(t.doc.select(F.col("phrase_id").alias("node"), F.col("cluster_id_B").alias("community")))
 
 
-@register("v9_density_clusters")
+@register("v9_density_clusters", f"{_density(5, 3, 1.15)} SELECT node AS phrase_id, CAST(CASE WHEN n < 5 THEN -1 ELSE dense_rank() OVER (PARTITION BY n < 5 ORDER BY c) - 1 END AS INT) AS cluster_id FROM sz")
 def v9(t: Tables) -> DataFrame:
     return cluster.density_clusters(t.vectors, 5, 3, 1.15)
 
 
-@register("v10_sub_clusters")
+@register("v10_sub_clusters", f"""{_density(5, 2, 1.15, where="label <> -1", apart="a.label = b.label")}
+ SELECT node AS phrase_id, CAST(CASE WHEN n < 5 THEN -1 ELSE label * 10000 + dense_rank() OVER (PARTITION BY n < 5, label ORDER BY c) - 1 END AS INT) AS cluster_id FROM sz UNION ALL SELECT vec_id, -1 FROM embeddings WHERE label = -1""")
 def v10(t: Tables) -> DataFrame:
     return cluster.sub_clusters(t.vectors.withColumnRenamed("cluster_id", "parent"), 5, 2, 1.15)
 
 
-@register("v11_resplit")
+@register("v11_resplit", f"""{_density(3, 1, 1.2, where="label = 3")}
+ SELECT node AS phrase_id, CAST(CASE WHEN n < 3 THEN -1 ELSE 1000 + dense_rank() OVER (PARTITION BY n < 3 ORDER BY c) END AS INT) AS cluster_id FROM sz UNION ALL SELECT vec_id, label FROM embeddings WHERE label <> 3""")
 def v11(t: Tables) -> DataFrame:
     return cluster.resplit(t.vectors, t.vectors.select("phrase_id", "cluster_id"), 3, min_size=3, min_samples=1, epsilon=1.2)
 
@@ -112,9 +126,15 @@ def v15(t: Tables) -> DataFrame:
     return cluster.split_inconsistent(t.vectors.drop("cluster_id"), labels, verdicts)
 
 
-@register("v16_validity")
+@register("v16_validity", """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label <> -1), l AS (SELECT id, label, generate_subscripts(e, 1) AS d, unnest(e) AS x FROM v),
+ c AS (SELECT label, d, avg(x) AS c, count(*) AS n FROM l GROUP BY 1, 2), g AS (SELECT d, avg(x) AS g FROM l GROUP BY 1), ds AS (SELECT id, label, sum((x - c) * (x - c)) AS d2 FROM l JOIN c USING (label, d) GROUP BY 1, 2),
+ w AS (SELECT label, avg(sqrt(d2)) AS s, sum(d2) AS inside, count(*) AS n FROM ds GROUP BY 1), m AS (SELECT a.label AS i, b.label AS j, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS m FROM c a JOIN c b ON a.d = b.d AND a.label <> b.label GROUP BY 1, 2),
+ db AS (SELECT avg(r) AS davies_bouldin FROM (SELECT i, max((x.s + y.s) / m) AS r FROM m JOIN w x ON x.label = i JOIN w y ON y.label = j GROUP BY 1)), be AS (SELECT sum(n * (c - g) * (c - g)) AS b FROM c JOIN g USING (d)),
+ ch AS (SELECT b * (sum(n) - count(*)) / (sum(inside) * (count(*) - 1)) AS calinski_harabasz FROM w, be GROUP BY b), s AS (SELECT * FROM v ORDER BY md5('42|' || id), id LIMIT 500),
+ pr AS (SELECT a.id, a.label AS own, b.label AS other, avg(list_distance(a.e, b.e)) AS d FROM s a JOIN s b ON a.id <> b.id GROUP BY 1, 2, 3), sl AS (SELECT id, max(d) FILTER (other = own) AS a, min(d) FILTER (other <> own) AS b FROM pr GROUP BY 1)
+ SELECT round(davies_bouldin, 6) AS davies_bouldin, round(calinski_harabasz, 6) AS calinski_harabasz, (SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM sl) AS silhouette FROM db, ch""")
 def v16(t: Tables) -> DataFrame:
-    return cluster.validity(t.vectors)
+    return cluster.validity(t.vectors).select(*[F.round(c, 6).alias(c) for c in ("davies_bouldin", "calinski_harabasz", "silhouette")])
 
 
 @register("v17_mixtures")
@@ -122,7 +142,12 @@ def v17(t: Tables) -> DataFrame:
     return cluster.mixtures(t.vectors, [2, 4])
 
 
-@register("v18_density_sweep")
+def _sweep(size: int, samples: int) -> str:
+    return f"""SELECT * FROM ({_density(size, samples, 1.15)}, g AS (SELECT c, count(*) AS n FROM sz GROUP BY 1)
+ SELECT {size} AS min_size, {samples} AS min_samples, count(*) FILTER (n >= {size}) AS n_clusters, coalesce(sum(n) FILTER (n < {size}), 0) / sum(n)::DOUBLE AS noise, min(n) FILTER (n >= {size}) AS least, max(n) FILTER (n >= {size}) AS most FROM g)"""
+
+
+@register("v18_density_sweep", f"{_sweep(5, 2)} UNION ALL {_sweep(10, 3)}")
 def v18(t: Tables) -> DataFrame:
     return cluster.density_sweep(t.vectors, [(5, 2), (10, 3)], 1.15)
 
@@ -132,9 +157,12 @@ def v19(t: Tables) -> DataFrame:
     return vectors.dimension_profile(t.vectors)
 
 
-@register("v20_distance_profile")
+@register("v20_distance_profile", """WITH s AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 500), d AS (SELECT list_distance(a.e, b.e) AS d FROM s a JOIN s b ON a.id < b.id)
+ SELECT round(avg(d), 6) AS mean, round(var_pop(d), 6) AS var, round(min(d), 6) AS low, round(max(d), 6) AS high, round(quantile_cont(d, 0.01), 6) AS p1, round(quantile_cont(d, 0.25), 6) AS p25, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.99), 6) AS p99,
+ CASE WHEN avg(d) > 1.2 THEN 'scattered' WHEN avg(d) > 1.0 THEN 'fairly scattered' ELSE 'compact' END AS diagnosis FROM d""")
 def v20(t: Tables) -> DataFrame:
-    return vectors.distance_profile(t.vectors).withColumn("percentiles", F.to_json("percentiles"))
+    p = vectors.distance_profile(t.vectors)
+    return p.select(*[F.round(c, 6).alias(c) for c in ("mean", "var", "low", "high")], *[F.round(F.col("percentiles")[i], 6).alias(f"p{n}") for i, n in enumerate((1, 25, 50, 75, 99))], "diagnosis")
 
 
 @register("v21_neighbour_profile", f", {NEAR} SELECT src, round(avg(distance) FILTER (rank <= 5), 6) AS mean_5, round(max(distance) FILTER (rank <= 5), 6) AS max_5, round(avg(distance), 6) AS mean_10, round(max(distance), 6) AS max_10 FROM kn GROUP BY 1")
@@ -147,7 +175,7 @@ def v22(t: Tables) -> DataFrame:
     return vectors.local_density(_near(t), K).select("src", F.round("density", 4).alias("density"))
 
 
-@register("v22_density_bands")
+@register("v22_density_bands", f", {NEAR}, de AS (SELECT src, 1 / (avg(distance) + 1e-10) AS x FROM kn GROUP BY 1), p AS (SELECT quantile_cont(x, 0.1) AS lo, quantile_cont(x, 0.9) AS hi FROM de) SELECT count(*) AS n, count(*) FILTER (x > hi) AS dense, count(*) FILTER (x < lo) AS sparse, round(min(lo), 6) AS p10, round(min(hi), 6) AS p90 FROM de, p")
 def v22_bands(t: Tables) -> DataFrame:
     return vectors.density_bands(vectors.local_density(_near(t), K))
 
@@ -162,7 +190,9 @@ def v24(t: Tables) -> DataFrame:
     return vectors.cosine_pairs(_near(t)).select("src", "dst", F.round("cosine", 5).alias("cosine"))
 
 
-@register("v25_assign")
+@register("v25_assign", f""", {NEAR.split(", nn AS")[0]}, nn AS (SELECT a.id AS src, b.id AS dst, b.label, sqrt(greatest(0, 2 - 2 * list_inner_product(a.e, b.e))) AS distance FROM un a JOIN un b ON a.id % 5 = 0 AND b.id % 5 <> 0),
+ kn AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY src ORDER BY distance, dst) <= 5), vo AS (SELECT src, label, count(*) AS n, min(distance) AS d FROM kn WHERE distance * distance / 2 <= 0.8 AND label <> -1 GROUP BY 1, 2),
+ be AS (SELECT src, label FROM vo QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, d, label) = 1) SELECT id AS phrase_id, coalesce(be.label, -1) AS cluster_id FROM un LEFT JOIN be ON src = id WHERE id % 5 = 0""")
 def v25(t: Tables) -> DataFrame:
     return vectors.assign(t.vectors.where("phrase_id % 5 = 0"), t.vectors.where("phrase_id % 5 <> 0"), 5, 0.8)
 

@@ -122,7 +122,7 @@ def w7(t: Tables) -> DataFrame:
     return relate.confidence_trail(t.events).select("provenance_id", "new_score", "old_score")
 
 
-@register("w8_seeded_sample")
+@register("w8_seeded_sample", "SELECT phrase_id, phrase FROM doc ORDER BY md5('42|' || phrase_id), phrase_id LIMIT 1000", "doc")
 def w8(t: Tables) -> DataFrame:
     return relate.sample(t.doc.select("phrase_id", "phrase"), 1000, 42, "phrase_id")
 

@@ -47,7 +47,8 @@ def k3(t: Tables) -> DataFrame:
     return t.spark.table(name)
 
 
-@register("k3_event_sessions")
+@register("k3_event_sessions", """, x AS (SELECT demand_id, created_at, CASE WHEN created_at < lag(created_at) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events_ WINDOW w AS (PARTITION BY demand_id ORDER BY created_at, provenance_id)),
+ y AS (SELECT *, sum(first) OVER (PARTITION BY demand_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS k FROM x) SELECT min(created_at) AS session_start, demand_id, count(*) AS n FROM y GROUP BY demand_id, k""", "events_")
 def k3_sessions(t: Tables) -> DataFrame:
     return rounds.event_sessions(t.events)
 
