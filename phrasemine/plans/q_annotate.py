@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotate, relate, stats
 from ..operators.scoring import cluster_framework
-from .q_tokens import _types
+from .q_tokens import TYPES, _types, tk
 from .q_stats import SUMMARY
 from .registry import Tables, register
 
@@ -35,7 +35,10 @@ def l1_parse(t: Tables) -> DataFrame:
     return annotate.parse_themes(t.meta.where("cluster_level = 'A'").select("cluster_id", _mixed(good, F.col("cluster_id")).alias("reply")))
 
 
-@register("l2_card_requests")
+@register("l2_card_requests", f""", {tk('kw')}, {TYPES}, fr AS (SELECT * FROM (SELECT cluster_id_A, token_type, token, count(*) AS n FROM (SELECT cluster_id_A, unnest(tk.w) AS token FROM kw JOIN tk USING (phrase_id)) JOIN ty USING (token) GROUP BY 1, 2, 3)
+ QUALIFY row_number() OVER (PARTITION BY cluster_id_A, token_type ORDER BY n DESC, token) <= 5), ts AS (SELECT cluster_id_A, string_agg(token, ', ' ORDER BY token) AS tokens FROM (SELECT DISTINCT cluster_id_A, token FROM fr) GROUP BY 1),
+ ps AS (SELECT cluster_id_A, string_agg(phrase, chr(10) ORDER BY phrase_id) AS phrases FROM (SELECT * FROM kw QUALIFY row_number() OVER (PARTITION BY cluster_id_A ORDER BY phrase_id) <= 30) GROUP BY 1)
+ SELECT cluster_id_A AS cluster_id, concat_ws(chr(10) || '---' || chr(10), phrases, tokens) AS prompt FROM ps LEFT JOIN ts USING (cluster_id_A)""", "kw")
 def l2(t: Tables) -> DataFrame:
     m = relate.members(t.meta, t.kw, 1)
     f = cluster_framework(t.kw, _types(t).select("token", "token_type"), "cluster_id_A", 5).withColumnRenamed("cluster_id_A", "cluster_id")

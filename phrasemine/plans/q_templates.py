@@ -23,7 +23,9 @@ PATTERNS = f"""{MATCHES}, lc0 AS (SELECT anchor, phrase_id, string_split(phrase,
 QUALITY = f"{PATTERNS}, tp0 AS (SELECT anchor, template_pattern, count(*) AS match_count FROM mt JOIN pt USING (anchor) GROUP BY ALL HAVING template_pattern IS NOT NULL), tp AS (SELECT * FROM tp0 WHERE match_count >= (SELECT quantile_cont(match_count, 0.75) FROM tp0))"
 APPLIED = rf"""{QUALITY}, rx AS (SELECT *, '^(?s:.*?)' AS lead, regexp_extract_all(template_pattern, '\{{([XYZ])\}}', 1) AS slots,
    regexp_replace(regexp_replace(regexp_replace('(?:' || template_pattern || ')', '\{{[XYZ]\}}\)$', '(.+))'), CASE WHEN len(regexp_extract_all(template_pattern, '\{{([XYZ])\}}')) > 1 THEN '\{{[XYZ]\}}' ELSE '\{{([XYZ])\}}' END, CASE WHEN template_pattern LIKE '%}}' THEN '(.+?)' ELSE '(.+)' END), '\{{[XYZ]\}}', '(.+)') AS re FROM tp),
- ap AS (SELECT template_pattern, anchor, phrase_id, phrase, volume, slots, trim(regexp_extract(phrase, re, 1)) AS v1, CASE WHEN len(slots) >= 2 THEN trim(regexp_extract(phrase, re, 2)) END AS v2 FROM kw JOIN rx ON contains(phrase, anchor) AND regexp_matches(phrase, re))""".replace("{{", "{").replace("}}", "}")
+ ap AS (SELECT template_pattern, anchor, phrase_id, phrase, volume, slots, trim(regexp_extract(phrase, re, 1)) AS v1, CASE WHEN len(slots) >= 2 THEN trim(regexp_extract(phrase, re, 2)) END AS v2, re FROM kw JOIN rx ON contains(phrase, anchor) AND regexp_matches(phrase, re))""".replace("{{", "{").replace("}}", "}")
+SPANS = APPLIED + r""", s0 AS (SELECT phrase_id, template_pattern, phrase, slots, regexp_split_to_array(template_pattern, '\{[XYZ]\}') AS fx, regexp_extract(phrase, re, 0) AS hit, regexp_extract(phrase, re, 1) AS g1, CASE WHEN len(slots) >= 2 THEN regexp_extract(phrase, re, 2) ELSE '' END AS g2 FROM ap),
+ sp AS (SELECT *, strpos(phrase, hit) - 1 AS st, strpos(phrase, hit) - 1 + length(fx[1]) AS s1, strpos(phrase, hit) - 1 + length(fx[1]) + length(g1) AS e1, strpos(phrase, hit) - 1 + length(fx[1]) + length(g1) + length(fx[2]) AS s2 FROM s0)"""
 VARS = f"{APPLIED}, va AS (SELECT lower(v) AS variable_text, count(*) AS frequency, count(DISTINCT anchor) AS template_match_count, CAST(sum(volume) AS BIGINT) AS total_volume, count(*) * count(DISTINCT anchor) AS cross_validation_score FROM (SELECT anchor, volume, v1 AS v FROM ap UNION ALL SELECT anchor, volume, v2 FROM ap WHERE v2 IS NOT NULL) WHERE length(v) >= 2 GROUP BY 1)"
 
 
@@ -66,7 +68,8 @@ def m6(t: Tables) -> DataFrame:
     return m.select("template_pattern", "phrase_id", "volume", F.get(values, F.lit(0)).alias("v1"), F.get(values, F.lit(1)).alias("v2"))
 
 
-@register("m7_decompose")
+@register("m7_decompose", f""", {SPANS} SELECT template_pattern, phrase_id, phrase[1:st] AS prefix, phrase[st + length(hit) + 1:] AS suffix, '[]' AS middle_parts,
+ '[{{"start":' || s1 || ',"end":' || e1 || ',"name":"' || slots[1] || '"}}' || CASE WHEN len(slots) >= 2 THEN ',{{"start":' || s2 || ',"end":' || (s2 + length(g2)) || ',"name":"' || slots[2] || '"}}' ELSE '' END || ']' AS variable_positions FROM sp""", "kw")
 def m7(t: Tables) -> DataFrame:
     m = templates.decompose(templates.apply_templates(_templates(t), t.kw))
     return m.select("template_pattern", "phrase_id", "prefix", "suffix", F.to_json("middle_parts").alias("middle_parts"), F.to_json("variable_positions").alias("variable_positions"))
@@ -158,7 +161,7 @@ def j12(t: Tables) -> DataFrame:
     return relate.contains_join(t.kw, pats, "phrase", "pattern").select("phrase_id", "pattern")
 
 
-@register("u2_match_spans")
+@register("u2_match_spans", f""", {SPANS} SELECT phrase_id, template_pattern, CAST(s1 AS INT) AS start, CAST(e1 AS INT) AS "end", slots[1] AS name FROM sp UNION ALL SELECT phrase_id, template_pattern, CAST(s2 AS INT), CAST(s2 + length(g2) AS INT), slots[2] FROM sp WHERE len(slots) >= 2""", "kw")
 def u2(t: Tables) -> DataFrame:
     m = templates.decompose(templates.apply_templates(_templates(t), t.kw))
     return m.select("phrase_id", "template_pattern", F.explode("variable_positions").alias("s")).select("phrase_id", "template_pattern", "s.*")

@@ -85,7 +85,7 @@ def register(name: str, sql: str | None = None, *needs: str) -> Callable:
 
 
 def _load() -> None:
-    from . import q_annotate, q_clean, q_cluster, q_relate, q_score, q_sources, q_state, q_stats, q_stream, q_templates, q_tokens  # noqa: F401
+    from . import q_annotate, q_clean, q_cluster, q_functions, q_relate, q_score, q_sources, q_state, q_stats, q_stream, q_templates, q_tokens  # noqa: F401
 
 
 _load()
