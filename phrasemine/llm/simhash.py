@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -67,16 +67,28 @@ def segments(bits: list[int]) -> list[list[int]]:
     return [bits[x:y] for x, y in zip(cut, cut[1:]) if x < y]
 
 
-def _steps(open_: dict[int, list[int]]) -> tuple[list[tuple[int, int, int]], dict[int, list[int]]]:
-    """Of paths with the bits that they leave: (path, next path, bits compared in addition) of each variant, and the next paths."""
-    rows, after = [], {}
+def _steps(open_: dict[int, list[int]]) -> tuple[list[tuple[int, int, int]], dict[int, list[int]], dict[int, tuple[int, int, int, int]]]:
+    """Of paths with the bits that they leave: (path, next path, bits compared in addition) of each variant; the bits that next paths leave; and
+    of each next path its segment, the segment's first bit, and up to two segments before it, as masks."""
+    rows, after, cut = [], {}, {}
     for path, bits in open_.items():
+        masks = [sum(1 << b for b in s) for s in segments(bits)]
         for k, segment in enumerate(segments(bits)):
             to = path * 3 + k + 1
             after[to] = [b for b in bits if b not in segment]
-            whole = sum(1 << b for b in segment)
-            rows += [(path, to, _signed(whole & ~(1 << b))) for b in segment]
-    return rows, after
+            rows += [(path, to, _signed(masks[k] & ~(1 << b))) for b in segment]
+            before = [*masks[:k], 0, 0]
+            cut[to] = tuple(map(_signed, (masks[k], 1 << segment[0], before[0], before[1])))
+    return rows, after, cut
+
+
+def _once(cut: dict[int, tuple[int, int, int, int]]) -> Column:
+    """Whether this is the one variant in which the pair (a, b) is to be found: the first segment that differs by at most one bit, with that bit
+    deleted, or the first bit where none differs."""
+    segment, bit, one, two = (F.element_at(F.create_map(*[x for to, v in cut.items() for x in (F.lit(to).cast("long"), F.lit(v[k]).cast("long"))]), F.col("a.path")) for k in range(4))
+    d = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    far = lambda m: (m == 0) | (F.bit_count(d.bitwiseAND(m)) > 1)
+    return ((d.bitwiseAND(segment) != 0) | (F.col("a.mask").bitwiseAND(bit) == 0)) & far(one) & far(two)
 
 
 def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
@@ -90,7 +102,7 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     rows = fps.select("fp", F.col("fp").alias("c"), F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("mask"))
     edges, open_ = None, {0: list(range(64))}
     while True:
-        steps, open_ = _steps(open_)
+        steps, open_, cut = _steps(open_)
         if not steps:
             break
         by_path: dict[int, list[tuple[int, int]]] = {}
@@ -107,7 +119,7 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
         few = variants.join(sizes.select(*bucket), bucket, "left_anti") if any_crowd else variants
         a, b = few.alias("a"), few.alias("b")
         same = (F.col("a.path") == F.col("b.path")) & (F.col("a.mask") == F.col("b.mask")) & (F.col("a.v") == F.col("b.v"))
-        pairs = a.join(b.hint("merge"), same & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.c") != F.col("b.c")) & near("a.fp", "b.fp")).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+        pairs = a.join(b.hint("merge"), same & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.c") != F.col("b.c")) & near("a.fp", "b.fp") & _once(cut)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
         if not any_crowd:
             new = stash(pairs.distinct(), "links")
             edges = new if edges is None else edges.union(new)
