@@ -114,15 +114,19 @@ def uncovered_words(covered: DataFrame, k: int = 50) -> DataFrame:
 
 
 def similar_pairs(phrases: DataFrame, least: float, sorted_words: bool = True) -> DataFrame:
-    """Pairs (a < b) of phrases that are similar and share a word.
+    """Pairs (a < b) of phrases that are similar and share a word, or nearly one.
 
-    Word sets with a Jaccard similarity or sequence ratio of `least` nearly always share one; pairs meet by the rarest of their
-    words that prefix filtering needs: with j words, the first j - ceil(least * j / 2) + 1 in order of rarity.
+    Phrases meet by the rarest of their words that prefix filtering needs: with j words, the first j - ceil(least * j / 2) + 1 in order of
+    rarity.  Words of four letters or more also meet with one letter left out on either side, so that other spellings and
+    endings (colour, color; shoe, shoes) are compared.  Phrases that are alike letter by letter without any such word are
+    not: filters that are complete for the sequence ratio at 0.85 let nearly all pairs of like length through.
     """
     w = phrases.select("phrase_id", "phrase", F.array_distinct(F.filter(F.split(F.lower("phrase"), r"\s+"), lambda x: x != "")).alias("w"))
     freq = w.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
     ranked = w.select("phrase_id", "phrase", F.size("w").alias("j"), F.explode("w").alias("x")).join(freq, "x").groupBy("phrase_id", "phrase", "j").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r"))
-    probe = ranked.select("phrase_id", "phrase", F.explode(F.expr(f"slice(transform(r, t -> t.x), 1, greatest(1, j - cast(ceil({least} * j / 2) as int) + 1))")).alias("x"))
+    rare = ranked.select("phrase_id", "phrase", F.explode(F.expr(f"slice(transform(r, t -> t.x), 1, greatest(1, j - cast(ceil({least} * j / 2) as int) + 1))")).alias("x"))
+    shorter = F.expr("if(length(x) < 4, array(x), array_distinct(concat(array(x), transform(sequence(1, length(x)), i -> concat(substring(x, 1, i - 1), substring(x, i + 1))))))")
+    probe = rare.select("phrase_id", "phrase", F.explode(shorter).alias("x"))
     a, b = probe.alias("a"), probe.alias("b")
     pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.phrase_id") < F.col("b.phrase_id"))).select(F.col("a.phrase_id").alias("a"), F.col("b.phrase_id").alias("b"), F.col("a.phrase").alias("pa"), F.col("b.phrase").alias("pb")).distinct()
     return pairs.withColumn("similarity", similarity(F.col("pa"), F.col("pb"), sorted_words)).where(F.col("similarity") >= least).select("a", "b", "similarity")

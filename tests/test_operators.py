@@ -230,6 +230,33 @@ def test_greedy_groups_do_not_chain(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
 
 
+def test_similar_pairs_against_all_pairs(spark):
+    """Other spellings and endings are found; what is returned is right, and little of what all pairs give is missing."""
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefghijklmnoprstu", k=r.randint(3, 9))) for _ in range(60)]
+    phrases = ["keyboards", "keyboard", "color lamps", "colour lamp", "runningshoe", "runningshoes"]
+    for _ in range(120):
+        w = r.choices(vocabulary, k=r.randint(1, 5))
+        phrases.append(" ".join(w))
+        k = r.randrange(len(w))
+        w[k] = r.choice([w[k] + "s", w[k][:-1], w[k][0] + "y" + w[k][1:]])
+        phrases.append(" ".join(w))
+    phrases = sorted(set(phrases))
+
+    def alike(a, b):
+        x, y = set(a.split()), set(b.split())
+        return max(len(x & y) / len(x | y), SequenceMatcher(None, " ".join(sorted(x)), " ".join(sorted(y))).ratio())
+
+    d = spark.createDataFrame(list(enumerate(phrases)), "phrase_id long, phrase string")
+    got = {(p.a, p.b) for p in scoring.similar_pairs(d, 0.85).collect()}
+    want = {(i, j) for i in range(len(phrases)) for j in range(i + 1, len(phrases)) if alike(phrases[i], phrases[j]) >= 0.85}
+    named = {(phrases[a], phrases[b]) for a, b in got}
+    assert {("keyboard", "keyboards"), ("color lamps", "colour lamp"), ("runningshoe", "runningshoes")} <= named
+    assert len(got & want) / len(want) > 0.97 and len(want) > 60
+
+
 def test_numbering_has_no_gaps(spark):
     d = spark.createDataFrame([(f"w{i:03}",) for i in range(103)], "w string").repartition(5)
     got = sorted((r.batch, r.place, r.w) for r in annotate.numbered_batches(d, "w", 10).collect())
