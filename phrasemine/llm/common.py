@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import forget, shared_dir, stash
+from ..functions.scratch import forget, shared_dir, spread, stash
 from ..operators.graph import roots
 
 __all__ = ["NOT_SPACE", "ascii_lower", "forget", "fresh", "roots", "row_key", "shared_dir", "stash", "table", "word_count"]
@@ -16,7 +16,7 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ascii_lower(c: Column) -> Column:

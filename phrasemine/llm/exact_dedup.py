@@ -110,6 +110,14 @@ def block_names(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _identities(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text_sha256, copies, keep_id, group_size): one row for each distinct (doc_id, normalised text)."""
+    names = stash(block_names(docs), "identities")
+    # a table of its own, so that both sides of the join are plain shuffles and AQE can split a large group
+    groups = stash(names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
+    return names.join(groups, ["level", "name"]).select("key", "doc_id", "text_sha256", "copies", "keep_id", "group_size")
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Groups of equal texts: doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs.
 
@@ -117,23 +125,25 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     largest doc_id stays; a null doc_id counts below all others.  Of rows that repeat both doc_id and text one stays.
     An empty table gives no rows; further columns of docs are ignored.
     """
-    names = stash(block_names(docs), "identities")
-    # a table of its own, so that both sides of the join are plain shuffles and AQE can split a large group
-    groups = stash(names.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     return (
-        names.join(groups, ["level", "name"])
+        _identities(docs)
         .select("doc_id", "keep_id", "group_size", "text_sha256", F.posexplode(F.expr("array_repeat(0, cast(copies as int))")).alias("nth", "_"))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0)).alias("kept"), "text_sha256")
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    key, nth = fresh(docs, "_key"), fresh(docs, "_nth")
-    kept = exact_groups(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    """The rows of docs that stay, with all their columns.
+
+    Of rows that repeat doc_id and text one stays, whatever their further columns hold: the least by a hash of these.  Repeated rows,
+    however many, are thinned in a map-side combined aggregation; all others are not sorted again.
+    """
+    key = fresh(docs, "_key")
+    kept = stash(_identities(docs).where("doc_id <=> keep_id").select(F.col("key").alias(key), "copies"), "kept")
+    repeated = stash(kept.where("copies > 1").select(key), "repeated")
     sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
-    keyed = docs.withColumn(key, row_key(F.col("doc_id"), sha)).join(kept, key, "left_semi")
-    # of rows that repeat doc_id and text one stays, whatever their further columns hold
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    first = Window.partitionBy(key).orderBy(F.xxhash64(F.to_json(F.struct(*rest))))
-    return keyed.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(key, nth)
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), sha))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    place = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))
+    first = keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*every), place).alias(key + "r")).select(f"{key}r.*")
+    return keyed.join(kept.where("copies = 1").select(key), key, "left_semi").drop(key).unionByName(first)
