@@ -11,10 +11,18 @@ from ..functions import text as X
 SOURCES = ["semrush", "dropdown", "related_search"]
 
 
+def where_clean(df: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """rows with the phrase folded, without those whose phrase does not pass.
+
+    The test is a generated column: a filter on it cannot be pushed below the folding, where it would fold again for each part of the test.
+    """
+    return df.withColumn(phrase, X.folded(F.col(phrase))).withColumn("_ok", F.explode(F.array(X.valid_phrase(F.col(phrase))))).where("_ok").drop("_ok")
+
+
 def clean_phrases(df: DataFrame) -> DataFrame:
     """Clean phrase, seed and numbers; rows whose phrase does not pass are dropped."""
     return (
-        df.withColumn("phrase", X.folded(F.col("phrase"))).where(X.valid_phrase(F.col("phrase")))
+        where_clean(df)
         .withColumn("seed_word", X.clean_seed(F.col("seed_word")))
         .withColumn("frequency", X.to_long(F.col("frequency"), 1)).withColumn("volume", X.to_long(F.col("volume"), 0))
     )

@@ -15,7 +15,7 @@ CLEAN = r"""clean AS (SELECT *, trim(regexp_replace(lower(trim(phrase)), '\s+',
 
 @register("f1_clean_phrase", f", {CLEAN} SELECT phrase_id, cp AS phrase FROM good", "doc")
 def f1(t: Tables) -> DataFrame:
-    return t.doc.select("phrase_id", X.clean_phrase(F.col("phrase")).alias("phrase")).where("phrase is not null")
+    return clean.where_clean(t.doc.select("phrase_id", "phrase"))
 
 
 @register("f2_clean_seed", "SELECT phrase_id, CASE WHEN seed_word IS NULL OR trim(seed_word) = '' OR length(trim(seed_word)) > 100 THEN 'unknown' ELSE lower(trim(seed_word)) END AS seed_word FROM doc", "doc")
