@@ -37,6 +37,16 @@ REPORTING = frozenset("said says say quoted quote called calls wrote writes acco
 ADDRESS = frozenset("you your youre u are tu vous toi es du ihr sie bist usted ustedes eres".split())
 
 
+class _State:
+    """Trie nodes reached with so many edits; moves: the states that letters lead to, as far as texts needed them."""
+
+    __slots__ = ("reached", "moves", "word", "prefix")
+
+    def __init__(self, reached: tuple[tuple[int, int], ...], word: tuple[int, int] | None, prefix: int):
+        self.reached, self.word, self.prefix = reached, word, prefix
+        self.moves: dict[str, _State] = {}
+
+
 class _Automaton:
     """The lexicon's trie run beside Levenshtein automata, made deterministic state by state."""
 
@@ -63,54 +73,56 @@ class _Automaton:
                 mark[at] = k
                 self.size[at] = max(self.size[at], room)
         self.letters = {c for n in self.next for c in n}
-        self.start = self._closed({(0, 0)})
-        self.moves: dict[tuple[frozenset, str], frozenset] = {}
+        self.states: dict[frozenset, _State] = {}
+        self.start = self._state({(0, 0)})
 
     @staticmethod
     def allowed(word: str) -> int:
         return max((k for n, k in FUZZY if len(word) >= n), default=0)
 
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset:
-        """With letters of the term left out, and without states that another one beats."""
+    def _state(self, reached: set[tuple[int, int]]) -> _State:
+        """The state of these trie nodes and edits, with letters of the term left out, and without nodes that fewer edits reach."""
         best: dict[int, int] = {}
-        todo = list(states)
+        todo = list(reached)
         while todo:
             node, edits = todo.pop()
             if edits > self.room[node] and edits or best.get(node, 99) <= edits:
                 continue
             best[node] = edits
             todo += [(child, edits + 1) for child in self.next[node].values()]
-        return frozenset(best.items())
-
-    def step(self, state: frozenset, letter: str) -> frozenset:
-        c = letter if letter in self.letters else "\x00"
-        if (out := self.moves.get((state, c))) is None:
-            if len(self.moves) > 200_000:
-                self.moves.clear()
-            to: set[tuple[int, int]] = set()
-            for node, edits in state:
-                if c in self.next[node]:
-                    to.add((self.next[node][c], edits))
-                to.add((node, edits + 1))  # a letter too many
-                to.update((child, edits + 1) for child in self.next[node].values())  # another letter
-            out = self.moves[(state, c)] = self._closed(to)
+        key = frozenset(best.items())
+        if (state := self.states.get(key)) is None:
+            if len(self.states) > 100_000:
+                self.states.clear()
+            words = [(e, self.word[n]) for n, e in best.items() if self.word[n] >= 0 and e <= self.size[n]]
+            prefixes = [self.prefix[n] for n, e in best.items() if e == 0 and self.prefix[n] >= 0]
+            state = self.states[key] = _State(tuple(best.items()), min(words, default=None), max(prefixes, default=-1))
+        return state
+
+    def step(self, state: _State, letter: str) -> _State:
+        to: set[tuple[int, int]] = set()
+        for node, edits in state.reached:
+            if letter in self.next[node]:
+                to.add((self.next[node][letter], edits))
+            to.add((node, edits + 1))  # a letter too many
+            to.update((child, edits + 1) for child in self.next[node].values())  # another letter
+        out = state.moves[letter] = self._state(to)
         return out
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(entry, edits) of the best match: fewest edits, then a whole word before a beginning, then the first entry."""
-        state, found = self.start, []
-        for i, c in enumerate(word):
-            state = self.step(state, c)
-            if not state:
-                break
-            if i >= PREFIXES[0] - 1:
-                found += [(0, 1, self.prefix[n]) for n, e in state if e == 0 and self.prefix[n] >= 0]
-        else:
-            found += [(e, 0, self.word[n]) for n, e in state if self.word[n] >= 0 and e <= self.size[n]]
-        if not found:
-            return None
-        edits, _, entry = min(found, key=lambda x: (x[0], x[1], -x[2] if x[1] else x[2]))
-        return entry, edits
+        """(entry, edits) of the best match: fewest edits, then a whole word before a beginning, then the first entry of words, the last of beginnings."""
+        state, prefix = self.start, -1
+        for c in word:
+            if c not in self.letters:
+                c = "\x00"
+            state = state.moves.get(c) or self.step(state, c)
+            if not state.reached:
+                return (prefix, 0) if prefix >= 0 else None
+            if state.prefix > prefix:
+                prefix = state.prefix
+        if state.word is not None and (state.word[0] == 0 or prefix < 0):
+            return state.word[1], state.word[0]
+        return (prefix, 0) if prefix >= 0 else None
 
 
 class _Matcher(dict):
@@ -215,7 +227,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
         labels.where("toxic is not null and doc_id is not null").where(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     )
-    sample = stash(docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
+    # copies of a text say no more than one of them, and would make its chance words look borne out
+    labelled = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sample = stash(labelled.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "sample")
     sizes: dict[tuple[int, int], int] = {}
     for r in sample.select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).toLocalIterator():
         sizes[r.y, _half(r.doc_id)] = sizes.get((r.y, _half(r.doc_id)), 0) + 1
