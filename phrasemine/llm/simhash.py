@@ -99,7 +99,8 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     """
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
     bucket, spark = ["path", "mask", "v"], fps.sparkSession
-    rows = fps.select("fp", F.col("fp").alias("c"), F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("mask"))
+    # dealt out before each row becomes 64
+    rows = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("fp", F.col("fp").alias("c"), F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("mask"))
     edges, open_ = None, {0: list(range(64))}
     while True:
         steps, open_, cut = _steps(open_)
