@@ -10,13 +10,13 @@ MOST_PATTERNS = 10_000
 
 
 def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, most: int = MOST_PATTERNS) -> DataFrame:
-    """Pairs of a text and a pattern that it contains, anywhere.
+    """Pairs of a text and a pattern that it contains, anywhere; an empty pattern matches nothing.
 
     Patterns of three words or more hold a whole inner word: texts are exploded into distinct words and met with the patterns by
     their second word, an equi join of any size, then verified.  Shorter ones may be parts of words; their number is checked: up to
     `most` they are broadcast to a nested loop, beyond it they meet texts by a three-letter run, or by any run if shorter still.
     """
-    p = patterns.withColumn("_w", F.split(pattern, " ")).withColumn("_inner", F.get("_w", F.lit(1)))
+    p = patterns.where(F.col(pattern) != "").withColumn("_w", F.split(pattern, " ")).withColumn("_inner", F.get("_w", F.lit(1)))
     whole = p.where("size(_w) >= 3").drop("_w")
     words = texts.withColumn("_word", F.explode(F.array_distinct(F.split(text, " "))))
     a = words.join(whole, F.col("_word") == F.col("_inner")).where(F.contains(F.col(text), F.col(pattern))).drop("_word", "_inner")

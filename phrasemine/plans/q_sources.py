@@ -50,7 +50,7 @@ def s4(t: Tables) -> DataFrame:
 @register("s5_encodings", "SELECT phrase FROM doc WHERE regexp_full_match(phrase, '[\\x{20}-\\x{7E}\\x{A0}-\\x{FF}]+')", "doc")
 def s5(t: Tables) -> DataFrame:
     at = _at(t)
-    t.doc.where(r"phrase rlike '^[\\x20-\\x7E\\xA0-\\xFF]+$'").select("phrase").write.option("header", True).option("encoding", "ISO-8859-1").csv(at)
+    t.doc.where(r"phrase rlike '^[\\x20-\\x7E\\xA0-\\xFF]+$'").select("phrase").write.option("header", True).option("encoding", "ISO-8859-1").option("escape", "\"").csv(at)
     return files.read_csv(t.spark, at, "ISO-8859-1")
 
 

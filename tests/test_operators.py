@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from phrasemine.functions import scratch
 from phrasemine.functions import text as X
 from phrasemine.operators import annotate, clean, cluster, graph, relate, scoring, state, templates, tokens, vectors
 from phrasemine.sources import files
@@ -322,3 +323,45 @@ def test_watermarked_rollup_drops_late_events(spark, tmp_path):
         rounds.event_rollup(s).writeStream.outputMode("append").option("checkpointLocation", f"{at}/ck").option("path", f"{at}/out").format("parquet").trigger(availableNow=True).start().awaitTermination()
     got = {r.window_start.day: r.n for r in spark.read.parquet(f"{at}/out").collect()}
     assert got[1] == 2 and got[4] == 1
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    kept = scratch.stash(spark.range(3), "kept")
+
+    def make():
+        scratch.stash(spark.range(5), "inside")
+        return scratch.stash(spark.range(4), "inside").where("id > 1")
+
+    out = scratch.settled(spark, make, "out")
+    names = lambda: [n for n in os.listdir(scratch.shared_dir(spark)) if "-inside-" in n or n in (kept.stash_path.split("/")[-1], out.stash_path.split("/")[-1])]
+    assert sorted(names()) == sorted(d.stash_path.split("/")[-1] for d in (kept, out)) and out.count() == 2
+    scratch.clear(spark, kept)
+    assert names() == [kept.stash_path.split("/")[-1]]
+    scratch.forget(kept)
+    assert names() == []
+
+
+def test_contains_join_ways_agree(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["best red shoe tool", "red", "a b c d e", "shoes", ""])], "i int, phrase string")
+    patterns = spark.createDataFrame([(p,) for p in ["red shoe tool", "b c d", "ed", "shoe", "a", "", "e", "red"]], "pattern string")
+    ways = [sorted((r.i, r.pattern) for r in relate.contains_join(texts, patterns, "phrase", "pattern", most).collect()) for most in (10_000, 1)]
+    assert ways[0] == ways[1] == sorted((i, p) for i, t in enumerate(["best red shoe tool", "red", "a b c d e", "shoes", ""]) for p in ["red shoe tool", "b c d", "ed", "shoe", "a", "e", "red"] if p in t)
+
+
+def test_entry_without_corpus_operators():
+    """Their folders may be missing: the other queries stay."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['phrasemine.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_small_tables_use_all_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    d = scratch.spread(spark.read.parquet(f"{tmp_path}/t"))
+    assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and d.count() == 1000
+    assert scratch.spread(spark.range(0, 1000, 1, 9)).rdd.getNumPartitions() == 9
