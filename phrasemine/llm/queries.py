@@ -17,44 +17,54 @@ WINDOW g AS (PARTITION BY norm)
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null and empty html give empty text, repeated rows a row each, an empty table none."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words have fingerprint zero and are linked, a null doc_id takes the least of its component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold; null and empty texts match nothing, rows that repeat doc_id and text count once, null ids are ids like others."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, a row for every document; a null text is the empty text, of rows that repeat doc_id and text one is kept."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; null texts have size 0, a null source is a source, repeated rows count each."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; null and empty texts have none, repeated rows a row each."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back; a null html is the empty payload, a null page_id is below all others, repeated rows are alike."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation and of the probe; a null text is empty, rows of one turn stand by role and text, null turns first."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.as_messages(rows.unionByName(chat.probe(spark))))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; null and empty texts score like texts without hits, a null doc_id is not held out, repeated rows a row each."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated sentences; null and short texts stay, rows that repeat doc_id and text count as one document."""
     return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
