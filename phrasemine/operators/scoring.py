@@ -43,13 +43,27 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
 
-def similarity(a: Column, b: Column, sorted_words: bool = False) -> Column:
-    """The larger of the Jaccard similarity of word sets and the sequence ratio, of sorted words if asked for."""
+def ratio_from(least: float):
+    """U1 where only ratios of `least` or more matter: 0 where the letters that two strings share cannot reach it."""
+
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            need = least * (len(x) + len(y)) / 2
+            near = min(len(x), len(y)) >= need and sum(min(x.count(c), y.count(c)) for c in set(x)) >= need
+            out.append(SequenceMatcher(None, x, y).ratio() if near else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return F.pandas_udf(ratio, DoubleType())
+
+
+def similarity(a: Column, b: Column, sorted_words: bool = False, least: float = 0.0) -> Column:
+    """The larger of the Jaccard similarity of word sets and the sequence ratio, of sorted words if asked for; below `least` any smaller number."""
     wa, wb = (F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda x: x != "") for c in (a, b))
     both = F.size(F.array_union(wa, wb))
     jaccard = F.when(both > 0, F.size(F.array_intersect(wa, wb)) / both).otherwise(0.0)
     sa, sb = (F.array_join(F.array_sort(w), " ") for w in (wa, wb)) if sorted_words else (F.lower(a), F.lower(b))
-    return F.greatest(jaccard, sequence_ratio(sa, sb))
+    return F.greatest(jaccard, (ratio_from(least) if least else sequence_ratio)(sa, sb))
 
 
 def consistency(phrases: DataFrame, key: str, size: int = 20, ahead: int = 5) -> DataFrame:
@@ -129,7 +143,7 @@ def similar_pairs(phrases: DataFrame, least: float, sorted_words: bool = True) -
     probe = rare.select("phrase_id", "phrase", F.explode(shorter).alias("x"))
     a, b = probe.alias("a"), probe.alias("b")
     pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.phrase_id") < F.col("b.phrase_id"))).select(F.col("a.phrase_id").alias("a"), F.col("b.phrase_id").alias("b"), F.col("a.phrase").alias("pa"), F.col("b.phrase").alias("pb")).distinct()
-    return pairs.withColumn("similarity", similarity(F.col("pa"), F.col("pb"), sorted_words)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    return pairs.withColumn("similarity", similarity(F.col("pa"), F.col("pb"), sorted_words, least)).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
 def redundancy(groups: DataFrame, n_sample: int) -> DataFrame:
