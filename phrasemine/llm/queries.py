@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, html_extract, mixing, secrets, simhash, spans, toxicity, warc
+from . import alignment, chat, decontaminate, exact_dedup, html_extract, mixing, secrets, simhash, spans, toxicity, warc
 from .common import table
 
 DEDUP_SQL = """
@@ -68,11 +68,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between both tokenizers' tokens of every document; texts without tokens have zeros, repeated rows count each, a null doc_id stays null."""
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extract, op2_simhash, op3_decontaminate, op4_exact_dedup, op5_mixing,
         op6_secrets, op7_warc, op8_chat, op9_toxicity, op10_substring_dedup,
+        op11_alignment,
     )
 }
 WARC_SQL = """
