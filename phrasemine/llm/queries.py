@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, exact_dedup, html_extract, mixing, secrets, simhash, spans, toxicity, warc
+from . import alignment, chat, decontaminate, exact_dedup, html_extract, mixing, secrets, simhash, spans, toxicity, warc, whitening
 from .common import table
 
 DEDUP_SQL = """
@@ -73,12 +74,23 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on its 32 components of largest variance; vectors that are null or hold null or non-finite entries go, components without variance are none, a null vec_id stays null."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    w = whitening.fit(rows)
+    white = whitening.transform(rows, w).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    share, error = F.array(*[F.lit(x) for x in w.explained]), whitening.identity_error(rows, w)
+    return white.select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(w.n).cast("long").alias("n"), "deviation", "whitened", F.get(share, F.col("k")).cast("double").alias("explained"), F.lit(error).alias("identity_error")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extract, op2_simhash, op3_decontaminate, op4_exact_dedup, op5_mixing,
         op6_secrets, op7_warc, op8_chat, op9_toxicity, op10_substring_dedup,
-        op11_alignment,
+        op11_alignment, op12_whitening,
     )
 }
 WARC_SQL = """
