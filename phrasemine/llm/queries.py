@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, exact_dedup, html_extract, mixing, secrets, simhash, spans, toxicity, warc, whitening
+from . import alignment, chat, decontaminate, exact_dedup, html_extract, mixing, secrets, simhash, spans, toxicity, vptree, warc, whitening
 from .common import table
 
 DEDUP_SQL = """
@@ -85,12 +85,18 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors of every vector whose id is divisible by 100; null, zero and non-finite vectors take no part, nor do null ids, repeated rows count once."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extract, op2_simhash, op3_decontaminate, op4_exact_dedup, op5_mixing,
         op6_secrets, op7_warc, op8_chat, op9_toxicity, op10_substring_dedup,
-        op11_alignment, op12_whitening,
+        op11_alignment, op12_whitening, op13_nearest,
     )
 }
 WARC_SQL = """
