@@ -28,7 +28,8 @@ def finite(vector: Column) -> Column:
 
 
 def on_grid(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(STEPS)) * x.cast("double")) + F.lit(SHIFT).cast("long"))
+    """Entries as grid steps; those beyond 9e18 steps stand there, so that a sum with SHIFT still fits a long."""
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-9e18), F.least(F.lit(9e18), F.lit(float(STEPS)) * x.cast("double")))) + F.lit(SHIFT).cast("long"))
 
 
 def pivoted_cholesky(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
