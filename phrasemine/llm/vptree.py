@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.relate import sample
 from .common import stash
 from .whitening import finite
 
@@ -172,7 +171,7 @@ def nearest(
     # limited to k + 1 rows of a vector before they are shuffled
     rows = stash(distinct(vectors).withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n"), "vectors")
     n = rows.count()
-    picked = matrix(pa.array([r.v for r in sample(rows, sampled, 42, "id", "v").collect()], pa.list_(pa.float64())))  # at most `sampled` rows
+    picked = matrix(pa.array([r.v for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(sampled).collect()], pa.list_(pa.float64())))  # at most `sampled` rows
     shards = max(1, min(-(-n // shard), len(picked) // LEARN))
     tree = Tree(picked, -(-len(picked) // shards), open_shells=True)
 
