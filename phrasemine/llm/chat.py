@@ -48,12 +48,18 @@ def visit(messages: DataFrame) -> DataFrame:
     """Flatten the parts of each message (conv_id, turn, role, parts): adds content and attachments.
 
     Text parts become escaped text; others become <|image|>, <|audio|>, <|document|> or <|attachment|> (an unknown type)
-    placeholders in order.  attachments: array of (type, ref, part, tokens).
+    placeholders in order.  Text parts with no placeholder between them are joined before they are escaped, so that none of them can
+    finish a control string that another began.  attachments: array of (type, ref, part, tokens); part counts all parts from 0.
     """
     kind = lambda p: F.when(p["type"].isin("image", "audio", "document"), p["type"]).otherwise("attachment")
     is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
     parts = F.coalesce("parts", F.array().cast(PARTS))
-    shown = F.transform(parts, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit("|>"))))
+    numbered = F.transform(parts, lambda p, i: F.struct(is_text(p).alias("is_text"), i.alias("i")))
+    # runs of text end where an attachment stands, and at the end
+    ends = F.concat(F.transform(F.filter(numbered, lambda x: ~x["is_text"]), lambda x: x["i"]), F.array(F.size(parts)))
+    runs = F.transform(ends, lambda end, j: F.struct(F.when(j == 0, 0).otherwise(F.get(ends, j - 1) + 1).alias("start"), end.alias("end")))
+    said = lambda r: F.array_join(F.transform(F.slice(parts, r["start"] + 1, r["end"] - r["start"]), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    shown = F.transform(runs, lambda r: F.concat(escape(said(r)), F.when(r["end"] < F.size(parts), F.concat(F.lit("<|"), kind(F.get(parts, r["end"])), F.lit("|>"))).otherwise("")))
     placed = F.transform(parts, lambda p, i: F.struct(kind(p).alias("type"), p["ref"].alias("ref"), i.alias("part"), _tokens(p).alias("tokens"), is_text(p).alias("is_text")))
     attached = F.transform(F.filter(placed, lambda p: ~p["is_text"]), lambda p: F.struct(p["type"], p["ref"], p["part"], p["tokens"]))
     return messages.withColumn("content", F.array_join(shown, "")).withColumn("attachments", attached)
@@ -63,7 +69,8 @@ def format_conversations(messages: DataFrame, train_role: str = "assistant") ->
     """One row for each conversation: conv_id, formatted, loss_runs, attachments, attachment_tokens.
 
     messages: conv_id, turn, role, parts.  Turns stand by turn number (null first), then by role and content, so ties
-    and repeated rows have one order.  loss_runs holds for each turn how many code points the loss mask skips, covers
+    and repeated rows have one order.  An empty table gives no rows; texts of any length are kept whole; further columns of
+    messages are not read, whatever their names.  loss_runs holds for each turn how many code points the loss mask skips, covers
     and skips again; it covers the content of train_role.  Null roles are empty.  Long conversations are joined in
     chunks of CHUNK turn numbers first; only the finished chunks of a conversation meet in one group.
     """
@@ -103,7 +110,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digests(messages: DataFrame) -> DataFrame:
-    """The contract's columns, all derived from the formatted output."""
+    """The contract's columns, all derived from the formatted output: a row for each conversation, a null conv_id being one; none for an empty table.
+
+    Further columns are not read; a conversation's turns, however long, are read back in one row.
+    """
     back = read_back(format_conversations(messages))
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
