@@ -140,31 +140,43 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     return edges
 
 
+def _components(fp: DataFrame) -> DataFrame:
+    """(fp, component_id, least): of each fingerprint's component the smallest doc_id, null if it has none, and then the least digest of its rows without doc_id.
+
+    fp: doc_id, fp, and sha where rows without doc_id are to be told apart.
+    """
+    sha = F.min(F.when(F.col("doc_id").isNull(), F.col("sha"))) if "sha" in fp.columns else F.min(F.lit(None).cast("string"))
+    classes = stash(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), sha.alias("sha")), "classes")
+    comp = roots(links(classes.select("fp")))
+    rooted = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = stash(rooted.select("fp", "root", "least", "sha"), "rooted")
+    # a table of its own, so that AQE can split the join on a component of very many fingerprints
+    ids = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("sha").alias("sha")), "ids")
+    return stash(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id", F.when(F.col("component_id").isNull(), F.col("sha")).alias("least")), "components")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of docs.
 
     fingerprint: 16 hex digits; component_id: the smallest doc_id reachable over links, itself included.  Null texts and
     texts without words have fingerprint zero and are linked like others.  Equal fingerprints are linked; links are
     sought between distinct ones only, so large groups of copies cost no more than one.  A null doc_id takes the
-    smallest doc_id of its component, null if there is none.  An empty table gives no rows.
+    smallest doc_id of its component, null if there is none.  An empty table gives no rows; further columns are not read.
     """
     fp = stash(fingerprints(docs), "fp")
-    classes = stash(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    comp = roots(links(classes.select("fp")))
-    rooted = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = stash(rooted.select("fp", "root", "least"), "rooted")
-    # a table of its own, so that AQE can split the join on a component of very many fingerprints
-    ids = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    by_fp = stash(rooted.join(ids, "root").select("fp", "component_id"), "components")
+    by_fp = _components(fp).select("fp", "component_id")
     return fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component stays, with all its columns: the one whose doc_id names it.
 
-    Rows with a null doc_id stay only in components without any doc_id, all of them.  Rows that repeat a doc_id stay
-    together: which text such an id stands for is not decided here.
+    Rows with a null doc_id go where their component has any doc_id; of a component without one, the text of the least SHA-256 stays.
+    Rows that repeat a doc_id, or a text without one, stay together: which text such an id stands for is not decided here.
     """
     key = fresh(docs, "_key")
-    keep = near_duplicates(docs).where("doc_id <=> component_id").select(row_key(F.col("doc_id")).alias(key)).distinct()
-    return docs.withColumn(key, row_key(F.col("doc_id"))).join(keep, key, "left_semi").drop(key)
+    sha = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    fp = stash(docs.select("doc_id", fingerprint_udf("text").alias("fp"), sha.alias("sha")), "fp")
+    named = F.when(F.col("component_id").isNull(), F.col("sha") == F.col("least")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    keep = fp.join(_components(fp), "fp").where(named).select(row_key(F.col("doc_id"), fp["sha"]).alias(key)).distinct()
+    return docs.withColumn(key, row_key(F.col("doc_id"), sha)).join(keep, key, "left_semi").drop(key)
