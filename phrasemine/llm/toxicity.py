@@ -37,6 +37,10 @@ REPORTING = frozenset("said says say quoted quote called calls wrote writes acco
 ADDRESS = frozenset("you your youre u are tu vous toi es du ihr sie bist usted ustedes eres".split())
 
 
+#: States that a worker keeps before it starts afresh; one word adds no more than it has letters.
+MOST_STATES = 20_000
+
+
 class _State:
     """Trie nodes reached with so many edits; moves: the states that letters lead to, as far as texts needed them."""
 
@@ -73,6 +77,10 @@ class _Automaton:
                 mark[at] = k
                 self.size[at] = max(self.size[at], room)
         self.letters = {c for n in self.next for c in n}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drop all states: they hold each other through their moves, so the first one goes with the table."""
         self.states: dict[frozenset, _State] = {}
         self.start = self._state({(0, 0)})
 
@@ -92,8 +100,6 @@ class _Automaton:
             todo += [(child, edits + 1) for child in self.next[node].values()]
         key = frozenset(best.items())
         if (state := self.states.get(key)) is None:
-            if len(self.states) > 100_000:
-                self.states.clear()
             words = [(e, self.word[n]) for n, e in best.items() if self.word[n] >= 0 and e <= self.size[n]]
             prefixes = [self.prefix[n] for n, e in best.items() if e == 0 and self.prefix[n] >= 0]
             state = self.states[key] = _State(tuple(best.items()), min(words, default=None), max(prefixes, default=-1))
@@ -111,6 +117,8 @@ class _Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(entry, edits) of the best match: fewest edits, then a whole word before a beginning, then the first entry of words, the last of beginnings."""
+        if len(self.states) > MOST_STATES:
+            self._forget()
         state, prefix = self.start, -1
         for c in word:
             if c not in self.letters:
