@@ -5,8 +5,9 @@ put in sorted order by a range shuffle and numbered in that order.  Then adjacen
 are sorted and numbered in turn, and so on until each text has a single name.  Names stand for blocks one to one, so
 texts with equal (level, name) are identical; no hash decides equality.
 
-Skew: many texts may share a block.  A block's occurrences are first dealt over SALTS groups, each sends one
-representative on, and only integers take part in the joins that follow, which AQE can split.
+Skew: many texts may share a block, and one row may be repeated very often.  A block's occurrences are first dealt over SALTS
+groups, each sends one representative on, and only integers take part in the joins that follow, which AQE can split.  Repeated
+rows are counted before the names of a text are collected, and are given back in pieces.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh, row_key, stash
 
-#: Bytes in a block, and groups that the occurrences of one block are dealt over.
-BLOCK, SALTS = 4096, 64
+#: Bytes in a block, groups that the occurrences of one block are dealt over, and repeated rows that are given back at once.
+BLOCK, SALTS, PIECE = 4096, 64, 4096
 
 
 def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,20 +32,21 @@ def _first_names(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     blocks = (
-        docs.select("doc_id", norm.alias("norm"))
-        .select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").cast("binary").alias("b"))
+        docs.select("doc_id", norm.alias("norm"), F.monotonically_increasing_id().alias("row"))
+        .select("doc_id", "row", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").cast("binary").alias("b"))
         .select(
-            "doc_id", "text_sha256",
+            "doc_id", "row", "text_sha256",
             F.posexplode(F.expr(
                 f"transform(sequence(0, greatest(cast((octet_length(b) - 1) div {BLOCK} as int), 0)), i -> substring(b, i * {BLOCK} + 1, {BLOCK}))"
             )).alias("idx", "block"),
         )
-        .select("block", F.struct("doc_id", "text_sha256", "idx").alias("at"), F.pmod(F.xxhash64("text_sha256", "doc_id", "idx"), F.lit(SALTS)).alias("salt"))
+        .select("block", F.struct("doc_id", "text_sha256", "idx").alias("at"), F.pmod(F.xxhash64("text_sha256", "row", "idx"), F.lit(SALTS)).alias("salt"))
     )
     # The only shuffle of all text; both branches below need the same columns of it, so they share it.
     # `local`, the least place of a block within its salt, names it there.
-    local = blocks.withColumn("local", F.min("at").over(Window.partitionBy("block", "salt")))
-    heads = local.where(F.col("local").eqNullSafe(F.col("at"))).select("block", "local")
+    by_place = Window.partitionBy("block", "salt").orderBy("at")
+    local = blocks.withColumn("local", F.first("at").over(by_place)).withColumn("nth", F.row_number().over(by_place))
+    heads = local.where("nth = 1").select("block", "local")
     # The second one: one row for each distinct block and salt, range-partitioned by block, so the group needs no more.
     mapping = _sorted_groups(heads, parts).select(F.explode("locals").alias("local"), "name")
     l, m = local.select("at", "local").alias("l"), mapping.alias("m")
@@ -73,13 +75,9 @@ def block_names(docs: DataFrame) -> DataFrame:
     """
     first = (
         _first_names(docs)
+        .groupBy("key", "doc_id", "text_sha256", "idx", "name").agg(F.count("*").alias("copies"))
         .groupBy("key", "doc_id", "text_sha256")
-        .agg(F.collect_list(F.struct("idx", "name")).alias("all"))
-        .select(
-            "key", "doc_id", "text_sha256",
-            F.size(F.filter("all", lambda x: x["idx"] == 0)).cast("long").alias("copies"),
-            F.transform(F.array_sort(F.array_distinct("all")), lambda x: x["name"]).alias("names"),
-        )
+        .agg(F.max("copies").alias("copies"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]).alias("names"))
     )
     at = stash(first, "names")
     done, level, older = [], 0, []
@@ -123,13 +121,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z only; a null text is the empty text.  The row with the
     largest doc_id stays; a null doc_id counts below all others.  Of rows that repeat both doc_id and text one stays.
-    An empty table gives no rows; further columns of docs are ignored.
+    An empty table gives no rows; further columns of docs are ignored; texts of any length are read whole.
     """
-    return (
-        _identities(docs)
-        .select("doc_id", "keep_id", "group_size", "text_sha256", F.posexplode(F.expr("array_repeat(0, cast(copies as int))")).alias("nth", "_"))
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0)).alias("kept"), "text_sha256")
-    )
+    every = stash(_identities(docs).select("doc_id", "keep_id", "group_size", "text_sha256", "copies"), "identities")
+    often = every.where(F.col("copies") > PIECE).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {PIECE}"))))
+    # pieces of one row are dealt out
+    often = often.repartition("text_sha256", "doc_id", "piece").withColumn("nth", F.explode(F.sequence(F.col("piece") * PIECE, F.least(F.col("copies"), (F.col("piece") + 1) * PIECE) - 1)))
+    few = every.where(F.col("copies") <= PIECE).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return few.unionByName(often.drop("piece")).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0)).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
