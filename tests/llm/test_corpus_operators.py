@@ -87,6 +87,16 @@ def test_exact_groups_of_many_blocks(spark):
 # simhash
 
 
+def test_a_row_repeated_very_often(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "PIECE", 1000)
+    often = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    docs = often.union(spark.createDataFrame([(9, "Word " * 2000), (1, "x")], "doc_id long, text string"))
+    got = exact_dedup.exact_groups(docs).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, True, 1), (7, 9, 100_001, False, 100_000), (9, 9, 100_001, True, 1)]
+
+
 def test_fingerprint_by_hand():
     import xxhash
 
@@ -159,6 +169,15 @@ def test_near_duplicates(docs, rows, empty):
 # decontamination
 
 
+def test_near_copies_without_ids(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve thirteen", "alpha beta gamma delta epsilon zeta"
+    rows = [(None, a), (None, b), (5, b), (None, c), (None, c.upper()), (3, "x y"), (3, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as sha", "2 as least")
+    kept = sorted(((r.doc_id or -1), r.text) for r in simhash.drop_near_copies(docs).collect())
+    one = min((c, c.upper()), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert kept == sorted([(-1, a), (5, b), (-1, one), (3, "x y"), (3, "x y")])
+
+
 def test_tiles_reordered():
     item, doc = decontaminate.word_ids("a b c d e f g h i j k"), decontaminate.word_ids("x g h i j k y a b c d e f z a b c")
     t = decontaminate.tiles(item, doc)
@@ -379,6 +398,59 @@ def chat_escaped(t):
 # toxicity
 
 
+CONTROL = [chat.TURN, chat.TEXT, chat.END, "<|image|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
+
+
+def test_no_parts_forge_a_control_string(spark):
+    """Control strings split at random over text parts, attachments between some: every text comes back, and only the template's own strings are bare."""
+    r = random.Random(8)
+    rows, want = [], {}
+    for conv in range(300):
+        turns = []
+        for turn in range(2):
+            parts = []
+            for _ in range(r.randint(1, 3)):
+                whole = r.choice(["a", ""]) + r.choice(CONTROL).replace("|", r.choice(["|", "|", "\\|"])) + r.choice(["", " b"])
+                cuts = sorted(r.choices(range(len(whole) + 1), k=r.randint(1, 3)))
+                parts += [("text", whole[x:y], None, None, None, None, None) for x, y in zip([0, *cuts], [*cuts, len(whole)])]
+                if r.random() < 0.3:
+                    parts.append(("image", None, f"ref{len(parts)}", 56, 28, None, None))
+            rows.append((conv, turn, ["user", "assistant"][turn], parts))
+            shown = "".join("<|image|>" if p[0] == "image" else "\x00" + p[1] for p in parts)
+            turns.append((["user", "assistant"][turn], shown.replace("\x00", ""), [(i, p[2]) for i, p in enumerate(parts) if p[0] == "image"]))
+        want[conv] = turns
+    messages = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts {chat.PARTS}").selectExpr("*", "1 as content", "2 as attachments", "3 as chunk", "4 as line")
+    for row in chat.read_back(chat.format_conversations(messages)).collect():
+        turns = want[row.conv_id]
+        assert [(t.role, t.text) for t in row.turns] == [x[:2] for x in turns] and row.loss == turns[1][1]
+        assert [(a.part, a.ref) for a in row.attachments] == turns[0][2] + turns[1][2]
+        bare = re.sub(r"<\|(turn|text|end|image)\|>", "", row.formatted)
+        assert not re.search(r"<\||</?s>|\[/?INST\]|<</?SYS>>", bare) and row.formatted.count(chat.END) == 2 and row.formatted.count(chat.TURN) == 2
+
+
+def test_very_long_turns(spark):
+    text = "<|end|> x" * 300_000
+    messages = chat.as_messages(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn int, role string, text string"))
+    row = chat.read_back(chat.format_conversations(messages)).first()
+    assert row.loss == text and [t.text for t in row.turns] == ["q", text]
+
+
+def test_states_of_the_automaton_are_bounded(monkeypatch):
+    import gc
+
+    monkeypatch.setattr(toxicity, "MOST_STATES", 500)
+    r = random.Random(9)
+    terms = ["".join(r.choices("abcdefgh", k=r.randint(9, 12))) for _ in range(60)]
+    automaton = toxicity._Automaton({t: i for i, t in enumerate(terms)}, {})
+    for _ in range(20_000):
+        term = list(r.choice(terms))
+        term[r.randrange(len(term))] = r.choice("abcdefgh")
+        automaton.match("".join(term))
+        assert len(automaton.states) <= 520
+    gc.collect()
+    assert sum(isinstance(x, toxicity._State) for x in gc.get_objects()) <= 1100
+
+
 def test_automaton_against_levenshtein():
     def distance(a, b):
         row = list(range(len(b) + 1))
