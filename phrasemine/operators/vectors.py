@@ -11,6 +11,7 @@ from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from .relate import sample
 
@@ -65,6 +66,25 @@ def in_cells(unit: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     return unit.select("phrase_id", "embedding").mapInArrow(near, "phrase_id long, embedding array<double>, cell long")
 
 
+def co_blocks(asked: DataFrame, unit: DataFrame, block: int = BLOCK) -> PandasCogroupedOps:
+    """Rows of asked and of unit with the same cell, co-grouped: each pair of blocks of a cell meets in one group, of at most about block rows a side.
+
+    Both have cell and phrase_id; columns of unit are named with an underscore at the end.
+    """
+    parts = F.ceil(F.col("n") / F.lit(block))
+    # a small table still gives every core some queries
+    n_asked = F.greatest(parts, F.least(F.lit(unit.sparkSession.sparkContext.defaultParallelism), F.ceil(F.col("n") / F.lit(64))))
+    counted = lambda d, name, n: d.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("n")).select("_cell", n.alias(name))
+    sizes = counted(unit, "n_v", parts).alias("a").join(counted(asked, "n_q", n_asked).alias("b"), F.expr("a._cell <=> b._cell")).select("a._cell", "n_v", "n_q")
+    dealt = lambda d, own, other: d.join(sizes, F.expr("cell <=> _cell")).select(
+        *d.columns, F.pmod(F.xxhash64("phrase_id"), F.col(f"n_{own}")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(other)
+    )
+    # under names of their own: a co-group of a table with itself needs columns that it can tell apart
+    right = dealt(unit, "v", "q")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])
+    return dealt(asked, "q", "v").groupBy("cell", "q", "v").cogroup(right.groupBy("cell_", "q_", "v_"))
+
+
 def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None, within: str | None = None, n_cells: int | None = None, probes: int = 8, block: int = BLOCK) -> DataFrame:
     """(src, dst, rank, distance): the k nearest other vectors by distance of unit vectors, ties by id.
 
@@ -80,17 +100,6 @@ def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None, within: st
         unit, asked = in_cells(unit, centres, 1), in_cells(asked, centres, probes)
     else:
         unit, asked = (d.withColumn("cell", F.col(within) if within else F.lit(0)).select("phrase_id", "embedding", "cell") for d in (unit, asked))
-    parts = F.ceil(F.col("n") / F.lit(block))
-    # a small table still gives every core some queries
-    n_asked = F.greatest(parts, F.least(F.lit(vectors.sparkSession.sparkContext.defaultParallelism), F.ceil(F.col("n") / F.lit(64))))
-    counted = lambda d, name, n: d.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("n")).select("_cell", n.alias(name))
-    sizes = counted(unit, "n_v", parts).alias("a").join(counted(asked, "n_q", n_asked).alias("b"), F.expr("a._cell <=> b._cell")).select("a._cell", "n_v", "n_q")
-    dealt = lambda d, own, other: d.join(sizes, F.expr("cell <=> _cell")).select(
-        "cell", "phrase_id", "embedding", F.pmod(F.xxhash64("phrase_id"), F.col(f"n_{own}")).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(other)
-    )
-    left = dealt(asked, "q", "v")
-    # under names of their own: a co-group of a table with itself needs columns that it can tell apart
-    right = dealt(unit, "v", "q").select(*[F.col(c).alias(f"{c}_") for c in ("cell", "q", "v", "phrase_id", "embedding")])
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("distance", pa.float64())])
 
     def search(q: pa.Table, v: pa.Table) -> pa.Table:
@@ -110,7 +119,7 @@ def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None, within: st
             out = [np.concatenate(x) for x in zip(*found)]
         return pa.Table.from_arrays([pa.array(x) for x in out], schema=schema)
 
-    near = left.groupBy("cell", "q", "v").cogroup(right.groupBy("cell_", "q_", "v_")).applyInArrow(search, "src long, dst long, distance double")
+    near = co_blocks(asked, unit, block).applyInArrow(search, "src long, dst long, distance double")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))).where(F.col("rank") <= k).select("src", "dst", "rank", "distance")
 
 

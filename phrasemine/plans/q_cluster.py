@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stash
-from ..operators import cluster, graph, scoring, vectors
+from ..operators import cluster, graph, hierarchy, scoring, vectors
 from .registry import Tables, register
 
 #: The given vectors have no pair above 0.6, so graphs here start at 0.2.
@@ -104,6 +104,26 @@ def v11(t: Tables) -> DataFrame:
     return cluster.resplit(t.vectors, t.vectors.select("phrase_id", "cluster_id"), 3, min_size=3, min_samples=1, epsilon=1.2)
 
 
+@register("v9_spanning_tree")
+def v9_tree(t: Tables) -> DataFrame:
+    return hierarchy.spanning_tree(t.vectors, 3)
+
+
+@register("v9_condensed_clusters")
+def v9_condensed(t: Tables) -> DataFrame:
+    return hierarchy.hierarchy_clusters(t.vectors, 5, 3)
+
+
+@register("v10_condensed_sub_clusters")
+def v10_condensed(t: Tables) -> DataFrame:
+    return hierarchy.sub_hierarchy(t.vectors.withColumnRenamed("cluster_id", "parent"), 5, 2)
+
+
+@register("v11_leaf_resplit")
+def v11_leaf(t: Tables) -> DataFrame:
+    return hierarchy.resplit_hierarchy(t.vectors, t.vectors.select("phrase_id", "cluster_id"), 3, min_size=3, min_samples=1)
+
+
 @register("v12_kmeans")
 def v12(t: Tables) -> DataFrame:
     return cluster.kmeans(t.vectors, 10).select("phrase_id", "cluster_id")
@@ -152,6 +172,11 @@ def v18(t: Tables) -> DataFrame:
     return cluster.density_sweep(t.vectors, [(5, 2), (10, 3)], 1.15)
 
 
+@register("v18_condensed_sweep")
+def v18_condensed(t: Tables) -> DataFrame:
+    return hierarchy.hierarchy_sweep(t.vectors, [(5, 2), (10, 2), (10, 3)])
+
+
 @register("v19_dimension_profile", "SELECT CAST(i AS INT) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (SELECT generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")
 def v19(t: Tables) -> DataFrame:
     return vectors.dimension_profile(t.vectors)
