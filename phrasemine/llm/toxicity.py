@@ -38,7 +38,7 @@ ADDRESS = frozenset("you your youre u are tu vous toi es du ihr sie bist usted u
 
 
 #: States that a worker keeps before it starts afresh; one word adds no more than it has letters.
-MOST_STATES = 20_000
+MOST_STATES = 60_000
 
 
 class _State:
