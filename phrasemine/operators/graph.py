@@ -93,7 +93,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, resolution
     still = 0
     for r in range(rounds):
         total = labels.join(degree, "node").groupBy("community").agg(F.sum("k").alias("tot"))
-        to = sym.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
+        # a loop stays inside wherever its node goes
+        to = sym.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
         own = labels.select(F.col("node").alias("src"), F.col("community").alias("own"))
         cand = to.join(own, "src").join(total, "community").join(degree.select(F.col("node").alias("src"), "k"), "src")
         rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
@@ -113,6 +114,47 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10, resolution
     return labels
 
 
+def contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges between communities, weights summed; those inside one are its loop (src = dst)."""
+    a, b = labels.select(F.col("node").alias("src"), F.col("community").alias("ca")), labels.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+    e = edges.join(a, "src").join(b, "dst").select(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst"), "weight")
+    return e.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def louvain_levels(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 20, rounds: int = 10) -> list[tuple[DataFrame, float]]:
+    """V6: the labels (node, community) of each level with their modularity, which rises from level to level.
+
+    A level moves nodes as communities() does, then its communities become the nodes of the next one: edges between two are summed to one edge, those inside to a
+    loop, which counts twice in the degree.  Ends where a level merges nothing or modularity would not rise.
+    """
+    of = stash(nodes.select("node", F.col("node").alias("community")), "level")
+    graph, quality = stash(edges.select("src", "dst", "weight"), "graph"), None
+    out: list[tuple[DataFrame, float]] = []
+    for _ in range(levels):
+        labels = communities(of.select(F.col("community").alias("node")).distinct(), graph, rounds, resolution)
+        higher = stash(contracted(graph, labels), "graph")
+        # of a contracted graph with each node alone: loops inside, degrees squared expected
+        s = stash(both_ways(higher), "sym")
+        m2 = s.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+        inside = s.where("src = dst").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+        squares = s.groupBy("src").agg(F.sum("weight").alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0))).first()[0]
+        new = inside / m2 - resolution * squares / (m2 * m2) if m2 else 0.0
+        if quality is not None and new <= quality + 1e-9:
+            break
+        quality = new
+        of = stash(of.join(labels.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "level")
+        out.append((of, quality))
+        graph = higher
+    return out
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """V6: (node, community) of the last level: communities in order of their least node, from 0; nodes without edges are alone, an empty graph gives no rows."""
+    of = louvain_levels(nodes, edges, resolution)[-1][0]
+    first = of.groupBy("community").agg(F.min("node").alias("least"))
+    return renumbered(of.join(first, "community").select("node", F.col("least").alias("community")), "community").select("node", "community")
+
+
 def prune(labels: DataFrame, least: int = 10) -> DataFrame:
     """V8: communities of fewer nodes become -1; the others 0, 1, ... in the order of their labels."""
     n = labels.groupBy("community").agg(F.count("*").alias("n"))

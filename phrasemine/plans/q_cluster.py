@@ -76,6 +76,11 @@ def v6(t: Tables) -> DataFrame:
     return graph.communities(_nodes(t), _edges(t))
 
 
+@register("v6_louvain")
+def v6_louvain(t: Tables) -> DataFrame:
+    return graph.louvain(_nodes(t), _edges(t))
+
+
 @register("v7_modularity", f", {EDGES}, x AS (SELECT ed.*, a.label AS ca, b.label AS cb FROM ed JOIN un a ON a.id = src JOIN un b ON b.id = dst), m AS (SELECT sum(weight) AS m FROM ed), d AS (SELECT c, sum(weight) AS deg FROM (SELECT ca AS c, weight FROM x UNION ALL SELECT cb, weight FROM x) GROUP BY 1), i AS (SELECT ca AS c, sum(weight) FILTER (ca = cb) AS w FROM x GROUP BY 1) SELECT round(sum(coalesce(w, 0) / m - pow(deg / (2 * m), 2)), 5) AS modularity FROM d LEFT JOIN i USING (c) CROSS JOIN m")
 def v7(t: Tables) -> DataFrame:
     labels = t.vectors.select(F.col("phrase_id").alias("node"), F.col("cluster_id").alias("community"))
