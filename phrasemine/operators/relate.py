@@ -2,34 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-#: Rows of a pattern table up to which it goes to all tasks.
-MOST_PATTERNS = 10_000
+#: Code points of the patterns that go into one automaton, and of all patterns that automata are made of.
+AUTOMATON, MOST_CHARS = 2_000_000, 32_000_000
 
 
-def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, most: int = MOST_PATTERNS) -> DataFrame:
-    """Pairs of a text and a pattern that it contains, anywhere; an empty pattern matches nothing.
+def contains_join(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, most: int = MOST_CHARS, each: int = AUTOMATON) -> DataFrame:
+    """Pairs of a text and a pattern that it contains, anywhere; an empty or null pattern matches nothing.
 
-    Patterns of three words or more hold a whole inner word: texts are exploded into distinct words and met with the patterns by
-    their second word, an equi join of any size, then verified.  Shorter ones may be parts of words; their number is checked: up to
-    `most` they are broadcast to a nested loop, beyond it they meet texts by a three-letter run, or by any run if shorter still.
+    The code points of the distinct patterns are counted.  Up to `most` they go to all tasks, in automata of about `each` code points that read
+    the texts where they stand, once for each automaton, and find all their patterns at the same time; no text is shuffled.  Beyond `most`, patterns meet texts in equi joins.
+    """
+    p = patterns.where(F.col(pattern) != "")
+    distinct = p.select(F.col(pattern).alias("_p")).distinct()
+    chars = distinct.agg(F.coalesce(F.sum(F.length("_p")), F.lit(0))).first()[0]
+    if chars > most:
+        return _contains_by_runs(texts, p, text, pattern)
+    parts = max(1, -(-chars // each))
+    found = None
+    for part in range(parts):
+        own = distinct if parts == 1 else distinct.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == part)
+        hits = _matched(texts, [r[0] for r in own.collect()], text)  # of counted size
+        found = hits if found is None else found.unionAll(hits)
+    return found.join(p, F.col("_p") == F.col(pattern)).drop("_p")
+
+
+def _matched(texts: DataFrame, patterns: list[str], text: str) -> DataFrame:
+    """Rows of texts with _p: each pattern that their text contains, once."""
+    schema = StructType([*texts.schema.fields, StructField("_p", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for i, word in enumerate(patterns):
+            automaton.add_word(word, i)
+        automaton.make_automaton()
+        names = pa.array(patterns, pa.string())
+        for b in batches:
+            rows, ids = [], []
+            for row, value in enumerate(b.column(text).to_pylist() if patterns else []):
+                if value:
+                    for i in {i for _, i in automaton.iter(value)}:
+                        rows.append(row)
+                        ids.append(i)
+            take = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*take.columns, names.take(pa.array(ids, pa.int64()))], names=[*b.schema.names, "_p"])
+
+    return texts.mapInArrow(run, schema)
+
+
+def _contains_by_runs(texts: DataFrame, p: DataFrame, text: str, pattern: str) -> DataFrame:
+    """Patterns of three words or more hold a whole inner word: texts are exploded into distinct words and met with the patterns by their second word, then verified.
+
+    Shorter ones may be parts of words: they meet texts by a three-letter run, or by any run if shorter still.
     """
-    p = patterns.where(F.col(pattern) != "").withColumn("_w", F.split(pattern, " ")).withColumn("_inner", F.get("_w", F.lit(1)))
-    whole = p.where("size(_w) >= 3").drop("_w")
+    p = p.withColumn("_w", F.split(pattern, " ")).withColumn("_inner", F.get("_w", F.lit(1)))
     words = texts.withColumn("_word", F.explode(F.array_distinct(F.split(text, " "))))
-    a = words.join(whole, F.col("_word") == F.col("_inner")).where(F.contains(F.col(text), F.col(pattern))).drop("_word", "_inner")
+    a = words.join(p.where("size(_w) >= 3").drop("_w"), F.col("_word") == F.col("_inner")).where(F.contains(F.col(text), F.col(pattern))).drop("_word", "_inner")
     parts = p.where("size(_w) < 3").drop("_w", "_inner")
-    if parts.limit(most + 1).count() <= most:
-        b = texts.join(F.broadcast(parts), F.contains(F.col(text), F.col(pattern)))
-    else:
-        runs = lambda c: F.expr(f"array_distinct(transform(sequence(1, greatest(length({c}) - 2, 1)), i -> substring({c}, i, 3)))")
-        long = parts.where(F.length(pattern) >= 3).withColumn("_run", F.substring(pattern, 1, 3))
-        b = texts.withColumn("_t", F.explode(runs(text))).join(long, F.col("_t") == F.col("_run")).where(F.contains(F.col(text), F.col(pattern))).drop("_t", "_run")
-        short = parts.where(F.length(pattern) < 3).withColumn("_run", F.col(pattern))
-        pieces = F.expr(f"array_distinct(flatten(transform(sequence(1, 2), n -> transform(sequence(1, greatest(length({text}) - n + 1, 1)), i -> substring({text}, i, n)))))")
-        b = b.unionByName(texts.withColumn("_t", F.explode(pieces)).join(short, F.col("_t") == F.col("_run")).where(F.contains(F.col(text), F.col(pattern))).drop("_t", "_run"))
+    runs = lambda c: F.expr(f"array_distinct(transform(sequence(1, greatest(length({c}) - 2, 1)), i -> substring({c}, i, 3)))")
+    long = parts.where(F.length(pattern) >= 3).withColumn("_run", F.substring(pattern, 1, 3))
+    b = texts.withColumn("_t", F.explode(runs(text))).join(long, F.col("_t") == F.col("_run")).where(F.contains(F.col(text), F.col(pattern))).drop("_t", "_run")
+    short = parts.where(F.length(pattern) < 3).withColumn("_run", F.col(pattern))
+    pieces = F.expr(f"array_distinct(flatten(transform(sequence(1, 2), n -> transform(sequence(1, greatest(length({text}) - n + 1, 1)), i -> substring({text}, i, n)))))")
+    b = b.unionByName(texts.withColumn("_t", F.explode(pieces)).join(short, F.col("_t") == F.col("_run")).where(F.contains(F.col(text), F.col(pattern))).drop("_t", "_run"))
     return a.unionByName(b)
 
 

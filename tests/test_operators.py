@@ -63,6 +63,20 @@ def test_similarity(spark):
     assert got[0] == 1 and got[1] == pytest.approx(2 / 3) and got[3] == 1
 
 
+@pytest.mark.parametrize("n", [0, 1, 10_000, 100_000])
+def test_contains_join_of_many_patterns(spark, n):
+    """In one automaton, and in several."""
+    r = random.Random(n)
+    texts = ["".join(r.choices("abcd ", k=r.randint(0, 14))) for _ in range(500)] + [None, "é中é"]
+    pats = sorted({"".join(r.choices("abcd ", k=r.choice([3, 6, 9]))) for _ in range(n)} | ({"中", "é", ""} if n else set()))
+    a = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    b = spark.createDataFrame([(p, len(p)) for p in pats], "p string, size int")
+    known = set(pats) - {""}
+    want = sorted((i, p, len(p)) for i, t in enumerate(texts) for p in {t[x:y] for x in range(len(t or "")) for y in range(x + 1, len(t) + 1)} & known)
+    for each in (relate.AUTOMATON, 100_000):
+        assert sorted((x.i, x.p, x.size) for x in relate.contains_join(a, b, "t", "p", each=each).collect()) == want
+
+
 @pytest.mark.parametrize("most", [10_000, 0])
 def test_contains_join_ways_agree(spark, most):
     r = random.Random(1)
@@ -343,7 +357,7 @@ def test_scratch_tables_go(spark):
     assert names() == []
 
 
-def test_contains_join_ways_agree(spark):
+def test_contains_join_of_parts_and_whole_words(spark):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(["best red shoe tool", "red", "a b c d e", "shoes", ""])], "i int, phrase string")
     patterns = spark.createDataFrame([(p,) for p in ["red shoe tool", "b c d", "ed", "shoe", "a", "", "e", "red"]], "pattern string")
     ways = [sorted((r.i, r.pattern) for r in relate.contains_join(texts, patterns, "phrase", "pattern", most).collect()) for most in (10_000, 1)]
