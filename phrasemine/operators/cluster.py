@@ -152,8 +152,10 @@ def split_inconsistent(vectors: DataFrame, labels: DataFrame, verdicts: DataFram
 def mixtures(vectors: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
     """Gaussian mixtures compared by log-likelihood, AIC and BIC (full covariance)."""
     data = as_ml(vectors).persist()
-    n, d = data.count(), len(data.first().embedding)
-    rows = []
+    n, rows = data.count(), []
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "k int, log_likelihood double, aic double, bic double")
+    d = len(data.first().embedding)
     for k in ks:
         ll = float(GaussianMixture(k=k, seed=seed, maxIter=5).fit(data).summary.logLikelihood)
         free = k - 1 + k * d + k * d * (d + 1) // 2

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stash
-from ..operators import cluster, graph, hierarchy, scoring, vectors
+from ..operators import cluster, graph, hierarchy, mixture, scoring, vectors
 from .registry import Tables, register
 
 #: The given vectors have no pair above 0.6, so graphs here start at 0.2.
@@ -167,6 +167,16 @@ def v17(t: Tables) -> DataFrame:
     return cluster.mixtures(t.vectors, [2, 4])
 
 
+@register("v17_diagonal_mixtures")
+def v17_diagonal(t: Tables) -> DataFrame:
+    return mixture.diagonal_mixtures(t.vectors, [50, 75, 100])
+
+
+@register("v17_comparison")
+def v17_comparison(t: Tables) -> DataFrame:
+    return mixture.compare(t.vectors, [50, 100], [50])
+
+
 def _sweep(size: int, samples: int) -> str:
     return f"""SELECT * FROM ({_density(size, samples, 1.15)}, g AS (SELECT c, count(*) AS n FROM sz GROUP BY 1)
  SELECT {size} AS min_size, {samples} AS min_samples, count(*) FILTER (n >= {size}) AS n_clusters, coalesce(sum(n) FILTER (n < {size}), 0) / sum(n)::DOUBLE AS noise, min(n) FILTER (n >= {size}) AS least, max(n) FILTER (n >= {size}) AS most FROM g)"""
