@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stash
-from ..operators import cluster, graph, hierarchy, mixture, scoring, vectors
+from ..operators import cluster, graph, hierarchy, linkage, mixture, scoring, vectors
 from .registry import Tables, register
 
 #: The given vectors have no pair above 0.6, so graphs here start at 0.2.
@@ -144,6 +144,11 @@ def v14(t: Tables) -> DataFrame:
     return cluster.bisecting(t.vectors, 10).select("phrase_id", "cluster_id")
 
 
+@register("v14_ward")
+def v14_ward(t: Tables) -> DataFrame:
+    return linkage.agglomerative(t.vectors, [10, 20, 40], "ward").select("phrase_id", "cluster_id")
+
+
 @register("v15_split_inconsistent")
 def v15(t: Tables) -> DataFrame:
     labels = t.vectors.select("phrase_id", "cluster_id")
