@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stash
-from ..operators import cluster, graph, hierarchy, linkage, mixture, scoring, vectors
+from ..operators import cluster, descent, graph, hierarchy, linkage, mixture, scoring, vectors
 from .registry import Tables, register
 
 #: The given vectors have no pair above 0.6, so graphs here start at 0.2.
@@ -64,6 +64,11 @@ def v4(t: Tables) -> DataFrame:
     return graph.knn_edges(_near(t), LEAST).select("src", "dst", F.round("weight", 5).alias("weight"))
 
 
+@register("v4_descent")
+def v4_descent(t: Tables) -> DataFrame:
+    return descent.descend(t.vectors, K)
+
+
 @register("v5_graph_statistics", f"""WITH RECURSIVE {EDGES}, sy AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), {REACH},
  x AS (SELECT (SELECT count(*) FROM un) AS v, (SELECT count(*) FROM ed) AS e, (SELECT count(DISTINCT c) FROM co) AS n_components)
  SELECT v AS n_nodes, e AS n_edges, v * {K} AS potential_edges, round(1 - e / (v * {K})::DOUBLE, 6) AS filter_rate, round(2 * e / v::DOUBLE, 6) AS mean_degree, round(2 * e / (v * (v - 1))::DOUBLE, 6) AS density, n_components FROM x""")
