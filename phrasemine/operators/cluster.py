@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scratch import forget, stash
 from .graph import components
 from .relate import numbered, renumbered, sample
-from .vectors import as_ml, knn
+from .vectors import _matrix, as_ml, co_blocks, knn
 
 
 def density_clusters(vectors: DataFrame, min_size: int = 30, min_samples: int = 3, epsilon: float = 0.9, k: int = 20, within: str | None = None) -> DataFrame:
@@ -98,6 +100,38 @@ def silhouette(v: DataFrame, n_sample: int) -> DataFrame:
     return x.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))).alias("silhouette"))
 
 
+def whole_silhouette(labelled: DataFrame) -> DataFrame:
+    """Mean silhouette, plain Euclidean, over all points of clusters, with their number, in one row; a point alone in its cluster counts 0.
+
+    Blocks of points meet blocks of points and send on, for each point, the sum of its distances to each cluster in the block: no pair leaves a task.  Without points, or with one cluster only, the mean is null or 0.
+    """
+    v = stash(labelled.where("cluster_id <> -1 and embedding is not null").select("phrase_id", F.col("cluster_id").cast("long").alias("cluster_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(0).alias("cell")), "points")
+    schema = pa.schema([("p", pa.int64()), ("own", pa.int64()), ("c", pa.int64()), ("d", pa.float64()), ("n", pa.int64())])
+
+    def sums(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows or not t.num_rows:
+            return schema.empty_table()
+        x, y, ids, own, others = _matrix(q["embedding"]), _matrix(t["embedding_"]), q["phrase_id"].to_numpy(), q["cluster_id"].to_numpy(), t["phrase_id_"].to_numpy()
+        clusters, at = np.unique(t["cluster_id_"].to_numpy(), return_inverse=True)
+        member = np.zeros((len(others), len(clusters)))
+        member[np.arange(len(others)), at] = 1
+        total, count = np.empty((len(ids), len(clusters))), np.tile(member.sum(axis=0), (len(ids), 1))
+        for s in range(0, len(ids), 256):
+            z = x[s : s + 256]
+            d = np.sqrt(np.maximum(0.0, (z * z).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * z @ y.T))
+            same = ids[s : s + 256, None] == others[None, :]
+            d[same] = 0
+            total[s : s + 256] = d @ member
+            count[s : s + 256] -= same @ member
+        k = len(clusters)
+        return pa.Table.from_arrays([pa.array(np.repeat(ids, k)), pa.array(np.repeat(own, k)), pa.array(np.tile(clusters, len(ids))), pa.array(total.ravel()), pa.array(count.ravel().astype(np.int64))], schema=schema)
+
+    part = co_blocks(v, v).applyInArrow(sums, "p long, own long, c long, d double, n long").groupBy("p", "own", "c").agg((F.try_divide(F.sum("d"), F.sum("n"))).alias("d"))
+    x = part.groupBy("p").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("own"), F.col("d"))).alias("b"))
+    one = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return x.agg(F.count("*").alias("n"), F.avg(one).alias("silhouette"))
+
+
 def search_k(vectors: DataFrame, ks: list[int], n_sample: int = 2000) -> DataFrame:
     """Each k fitted on a hash sample, with its validity, best silhouette first."""
     s = stash(sample(vectors, n_sample, 42, "phrase_id"), "sample")

@@ -172,6 +172,13 @@ def v16(t: Tables) -> DataFrame:
     return cluster.validity(t.vectors).select(*[F.round(c, 6).alias(c) for c in ("davies_bouldin", "calinski_harabasz", "silhouette")])
 
 
+@register("v16_whole_silhouette", """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label <> -1),
+ pr AS (SELECT a.id, a.label AS own, b.label AS other, avg(list_distance(a.e, b.e)) AS d FROM v a JOIN v b ON a.id <> b.id GROUP BY 1, 2, 3), sl AS (SELECT id, max(d) FILTER (other = own) AS a, min(d) FILTER (other <> own) AS b FROM pr GROUP BY 1)
+ SELECT count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (SELECT v.id, a, b FROM v LEFT JOIN sl ON sl.id = v.id)""")
+def v16_whole(t: Tables) -> DataFrame:
+    return cluster.whole_silhouette(t.vectors).select("n", F.round("silhouette", 6).alias("silhouette"))
+
+
 @register("v17_mixtures")
 def v17(t: Tables) -> DataFrame:
     return cluster.mixtures(t.vectors, [2, 4])

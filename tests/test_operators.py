@@ -232,6 +232,23 @@ def test_split_inconsistent_is_k_means(spark, three):
     assert all(len(x) == 1 for x in by.values()) and {c for x in by.values() for c, _ in x} == {13, 14, 15} and len({got[p + 500][0] for p, t in truth.items() if t == 1}) == 2
 
 
+def test_whole_silhouette_is_brute_force(spark):
+    r = random.Random(11)
+    rows = [(i, i % 4, [r.gauss(i % 4, 1.0) for _ in range(3)]) for i in range(150)] + [(900, 77, [9.0, 9.0, 9.0]), (901, -1, [0.0] * 3), (902, 1, None)]
+    d = spark.createDataFrame(rows, "phrase_id long, cluster_id int, embedding array<double>")
+    used, total = [x for x in rows if x[1] != -1 and x[2]], 0.0
+    for i, c, e in used:
+        to = {}
+        for j, k, f in used:
+            if i != j:
+                to.setdefault(k, []).append(sum((x - y) ** 2 for x, y in zip(e, f)) ** 0.5)
+        a, b = sum(to.get(c, [0])) / len(to.get(c, [0])), min(sum(v) / len(v) for k, v in to.items() if k != c)
+        total += (b - a) / max(a, b) if c in to else 0
+    got = cluster.whole_silhouette(d).first()
+    assert got.n == len(used) and abs(got.silhouette - total / len(used)) < 1e-6
+    assert cluster.whole_silhouette(d.limit(0)).first().n == 0
+
+
 def test_validity_prefers_the_truth(three):
     good = cluster.validity(three).first()
     bad = cluster.validity(three.withColumn("cluster_id", (F.col("phrase_id") % 3).cast("int"))).first()
