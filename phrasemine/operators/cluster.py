@@ -145,28 +145,33 @@ def search_k(vectors: DataFrame, ks: list[int], n_sample: int = 2000) -> DataFra
 def kmeans_within(vectors: DataFrame, rounds: int = 10) -> DataFrame:
     """(phrase_id, cluster_id, part): k-means in every cluster at once, from vectors with cluster_id and n_parts.
 
-    Each round is one join of points with the few centres of their cluster and one map-side combined mean, so a cluster of any
-    size is spread over tasks.  The first centre of a cluster is the point farthest from its mean, each further one the point
+    The few centres of a cluster are one array (n_parts of them, no more), so each round is one join by cluster_id, which leaves a cluster of any size spread over
+    tasks, and one map-side combined mean; no point is shuffled by its id.  The first centre of a cluster is the point farthest from its mean, each further one the point
     farthest from those before; parts are numbered in that order and may be fewer where points coincide.
     """
     v = stash(vectors.select("phrase_id", "cluster_id", "n_parts", F.col("embedding").cast("array<double>").alias("e")), "points")
-    apart = F.expr("aggregate(zip_with(e, c, (x, y) -> (x - y) * (x - y)), 0D, (a, d) -> a + d)")
     mean = lambda d, keys: d.select(*keys, array_to_vector("e").alias("f")).groupBy(*keys).agg(Summarizer.mean(F.col("f")).alias("m")).select(*keys, vector_to_array("m").alias("c"))
+
+    def met(centres: DataFrame) -> DataFrame:
+        """Points with the nearest centre of their cluster: its distance, squared, and its part."""
+        arrays = centres.groupBy("cluster_id").agg(F.collect_list(F.struct("part", "c")).alias("cs"))
+        near = F.array_min(F.transform("cs", lambda x: F.struct(F.aggregate(F.zip_with("e", x["c"], lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d).alias("d"), x["part"].alias("part"))))
+        return v.join(arrays, "cluster_id").withColumn("near", near).select("phrase_id", "cluster_id", "n_parts", "e", "near.d", "near.part")
+
     most = v.agg(F.max("n_parts")).first()[0] or 0
     centres = mean(v, ["cluster_id"]).withColumn("part", F.lit(-1))
     for part in range(most):
-        d = v.where(F.col("n_parts") > part).join(centres, "cluster_id").groupBy("cluster_id", "phrase_id").agg(F.min(apart).alias("d"), F.first("e").alias("e"))
-        far = d.where("d > 0").groupBy("cluster_id").agg(F.max_by("e", F.struct("d", -F.col("phrase_id"))).alias("c")).withColumn("part", F.lit(part))
+        d = met(centres).where((F.col("n_parts") > part) & (F.col("d") > 0))
+        far = d.groupBy("cluster_id").agg(F.max_by("e", F.struct("d", -F.col("phrase_id"))).alias("c")).withColumn("part", F.lit(part))
         centres = stash((centres.where("part >= 0") if part else far.limit(0)).unionByName(far), "centres")
     for _ in range(rounds):
-        near = v.join(centres, "cluster_id").groupBy("cluster_id", "phrase_id").agg(F.min_by("part", F.struct(apart, "part")).alias("part"), F.first("e").alias("e"))
-        new = stash(mean(near, ["cluster_id", "part"]).select("cluster_id", "c", "part"), "centres")
-        moved = new.exceptAll(centres.select("cluster_id", "c", "part")).isEmpty()
+        new = stash(mean(met(centres), ["cluster_id", "part"]).select("cluster_id", "c", "part"), "centres")
+        still = new.exceptAll(centres.select("cluster_id", "c", "part")).isEmpty()
         forget(centres)
         centres = new
-        if moved:
+        if still:
             break
-    return v.join(centres, "cluster_id").groupBy("cluster_id", "phrase_id").agg(F.min_by("part", F.struct(apart, "part")).alias("part")).select("phrase_id", "cluster_id", "part")
+    return met(centres).select("phrase_id", "cluster_id", "part")
 
 
 def split_inconsistent(vectors: DataFrame, labels: DataFrame, verdicts: DataFrame, least: int = 5, below: float = 0.7) -> DataFrame:
