@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stash
 from ..functions.text import QUESTION_WORDS
+from .order import order_statistics
 from .relate import with_share
 from .tokens import top_k
 
@@ -86,13 +88,15 @@ def golden_summary(phrases: DataFrame, *keys: str) -> DataFrame:
 
 def size_report(phrases: DataFrame, label: str) -> DataFrame:
     """Clusters, sizes (upper median) and the share of noise, in one row."""
-    sizes = phrases.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("n"))
-    # the table has one row for each cluster, and the sorted list one number
+    sizes = stash(phrases.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("n")), "sizes")
+    real = sizes.where("c <> -1")
+    n = real.count()
+    median = int(order_statistics(real, "n", [n // 2])[0]) if n else None
     return sizes.agg(
         F.count_if(F.col("c") != -1).alias("n_clusters"), F.min(F.when(F.col("c") != -1, F.col("n"))).alias("min_size"), F.max(F.when(F.col("c") != -1, F.col("n"))).alias("max_size"),
-        F.round(F.avg(F.when(F.col("c") != -1, F.col("n"))), 6).alias("mean_size"), F.array_sort(F.collect_list(F.when(F.col("c") != -1, F.col("n")))).alias("s"),
+        F.round(F.avg(F.when(F.col("c") != -1, F.col("n"))), 6).alias("mean_size"), F.lit(median).cast("long").alias("median_size"),
         F.round(100 * F.coalesce(F.sum(F.when(F.col("c") == -1, F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias("noise_share"),
-    ).select("n_clusters", "min_size", "max_size", "mean_size", F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("median_size"), "noise_share")
+    )
 
 
 def parent_rollup(meta: DataFrame, factor: int = 10_000) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions.scratch import stash
+from .order import percentiles
 from .relate import contains_join
 from .tokens import raw_ngrams, top_k
 
@@ -59,9 +61,10 @@ def infer_patterns(anchors: DataFrame, phrases: DataFrame, looked_at: int = 20)
 
 def quality_templates(templates: DataFrame, percentile: float = 50) -> DataFrame:
     """M4: templates (anchor, template_pattern, match_count) at or above a percentile of match counts, two words or more, with a slot."""
-    cut = templates.agg(F.percentile("match_count", F.lit(percentile / 100)).alias("cut"))  # one row
+    templates = stash(templates, "templates")  # read for the percentile and for the result
+    cut = percentiles(templates, "match_count", [percentile / 100])[0]
     ok = (F.size(F.split("template_pattern", r"\s+")) >= 2) & F.col("template_pattern").rlike(SLOT)
-    return templates.join(F.broadcast(cut)).where((F.col("match_count") >= F.col("cut")) & ok).drop("cut")
+    return templates.where((F.col("match_count") >= F.lit(cut)) & ok)
 
 
 def to_regex(pattern: Column) -> Column:
@@ -118,8 +121,9 @@ def variable_statistics(matches: DataFrame) -> DataFrame:
 
 
 def score_percentiles(stats: DataFrame) -> DataFrame:
-    p = F.percentile("cross_validation_score", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)]))
-    return stats.agg(p.alias("p"), F.max("cross_validation_score").alias("most")).select(*[F.col("p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90"))], "most")
+    scores = stash(stats.select("cross_validation_score"), "scores")
+    p = percentiles(scores, "cross_validation_score", [0.25, 0.5, 0.75, 0.9])
+    return scores.agg(F.max("cross_validation_score").alias("most")).select(*[F.lit(x).cast("double").alias(n) for n, x in zip(("p25", "p50", "p75", "p90"), p)], "most")
 
 
 def quality_variables(stats: DataFrame, least: int = 3, templates: int = 2) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
+from ..functions.scratch import stash
+from .order import percentiles
 from .relate import sample
 
 #: Vectors and queries that meet in one group at most (rows by hash, so nearly); vectors that cells are learned from.
@@ -158,8 +160,9 @@ def local_density(neighbours: DataFrame, k: int = 20) -> DataFrame:
 
 def density_bands(density: DataFrame) -> DataFrame:
     """Points denser than the 90th and sparser than the 10th percentile."""
-    cut = density.agg(F.percentile("density", F.array(F.lit(0.1), F.lit(0.9))).alias("p"))
-    return density.join(F.broadcast(cut)).agg(F.count("*").alias("n"), F.count_if(F.col("density") > F.col("p")[1]).alias("dense"), F.count_if(F.col("density") < F.col("p")[0]).alias("sparse"), F.first(F.round(F.col("p")[0], 6)).alias("p10"), F.first(F.round(F.col("p")[1], 6)).alias("p90"))
+    density = stash(density.select("density"), "density")
+    lo, hi = (F.lit(x).cast("double") for x in percentiles(density, "density", [0.1, 0.9]))
+    return density.agg(F.count("*").alias("n"), F.count_if(F.col("density") > hi).alias("dense"), F.count_if(F.col("density") < lo).alias("sparse"), F.round(lo, 6).alias("p10"), F.round(hi, 6).alias("p90"))
 
 
 def explained_variance(vectors: DataFrame, k: int = 50) -> DataFrame:
