@@ -140,8 +140,13 @@ def seed_templates(seeds: DataFrame, phrases: DataFrame, least: int = 5, example
 
 
 def template_variables(templates: DataFrame, phrases: DataFrame, least: int = 3, stop_words: list[str] = []) -> DataFrame:
-    """Values of the first slot of templates, counted, with the templates that hold them."""
-    t = templates.select("template_pattern", to_regex(F.col("template_pattern")).alias("_re"), F.trim(F.regexp_replace("template_pattern", SLOT + ".*$", "")).alias("_fixed"))
+    """Values of the first slot of templates, counted, with the templates that hold them.
+
+    Phrases are found by the longest text of a template between its slots; a template of slots alone fixes nothing and has no variables.
+    """
+    pieces = F.transform(F.split("template_pattern", SLOT), lambda x: F.trim(x))
+    longest = F.aggregate(pieces, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    t = templates.select("template_pattern", to_regex(F.col("template_pattern")).alias("_re"), longest.alias("_fixed"))
     m = contains_join(phrases, t, "phrase", "_fixed").where("phrase rlike _re").select("template_pattern", F.trim(F.expr("regexp_extract(phrase, _re, 1)")).alias("variable_text"))
     m = m.where((F.length("variable_text") >= 2) & ~F.col("variable_text").isin("", *stop_words))
     pairs = m.groupBy("variable_text", "template_pattern").agg(F.count("*").alias("n"))

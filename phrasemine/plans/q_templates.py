@@ -128,6 +128,26 @@ def m12(t: Tables) -> DataFrame:
     return templates.noise_stop_words(ends, ["r", "s", "e"])
 
 
+#: The same over the templates that seeds give, but for slots alone.
+MINED = f"{SEEDT}, tp AS (SELECT template_pattern, '' AS anchor, match_count FROM se WHERE regexp_matches(template_pattern, '[^{{}}XYZ ]')){APPLIED[len(QUALITY):]}, vt AS (SELECT variable_text, count(*) AS frequency, array_to_string(list_sort(list_distinct(list(template_pattern))), ',') AS templates FROM (SELECT template_pattern, v1 AS variable_text FROM ap) WHERE length(variable_text) >= 2 GROUP BY 1 HAVING count(*) >= 3)"
+
+
+def _mined_variables(t: Tables) -> DataFrame:
+    found = templates.seed_templates(relate.distinct_seeds(t.kw), t.kw).select("template_pattern")
+    return templates.template_variables(found, t.kw)
+
+
+@register("m11_mined_variables", f", {MINED} SELECT * FROM vt", "kw")
+def m11_mined(t: Tables) -> DataFrame:
+    return _mined_variables(t).withColumn("templates", F.array_join("templates", ","))
+
+
+@register("m12_mined_noise", f", {MINED}, ch AS (SELECT variable_text[1] AS char, frequency FROM vt UNION ALL SELECT variable_text[-1], frequency FROM vt) SELECT char FROM ch WHERE char IN ('r', 's', 'e') GROUP BY 1 HAVING sum(frequency) > 50", "kw")
+def m12_mined(t: Tables) -> DataFrame:
+    ends = templates.end_characters(_mined_variables(t)).groupBy("char").agg(F.sum("n").alias("n"))
+    return templates.noise_stop_words(ends, ["r", "s", "e"])
+
+
 @register("m13_frequency_bins", f", {VARS} SELECT CASE WHEN frequency <= 10 THEN '1-10' WHEN frequency <= 50 THEN '11-50' WHEN frequency <= 100 THEN '51-100' ELSE '100+' END AS bin, count(*) AS n_variables, CAST(sum(frequency) AS BIGINT) AS frequency FROM va GROUP BY 1", "kw")
 def m13(t: Tables) -> DataFrame:
     return templates.frequency_bins(_variables(t))
