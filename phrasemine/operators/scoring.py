@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
+from .alike import common_letters, near_strings
 from .relate import contains_join, sample
 from .tokens import top_k
 
@@ -44,13 +45,13 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def ratio_from(least: float):
-    """U1 where only ratios of `least` or more matter: 0 where the letters that two strings share cannot reach it."""
+    """U1 where only ratios of `least` or more matter: 0 where the letters that two strings share in order cannot reach it."""
 
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
             need = least * (len(x) + len(y)) / 2
-            near = min(len(x), len(y)) >= need and sum(min(x.count(c), y.count(c)) for c in set(x)) >= need
+            near = min(len(x), len(y)) >= need and common_letters(x, y) >= need
             out.append(SequenceMatcher(None, x, y).ratio() if near else 0.0)
         return pd.Series(out, dtype=float)
 
@@ -128,22 +129,24 @@ def uncovered_words(covered: DataFrame, k: int = 50) -> DataFrame:
 
 
 def similar_pairs(phrases: DataFrame, least: float, sorted_words: bool = True) -> DataFrame:
-    """Pairs (a < b) of phrases that are similar and share a word, or nearly one.
+    """All pairs (a < b) of phrases (phrase_id, phrase) whose similarity is at least `least`.
 
-    Phrases meet by the rarest of their words that prefix filtering needs: with j words, the first j - ceil(least * j / 2) + 1 in order of
-    rarity.  Words of four letters or more also meet with one letter left out on either side, so that other spellings and
-    endings (colour, color; shoe, shoes) are compared.  Phrases that are alike letter by letter without any such word are
-    not: filters that are complete for the sequence ratio at 0.85 let nearly all pairs of like length through.
+    A pair that reaches it by its words shares one of the rarest of either's, by prefix filtering; one that reaches it by its letters shares a
+    segment (`alike.near_strings`).  Both meet in equality joins, by id; texts are joined to what is left.  Null ids and phrases have no pairs.
     """
-    w = phrases.select("phrase_id", "phrase", F.array_distinct(F.filter(F.split(F.lower("phrase"), r"\s+"), lambda x: x != "")).alias("w"))
-    freq = w.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
-    ranked = w.select("phrase_id", "phrase", F.size("w").alias("j"), F.explode("w").alias("x")).join(freq, "x").groupBy("phrase_id", "phrase", "j").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r"))
-    rare = ranked.select("phrase_id", "phrase", F.explode(F.expr(f"slice(transform(r, t -> t.x), 1, greatest(1, j - cast(ceil({least} * j / 2) as int) + 1))")).alias("x"))
-    shorter = F.expr("if(length(x) < 4, array(x), array_distinct(concat(array(x), transform(sequence(1, length(x)), i -> concat(substring(x, 1, i - 1), substring(x, i + 1))))))")
-    probe = rare.select("phrase_id", "phrase", F.explode(shorter).alias("x"))
-    a, b = probe.alias("a"), probe.alias("b")
-    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.phrase_id") < F.col("b.phrase_id"))).select(F.col("a.phrase_id").alias("a"), F.col("b.phrase_id").alias("b"), F.col("a.phrase").alias("pa"), F.col("b.phrase").alias("pb")).distinct()
-    return pairs.withColumn("similarity", similarity(F.col("pa"), F.col("pb"), sorted_words, least)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    p = phrases.select("phrase_id", "phrase").where("phrase_id is not null and phrase is not null")
+    words = F.filter(F.split(F.lower(F.trim("phrase")), r"\s+"), lambda x: x != "")
+    strings = p.select(F.col("phrase_id").alias("id"), (F.array_join(F.array_sort(words), " ") if sorted_words else F.lower("phrase")).alias("s"))
+    w = p.select("phrase_id", F.explode(F.array_distinct(words)).alias("x"))
+    freq = w.groupBy("x").agg(F.count("*").alias("f"))
+    ranked = w.join(freq, "x").groupBy("phrase_id").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("r")).withColumn("j", F.size("r"))
+    rare = ranked.select("phrase_id", "j", F.explode(F.expr(f"slice(transform(r, t -> t.x), 1, j - cast(ceil({least} * j - 1e-9) as int) + 1)")).alias("x"))
+    a, b = rare.alias("a"), rare.alias("b")
+    sizes = F.least("a.j", "b.j") >= F.lit(least) * F.greatest("a.j", "b.j") - 1e-9
+    by_words = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.phrase_id") < F.col("b.phrase_id")) & sizes).select(F.col("a.phrase_id").alias("a"), F.col("b.phrase_id").alias("b"))
+    pairs = by_words.union(near_strings(strings, least)).distinct()
+    texts = pairs.join(p.select(F.col("phrase_id").alias("a"), F.col("phrase").alias("pa")), "a").join(p.select(F.col("phrase_id").alias("b"), F.col("phrase").alias("pb")), "b")
+    return texts.withColumn("similarity", similarity(F.col("pa"), F.col("pb"), sorted_words, least)).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
 def redundancy(groups: DataFrame, n_sample: int) -> DataFrame:
