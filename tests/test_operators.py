@@ -304,6 +304,29 @@ def test_similar_pairs_are_all_pairs(spark, sorted_words):
     assert scoring.similar_pairs(d.limit(0), 0.85, sorted_words).isEmpty()
 
 
+def test_near_strings_of_any_length(spark):
+    """Long strings meet in blocks, short ones by segments, and pairs across the limit are not lost."""
+    from difflib import SequenceMatcher
+
+    r = random.Random(3)
+    made = {"", "a"}
+    while len(made) < 240:
+        s = r.choices("abcdefg hi", k=r.choice([20, 40, 47, 50, 60, 120, 300]))
+        for _ in range(3):
+            made.add("".join(s))
+            for _ in range(r.randint(1, len(s) // 8)):
+                k = r.randrange(len(s))
+                s[k : k + r.randint(0, 1)] = r.choice(["", "x", "a"])
+    made = sorted(made)
+    d = spark.createDataFrame(list(enumerate(made)), "id long, s string")
+    ratio = {(i, j): SequenceMatcher(None, made[i], made[j]).ratio() for j in range(len(made)) for i in range(j)}
+    for options in ({}, {"longest": 30, "block": 17}):
+        got = [(p.a, p.b) for p in alike.near_strings(d, 0.85, **options).collect()]
+        assert len(got) == len(set(got)) and {p for p, x in ratio.items() if x >= 0.85} <= set(got)
+        assert len(got) < 0.2 * len(ratio)
+    assert sum(x >= 0.85 and len(made[i]) <= 48 < len(made[j]) for (i, j), x in ratio.items()) > 2
+
+
 def test_segments_bound_the_ratio():
     """Strings with too many letters in common for their segments to miss each other, at other ratios than 0.85 too."""
     from difflib import SequenceMatcher
