@@ -34,7 +34,7 @@ def k1(t: Tables) -> DataFrame:
 def k2(t: Tables) -> DataFrame:
     at = _at(t)
     rounds.running_counts(_stream(t, t.kw.repartition(2), at, "first_seen_round"), f"{at}/out", f"{at}/ck").awaitTermination()
-    return rounds._stored(t.spark, f"{at}/out").drop("_v").withColumn("seeds", F.array_join("seeds", ","))
+    return rounds.stored_counts(t.spark, f"{at}/out").withColumn("seeds", F.array_join("seeds", ","))
 
 
 @register("k3_event_rollup", "SELECT date_trunc('day', created_at) AS window_start, event_type, count(*) AS n, max(new_score) AS top_score FROM events_ GROUP BY 1, 2", "events_")

@@ -8,14 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clean
 from ..operators.relate import new_by_key
 from ..operators.tokens import merge_counts, segment_unified
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The latest complete version of a table under path, or None: versions are folders v=<batch id>, complete once Spark has marked them."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
-    found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path)
-    versions = sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
-    return spark.read.parquet(f"{path}/v={versions[-1]}").withColumn("_v", F.lit(versions[-1])) if versions else None
+from . import runs
 
 
 def ingest_rounds(source: DataFrame, target: str, checkpoint: str):
@@ -36,25 +29,24 @@ def ingest_rounds(source: DataFrame, target: str, checkpoint: str):
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_counts(source: DataFrame, target: str, checkpoint: str, least: int = 1):
-    """K2: words with counts and seeds, merged batch by batch into a stored, versioned table.
+def running_counts(source: DataFrame, target: str, checkpoint: str, least: int = 1, fanout: int = 8):
+    """K2: words with counts and seeds, added batch by batch to a stored table of runs (`runs.append`).
 
-    The version is the batch id: a batch reads the version before it and writes its own, so a replay writes the same again.  No
-    seed set grows in streaming state.
+    A batch writes the counts of its own words and reads nothing else, but for a merge of `fanout` runs now and then; a replay changes nothing.
+    No seed set grows in streaming state.  `stored_counts` reads the table.
     """
-    spark = source.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        new = segment_unified(batch, least)
-        old = None if batch_id == 0 else _stored(spark, target)
-        if old is not None and old.first() is not None and old.first()["_v"] >= batch_id:
-            return
-        out = new if old is None else merge_counts(old.drop("_v"), new)
-        out.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        runs.append(segment_unified(batch, least), target, batch_id, merge_counts, fanout)
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_counts(spark: SparkSession, target: str) -> DataFrame | None:
+    """K2: (word, word_count, frequency, seeds) after the last complete batch, None before the first."""
+    return runs.read(spark, target, merge_counts)
+
+
 def event_rollup(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """K3: events by type in tumbling windows; those later than the watermark are dropped by a stream."""
     return events.withWatermark("created_at", late).groupBy(F.window("created_at", window), "event_type").agg(F.count("*").alias("n"), F.max("new_score").alias("top_score")).select(

@@ -395,7 +395,7 @@ def test_counts_stream_restarts(spark, tmp_path):
     def run():
         s = spark.readStream.schema(d.schema).parquet(f"{at}/in")
         rounds.running_counts(s, f"{at}/out", f"{at}/ck").awaitTermination()
-        return {r.word: r.frequency for r in rounds._stored(spark, f"{at}/out").collect()}
+        return {r.word: r.frequency for r in rounds.stored_counts(spark, f"{at}/out").collect()}
 
     d.where("phrase_id < 2").write.parquet(f"{at}/in")
     assert run()["shoes"] == 2
