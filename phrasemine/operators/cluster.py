@@ -69,8 +69,8 @@ def bisecting(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return BisectingKMeans(k=k, seed=seed, maxIter=10).fit(data).transform(data).select("phrase_id", F.col("prediction").alias("cluster_id"), "embedding")
 
 
-def validity(labelled: DataFrame, n_sample: int = 500) -> DataFrame:
-    """Davies-Bouldin and Calinski-Harabasz from centroids, silhouette of a hash sample of stated size, in one row."""
+def centroid_indices(labelled: DataFrame) -> DataFrame:
+    """Davies-Bouldin and Calinski-Harabasz from centroids, over all points of clusters, in one row."""
     v = labelled.where("cluster_id <> -1").select("phrase_id", "cluster_id", F.col("embedding").cast("array<double>").alias("e"))
     long = v.select("phrase_id", "cluster_id", F.posexplode("e").alias("d", "x"))
     cents = stash(long.groupBy("cluster_id", "d").agg(F.avg("x").alias("c"), F.count("*").alias("n")), "centroids")
@@ -87,7 +87,13 @@ def validity(labelled: DataFrame, n_sample: int = 500) -> DataFrame:
     db = apart.join(si, "i").join(sj, "j").groupBy("i").agg(F.max(F.try_divide(F.col("si") + F.col("sj"), F.col("m"))).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
     totals = per.agg(F.sum("within").alias("within"), F.sum("n").alias("n"), F.count("*").alias("k"))
     ch = totals.join(F.broadcast(between)).select(F.try_divide(F.col("between") * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1)).alias("calinski_harabasz"))
-    return db.join(F.broadcast(ch)).join(F.broadcast(silhouette(v, n_sample)))
+    return db.join(F.broadcast(ch))
+
+
+def validity(labelled: DataFrame, n_sample: int = 500) -> DataFrame:
+    """The indices of centroids, and the silhouette of a hash sample of stated size, in one row."""
+    v = labelled.where("cluster_id <> -1").select("phrase_id", "cluster_id", F.col("embedding").cast("array<double>").alias("e"))
+    return centroid_indices(labelled).join(F.broadcast(silhouette(v, n_sample)))
 
 
 def silhouette(v: DataFrame, n_sample: int) -> DataFrame:
@@ -132,12 +138,13 @@ def whole_silhouette(labelled: DataFrame) -> DataFrame:
     return x.agg(F.count("*").alias("n"), F.avg(one).alias("silhouette"))
 
 
-def search_k(vectors: DataFrame, ks: list[int], n_sample: int = 2000) -> DataFrame:
-    """Each k fitted on a hash sample, with its validity, best silhouette first."""
+def search_k(vectors: DataFrame, ks: list[int], n_sample: int = 10_000) -> DataFrame:
+    """Each k fitted on a hash sample, with the validity of the whole sample, best silhouette first."""
     s = stash(sample(vectors, n_sample, 42, "phrase_id"), "sample")
     out = None
     for k in ks:
-        row = validity(kmeans(s, k)).select(F.lit(k).alias("k"), "silhouette", "davies_bouldin", "calinski_harabasz")
+        fitted = stash(kmeans(s, k), "fitted")
+        row = centroid_indices(fitted).join(F.broadcast(whole_silhouette(fitted).select("silhouette"))).select(F.lit(k).alias("k"), "silhouette", "davies_bouldin", "calinski_harabasz")
         out = row if out is None else out.unionByName(row)
     return out.orderBy(F.desc("silhouette"), "k")
 
