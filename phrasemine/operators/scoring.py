@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
+from ..functions.scratch import stash
 from .alike import common_letters, near_strings
 from .relate import contains_join, sample
 from .tokens import top_k
@@ -134,7 +135,7 @@ def similar_pairs(phrases: DataFrame, least: float, sorted_words: bool = True) -
     A pair that reaches it by its words shares one of the rarest of either's, by prefix filtering; one that reaches it by its letters shares a
     segment (`alike.near_strings`).  Both meet in equality joins, by id; texts are joined to what is left.  Null ids and phrases have no pairs.
     """
-    p = phrases.select("phrase_id", "phrase").where("phrase_id is not null and phrase is not null")
+    p = stash(phrases.select("phrase_id", "phrase").where("phrase_id is not null and phrase is not null"), "phrases")
     words = F.filter(F.split(F.lower(F.trim("phrase")), r"\s+"), lambda x: x != "")
     strings = p.select(F.col("phrase_id").alias("id"), (F.array_join(F.array_sort(words), " ") if sorted_words else F.lower("phrase")).alias("s"))
     w = p.select("phrase_id", F.explode(F.array_distinct(words)).alias("x"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stash
 from ..operators import cluster, intent, scoring
 from .q_tokens import TYPES, _types, tk
 from .registry import Tables, register
@@ -111,7 +112,7 @@ def c11_words(t: Tables) -> DataFrame:
 
 @register("c12_redundancy")
 def c12(t: Tables) -> DataFrame:
-    s = scoring.hash_sample(t.doc.where("length(phrase) > 10").select("phrase_id", "phrase"), 1000)
+    s = stash(scoring.hash_sample(t.doc.where("length(phrase) > 10").select("phrase_id", "phrase"), 1000), "sample")
     return scoring.redundancy(cluster.greedy_groups(s, scoring.similar_pairs(s, 0.85)), 1000)
 
 
