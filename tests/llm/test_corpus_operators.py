@@ -335,6 +335,31 @@ def test_secrets_access_key_links(spark):
     assert "endpoint" not in got[2] and "endpoint" not in got[3]
 
 
+def linked_by_hand(text):
+    """All spans, by a loop over all pairs of parts."""
+    parts = [(m.start(), k, m.end()) for k, (_, p, g, least) in enumerate([*secrets.BASE, *secrets.WEAK]) for m in re.finditer(p, text) if len(m[g]) >= least]
+    breaks = [m.start() for m in re.finditer(secrets.BREAK[1], text)]
+
+    def near(a, others):
+        return any(abs(a[0] - o[0]) <= secrets.WINDOW and sum(x < a[0] for x in breaks) == sum(x < o[0] for x in breaks) for o in others)
+
+    strong, ids = [p for p in parts if p[1] in (0, 2, 4)], [p for p in parts if p[1] in (1, 3)]
+    linked = [p for p in strong if near(p, ids)]
+    kept = [p for p in parts if p[1] < 3] + [p for p in linked if p[1] == 4] + [p for p in ids if p[1] == 3 and near(p, strong)] + [p for p in parts if p[1] == 5 and near(p, linked)]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(kept))
+
+
+def test_secret_links_against_all_pairs(spark):
+    """Parts of every kind in random order, 1 to 400 code points and now and then a blank line apart."""
+    r = random.Random(8)
+    pieces = ["user=bob", "client_id: a1b2c3", "pwd: s3cr", "0123456789abcdef01", "https://db.example/x", "host=db.example", "AKIA" + "B2" * 8, "token=abcdefgh", "0123456789abcdef" * 2]
+    gaps = [" ", "\n", "\n\n", "\n \t\n", " é" * 40, " zz" * 65, " zz" * 68, " q" * 200]
+    texts = ["".join(r.choice(pieces) + r.choice(gaps) for _ in range(r.randint(2, 12))) for _ in range(300)]
+    got = {x.doc_id: x.spans for x in secrets.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    want = [linked_by_hand(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == want and sum("weak" in w for w in want) > 100
+
+
 # warc
 
 
