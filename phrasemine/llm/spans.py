@@ -4,8 +4,8 @@ A text is cut into units that tile it: sentences, each with its terminator (., !
 white space after it.  A sentence of more than LONG words is cut further, before words whose hash is even, into pieces of LEAST to LONG
 words: the cuts depend on the words at hand and come back into step inside a shared passage, whatever stands before it.  In scripts
 without spaces each letter counts as a word.  Every run of RUN consecutive units is hashed to 128 bits (case and white space aside), and
-the hashes of all documents meet in one global aggregation.  The first place of a run, by (doc_id, unit), is the original; units covered
-by a run that has an earlier place are removed.
+the hashes of all documents meet in one shuffle.  The first place of a run, by (doc_id, unit), is the original; units covered by a run
+that has an earlier place are removed.
 
 RUN and LONG are chosen by measurement (README): with whole sentences alone a passage of 50 words often has too few of them to be seen,
 and with shorter runs chance repeats of one-word sentences go too.
@@ -21,13 +21,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import forget, fresh, stash
 
 RUN, LEAST, LONG = 5, 3, 12
+#: Runs that hold one in HOT places of a sample, PROOF places at least, are dealt over DEALS tasks.
+HOT, PROOF, DEALS, SAMPLE = 10_000, 16, 256, 1 / 64
 #: Letters of scripts without spaces (Thai and Lao, Myanmar, Khmer, Han and kana), and their and other scripts' terminators.
 _DENSE = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3003-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF"
 _STOPS = r"\n\u0085\u0589\u061F\u06D4\u0964\u0965\u1362\u2026\u2028\u2029\u203C\u2047-\u2049\u3002\uFF01\uFF0E\uFF1F\uFF61"
@@ -112,27 +114,44 @@ def run_hashes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return a.view(np.int64), b.view(np.int64)
 
 
-_RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("i", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+_RUNS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("deal", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("i", pa.int32())])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols = [[], []]
-        sizes = np.zeros(batch.num_rows, dtype=np.int64)
-        for k, text in enumerate(batch.column("text")):
-            a, b = run_hashes(units(text.as_py()))
-            sizes[k] = len(a)
-            cols[0].append(a)
-            cols[1].append(b)
-        rows = np.repeat(np.arange(batch.num_rows), sizes)
-        if not len(rows):
-            continue
-        places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(places, pa.int32()), pa.array(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1]))],
-            schema=_RUNS,
-        )
+def _runs(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(doc_id, th, deal, a, b, i): the runs of each text; deal: 0, but for hot runs 1 to DEALS.
+
+    The columns stand so that what changes from row to row is one stretch of 17 bytes, which is what a shuffle's compression leaves.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [[], []]
+            sizes = np.zeros(batch.num_rows, dtype=np.int64)
+            for k, text in enumerate(batch.column("text")):
+                a, b = run_hashes(units(text.as_py()))
+                sizes[k] = len(a)
+                cols[0].append(a)
+                cols[1].append(b)
+            rows = np.repeat(np.arange(batch.num_rows), sizes)
+            if not len(rows):
+                continue
+            places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            a, b = np.concatenate(cols[0]), np.concatenate(cols[1])
+            deal = np.where(np.isin(a, hot), rows % DEALS + 1, 0)
+            take = pa.array(rows)
+            own = [batch.column("doc_id").take(take), batch.column("th").take(take)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(deal, pa.int32()), pa.array(a), pa.array(b), pa.array(places, pa.int32())], schema=_RUNS)
+
+    return texts.mapInArrow(runs, "doc_id long, th long, deal int, a long, b long, i int")
+
+
+def _hot(texts: DataFrame) -> np.ndarray:
+    """First hashes of runs so common in a sample of the rows that one task should not get all their places; HOT at most."""
+    some = stash(_runs(texts.sample(SAMPLE, 7), np.empty(0, dtype=np.int64)).select("a"), "sample")
+    least = max(PROOF, some.count() / HOT)
+    hot = [r.a for r in some.groupBy("a").count().where(F.col("count") >= least).collect()]
+    forget(some)
+    return np.array(hot, dtype=np.int64)
 
 
 def _hash(text: Column) -> Column:
@@ -143,21 +162,31 @@ def _hash(text: Column) -> Column:
 def repeated_units(docs: DataFrame) -> DataFrame:
     """(doc_id, th, drop, first_doc_ids): documents with units to remove; drop: their places, ascending.
 
-    The runs are written once, without text.  Both sides of their join with the first places are tables, so that AQE can
-    split a run that very many documents hold; its first place is taken by partial minima.
+    The runs are shuffled once, without text, and only those with an earlier place are kept.  The places of a hot run are dealt over
+    many tasks, which pass all of them on; their first places, a row for each hot run, are taken by partial minima.
     """
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), _hash(F.col("text")).alias("th"), "text")
-    runs = stash(texts.mapInArrow(_runs, "doc_id long, th long, i int, a long, b long"), "runs")
+    runs = _runs(texts, _hot(texts))
+    places = Window.partitionBy("a", "b", "deal").orderBy("doc_id", "th", "i")
+    ranked = runs.select("*", F.rank().over(places).alias("rank"), F.first("doc_id").over(places).alias("first_doc_id"))
+    is_hot = F.col("deal") > 0
+    kept = stash(
+        ranked.where((F.col("rank") > 1) | is_hot)
+        .select("doc_id", "th", "i", "first_doc_id", is_hot.alias("hot"), *[F.when(is_hot, F.col(c)).alias(c) for c in ("a", "b")]),
+        "runs",
+    )
     place = F.struct("doc_id", "th", "i")
-    firsts = stash(runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first"), "firsts")
-    again = runs.join(firsts, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
+    firsts = kept.where("hot").groupBy("a", "b").agg(F.min(place).alias("first"))
+    again = (
+        kept.join(F.broadcast(firsts), ["a", "b"], "left").where(~F.col("hot") | ~place.eqNullSafe(F.col("first")))
+        .select("doc_id", "th", "i", F.when(F.col("hot"), F.col("first.doc_id")).otherwise(F.col("first_doc_id")).alias("first_doc_id"))
+    )
     out = stash(
-        again.groupBy("doc_id", "th").agg(F.collect_set("i").alias("at"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
+        again.groupBy("doc_id", "th").agg(F.collect_set("i").alias("at"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
         .select("doc_id", "th", F.expr(f"array_sort(array_distinct(flatten(transform(at, i -> sequence(i, i + {RUN - 1})))))").alias("drop"), "first_doc_ids"),
         "repeats",
     )
-    forget(runs)
-    forget(firsts)
+    forget(kept)
     return out
 
 

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -596,6 +597,59 @@ def test_repeats_against_brute_force(spark):
     assert sorted(str(x) for x in changed.collect()) == sorted(str(x) for x in got if x.n_removed)
 
 
+def test_repeats_of_hot_runs_against_brute_force(spark, monkeypatch):
+    """Runs that a sample shows to be common are dealt over many tasks; nothing changes but that."""
+    for name, value in (("HOT", 40), ("PROOF", 3), ("DEALS", 5), ("SAMPLE", 0.9)):
+        monkeypatch.setattr(spans, name, value)
+    r = random.Random(22)
+    notice, other = ["".join(words(r, 6).capitalize() + ". " for _ in range(6)) for _ in range(2)]
+    rows = [(i, words(r, 20) + ". " + notice * r.randint(0, 2) + words(r, 9) + ". " + (other if i % 50 == 0 else "")) for i in range(300)]
+    rows += [(i, notice) for i in range(300, 340)] + [(300, notice)] * 3 + [(-1, notice + "End.")] * 3 + [(None, other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = spans._hot(d.selectExpr("*", "0L as th"))
+    assert set(spans.run_hashes(spans.units(notice))[0]) <= set(hot) and not set(spans.run_hashes(spans.units(other))[0]) & set(hot)
+    want = brute_repeats(rows)
+    got = spans.remove_repeats(d.repartition(5)).collect()
+    assert len(got) == len(rows)
+    by = dict(rows)
+    for x in got:
+        text = by[x.doc_id]
+        drop, firsts = want[x.doc_id, text]
+        b = spans.bounds(text)
+        assert x.n_removed == len(drop) and set(x.first_doc_ids or []) == firsts - {None}
+        assert x.text == "".join(text[b[k] : b[k + 1]] for k in range(len(b) - 1) if k not in drop)
+
+
+def test_runs_take_one_narrow_shuffle(spark):
+    """Bytes of shuffle and scratch tables a run, of texts without repeats: one shuffle, and no table of all runs."""
+    r = random.Random(23)
+    letters = "abcdefghijklmnoprstuvwy"
+    rows = [(i, " ".join("".join(r.choices(letters, k=6)) + "." * (k % 5 == 4) for k in range(1000))) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def written():
+        time.sleep(1)  # the figures come a little later than the job's end
+        spark.range(1).collect()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before, made = written(), []
+    stash = spans.stash
+
+    def noted(df, name):
+        made.append(stash(df, name))
+        return made[-1]
+
+    spans.stash, spans.forget, forget = noted, lambda df: None, spans.forget
+    try:
+        assert spans.repeated_units(d).count() == 0
+    finally:
+        spans.stash, spans.forget = stash, forget
+    size = sum(os.path.getsize(os.path.join(at, f)) for t in made for at, _, fs in os.walk(t.stash_path) for f in fs)
+    n = sum(len(spans.units(t)) - spans.RUN + 1 for _, t in rows)
+    took = written() - before
+    assert n > 30_000 and 12 * n < took + size < 30 * n
+
+
 def test_repeats_of_short_sentences_and_notices(spark, empty):
     lines = [f"{a} {b}.\n" for a in ("tea", "rice", "oil") for b in ("one", "two", "six", "ten")]
     talk = "Yes. No. Why? So. Ah. "
