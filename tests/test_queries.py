@@ -39,3 +39,13 @@ def test_entry_and_names():
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_csv_export_beyond_its_limit(spark, tmp_path):
+    """Which rows are the first shows only where there are more than the limit."""
+    spark.range(200_500).selectExpr("id as p_partkey", "concat('n ', id) as p_name", "'Brand#11' as p_brand", "'T' as p_type", "1 as p_size", "1.0D as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["s12_csv_export"](spark, str(tmp_path)).collect())
+    want = con.sql(ORACLE["s12_csv_export"]).fetchall()
+    assert len(want) == 100_000 and got == sorted(want)
