@@ -377,6 +377,10 @@ def test_check_table(spark):
     assert not clean.check_table(d.limit(0), ["phrase"]).first().valid and not clean.check_table(d, ["phrase"], 2).first().valid
 
 
+def test_check_table_counts_what_is_beyond_the_most(spark):
+    assert tuple(clean.check_table(spark.range(9).withColumn("phrase", F.lit("x")), ["phrase"], 2).first()) == (9, "", False)
+
+
 def test_file_discovery(spark, tmp_path):
     root = tmp_path / "raw"
     root.mkdir()
