@@ -81,3 +81,14 @@ def test_louvain_without_edges(spark):
     none = spark.createDataFrame([], "src long, dst long, weight double")
     assert sorted(tuple(r) for r in graph.louvain(nodes, none).collect()) == [(0, 0), (1, 1), (2, 2)]
     assert graph.louvain(nodes.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_roots_of_a_path_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    r = random.Random(3)
+    names = r.sample(range(1000), 300)
+    edges = [(names[i], names[i + 1]) for i in range(99)] + [(names[150], names[i]) for i in range(151, 300)] + [(names[120], names[120])]
+    got = {x.node: x.root for x in graph.roots(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**dict.fromkeys(names[:100], min(names[:100])), **dict.fromkeys(names[150:], min(names[150:]))}
+    assert graph.roots(spark.createDataFrame([], "src long, dst long")).count() == 0
