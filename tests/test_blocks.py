@@ -3,8 +3,9 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 
-from phrasemine.operators import vectors
+from phrasemine.operators import hierarchy, vectors
 
 
 def written(spark):
@@ -45,3 +46,24 @@ def test_few_queries_few_vectors_and_none(spark):
     whole = {(r.src, r.dst, r["rank"]) for r in vectors.knn(df, 4).where("src < 2").collect()}
     assert {(r.src, r.dst, r["rank"]) for r in vectors.knn(df, 4, asked, block=16).collect()} == whole and len(whole) == 8
     assert vectors.knn(asked, 4).count() == 2 and vectors.knn(df.limit(0), 4).count() == 0 and vectors.knn(df, 4, df.limit(0)).count() == 0
+
+
+def test_least_outgoing_edges_from_blocks_one_by_one():
+    """What blocks give one after the other is what the whole matrix gives, however the points are cut, bounds and ties included."""
+    r = np.random.default_rng(4)
+    u = np.concatenate([r.normal(size=(500, 5)), np.ones((60, 5))])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    n = len(u)
+    c, core = r.integers(0, 9, n), r.uniform(0.05, 0.4, n)
+    most = np.where(c == 3, np.inf, 0.5)
+    table = lambda at, **more: pa.table({"phrase_id": at, "embedding": pa.array(u[at].tolist()), "c": c[at], "core": core[at], **more})
+    w = np.round(np.maximum(np.maximum(core[:, None], core[None, :]), np.sqrt(np.maximum(0, 2 - 2 * np.round(u @ u.T, 12)))), 9)
+    want = {}
+    for i, j in zip(*np.nonzero((c[:, None] != c[None, :]) & (w <= most[:, None]))):
+        edge = (w[i, j], min(i, j), max(i, j), c[j])
+        want[c[i]] = min(want.get(c[i], edge), edge)
+    for size in (70, n):
+        state = hierarchy._Outgoing(table(np.arange(n), most=most))
+        for at in range(0, n, size):
+            state.meet(table(np.arange(at, min(n, at + size))))
+        assert {x["ca"]: (x["w"], x["lo"], x["hi"], x["cb"]) for x in state.found().to_pylist()} == want and len(want) == 9
