@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from phrasemine.functions import scratch
 from phrasemine.operators import graph
 
 
@@ -92,3 +93,14 @@ def test_roots_of_a_path_and_a_star(spark, monkeypatch, few):
     got = {x.node: x.root for x in graph.roots(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**dict.fromkeys(names[:100], min(names[:100])), **dict.fromkeys(names[150:], min(names[150:]))}
     assert graph.roots(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_levels_keep_only_their_labels(spark):
+    """Graphs, degrees and labels of a level go with it, so that disk does not grow with the rounds."""
+    nodes = spark.range(120).withColumnRenamed("id", "node")
+    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in cliques(24, 5)], "src long, dst long, weight double")
+    before = set(scratch._made)
+    levels = graph.louvain_levels(nodes, edges)
+    left = [p for p in scratch._made if p not in before]
+    assert len(levels) > 1 and sum("-sym-" in p or "-degree-" in p for p in left) == 0 and sum("-graph-" in p for p in left) == 1
+    assert levels[0][0].count() == levels[-1][0].count() == 120
